@@ -1,7 +1,124 @@
-"""DuckDB SQL for those queries that SQL can express."""
+"""DuckDB SQL for those queries that SQL can express.
+
+I-Match, packing, BPE, HTML extraction, the classifier and the randomness battery have none; tests
+hold them against brute force.
+"""
 
 from __future__ import annotations
 
+from tidegauge.llm import chat_format, topk_search, url_filter
+
+
+def _chat() -> str:
+    def escaped(column: str) -> str:
+        out = f"replace({column}, '{chat_format.ESCAPE}', '{chat_format.ESCAPE}0')"
+        for i, control in enumerate(chat_format.CONTROLS):
+            out = f"replace({out}, '{control}', '{chat_format.ESCAPE}{i + 1}')"
+        return out
+
+    marks = len("<|turn|><|body|><|end|>")
+    return f"""
+    with said as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+    select conv_id, count(*) as n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+      cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+      cast(sum({marks} + length({escaped("role")}) + length({escaped("text")})) as bigint) as formatted_chars
+    from said group by conv_id
+    """
+
+
+def _top_k() -> str:
+    return f"""
+    with fit as (
+      select vec_id, list_transform(embedding, lambda x: cast(floor({topk_search.SCALE} * cast(x as double)) as bigint)) as v
+      from embeddings
+      where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pairs as (
+      select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) as bigint) as score
+      from fit q join fit d on q.vec_id % {topk_search.EVERY} = 0 and d.vec_id <> q.vec_id and len(q.v) = len(d.v))
+    select query_id, cast(rank as integer) as rank, vec_id, score
+    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+    where rank <= {topk_search.K}
+    """
+
+
+def _near_duplicates() -> str:
+    # components by repeated minima: a document takes the smallest label among itself and its links
+    return r"""
+    with recursive words as (
+      select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+      from documents),
+    shingled as (
+      select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+      from words),
+    items as (select doc_id, unnest(s) as item from shingled),
+    common as (
+      select a.doc_id as x, b.doc_id as y, count(*) as both
+      from items a join items b on a.item = b.item and a.doc_id <> b.doc_id group by 1, 2),
+    links as (
+      select x, y from common join shingled p on p.doc_id = x join shingled q on q.doc_id = y
+      where 100 * both >= 75 * (len(p.s) + len(q.s) - both)),
+    reached as (
+      select doc_id, doc_id as other from shingled
+      union
+      select r.doc_id, l.y from reached r join links l on l.x = r.other)
+    select d.doc_id, cast(len(s) as bigint) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+    from shingled d join (select doc_id, min(other) as component_id from reached group by 1) c on c.doc_id = d.doc_id
+    """
+
+
+def _urls() -> str:
+    ordered = sorted(url_filter.RULES, key=lambda r: (-len(r[0]), r[0]))
+    fits = [(rule, *rule.partition("/")[::2]) for rule, _ in ordered]
+    rule = "case " + " ".join([f"when (host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '/{start}') then '{rule}'" for rule, name, start in fits]) + " end"
+    said = "case rule " + " ".join([f"when '{rule}' then '{verdict}'" for rule, verdict in url_filter.RULES]) + " end"
+    link = url_filter.LINK.replace("'", "''")
+    damping, steps = url_filter.DAMPING, []
+    for i in range(1, url_filter.STEPS + 1):
+        steps.append(f"""
+    mass{i} as (
+      select host, sum(trust) as trust, sum(distrust) as distrust from (
+        select host, trust * {1 - damping} as trust, distrust * {1 - damping} as distrust from mass0
+        union all select m.dst, p.trust * {damping} * m.t, p.distrust * {damping} * m.d from mass{i - 1} p join moves m on m.src = p.host)
+      group by host)""")
+    return f"""
+    with cut as (select page_id, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    named as (
+      select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path
+      from cut),
+    ruled as (select page_id, host, path, {rule} as rule from named),
+    judged as (select *, {said} as said from ruled),
+    seeds as (
+      select host, cast(count(*) filter (said = 'allow') as double) as trust, cast(count(*) filter (said = 'block') as double) as distrust
+      from judged where host <> '' and said is not null group by host),
+    links as (
+      select host as src, translate(unnest(regexp_extract_all(html, '{link}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst
+      from named where host <> ''),
+    edges as (select src, dst, cast(count(*) as double) as n from links where src <> dst group by 1, 2),
+    moves as (
+      select src, dst, n / sum(n) over (partition by src) as t, 0.0 as d from edges
+      union all select dst, src, 0.0, n / sum(n) over (partition by dst) from edges),
+    mass0 as (
+      select host, coalesce(trust / nullif(sum(trust) over (), 0), 0) as trust, coalesce(distrust / nullif(sum(distrust) over (), 0), 0) as distrust from seeds),
+    {",".join(steps)},
+    standing as (
+      select host, coalesce(trust / nullif(sum(trust) over (), 0), 0) as trust, coalesce(distrust / nullif(sum(distrust) over (), 0), 0) as distrust from mass{url_filter.STEPS})
+    select page_id, j.host, path, rule,
+      coalesce(said, case when round(coalesce(distrust / nullif(trust + distrust, 0), 0), 9) > {url_filter.THRESHOLD} then 'block' else 'allow' end) as verdict
+    from judged j left join standing s on s.host = j.host
+    """
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_chat_format": _chat(),
+        "op2_exact_top_k": _top_k(),
+        "op5_url_filter": _urls(),
+        "op6_minhash_near_dedup": _near_duplicates(),
+    }
