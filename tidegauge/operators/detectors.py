@@ -204,7 +204,8 @@ def with_mahalanobis(df: DataFrame, features: list[str], by: list[str], min_poin
     matrix = F.array(*[F.coalesce(F.col(f"_c{min(i, j)}_{max(i, j)}"), F.lit(0.0)) for i in range(len(cols)) for j in range(len(cols))])
     center = F.array(*[F.coalesce(F.col(f"_m{c}"), F.lit(0.0)) for c in cols])
     rows = rows.withColumn("_d", _distance(F.array(*cols), center, matrix))
-    pairs = F.transform(F.arrays_zip(F.array(*[F.lit(f) for f in features]), F.col("_d.sigmas")), lambda p: F.struct((-p["1"]).alias("s"), p["0"].alias("f")))
+    names = F.array(*[F.lit(f) for f in features])
+    pairs = F.transform(F.col("_d.sigmas"), lambda x, i: F.struct((-x).alias("s"), F.element_at(names, i + 1).alias("f")))
     top = F.slice(F.array_sort(pairs), 1, 3)
     said = F.concat(F.lit("unusual profile (distance "), number(F.col("_d.distance"), 1), F.lit("): "), F.concat_ws(", ", F.transform(top, lambda p: F.concat(p["f"], F.lit(" "), number(-p["s"], 1)))))
     made = result("mahalanobis", soft_score(F.col("_d.distance"), threshold, 2.5), F.col("_d.distance") >= threshold, said, {"distance": F.round(F.col("_d.distance"), 3)}, F.col("_n") >= min_points)

@@ -1,6 +1,434 @@
-"""Registered queries and the SQL that DuckDB compares them with."""
+"""Registered queries and the SQL that DuckDB compares them with.
+
+Test events are sparse, so windows are an hour or a day and gates are lowered; defaults of the
+operators stay as they are.  ``Q`` brings both sides to the same columns: times as text, doubles
+rounded to four digits, whole numbers as longs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.functions import stats as S
+from tidegauge.operators import analyzers as A
+from tidegauge.operators import detectors as D
+from tidegauge.operators import evaluation as V
+from tidegauge.operators import filters as B
+from tidegauge.operators import health as H
+from tidegauge.operators import incidents as G
+from tidegauge.operators import learning as L
+from tidegauge.operators import metrics as M
+from tidegauge.operators import reports as R
+from tidegauge.operators import series as X
+from tidegauge.operators.enrich import enrich
+from tidegauge.sources.events import ACCESS_LOG_SQL, access_log, prepare_events
+from tidegauge.streaming import topology as ST
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+HOUR, DAY, GAP = "1 hour", "1 day", "6 hours"
+START, END, NOW = "2024-01-10 00:00:00", "2024-01-20 00:00:00", "2024-01-25 12:00:00"
+
+# -- DuckDB side ----------------------------------------------------------------------------------
+
+_P = "quantile_cont(response_time_ms, {})"
+_RATES = "count(*) as requests, count(*) filter (status >= 400 and status < 500) as errors_4xx, count(*) filter (status >= 500) as errors_5xx, sum(bytes_sent) as bytes_sent, avg(response_time_ms) as avg_response_time, max(response_time_ms) as max_response_time"
+_APDEX = "avg(case when response_time_ms <= 500 then 1.0 when response_time_ms <= 2000 then 0.5 else 0 end)"
+CTES = {
+    "e": f"select *, cast(status // 100 as varchar) || 'xx' as status_class, status >= 400 as is_error, response_time_ms > 500 as is_slow, (status in (401, 403) and contains(path, '/auth/')) as is_auth_fail from ({ACCESS_LOG_SQL}) as l",
+    "g": f"""select date_trunc('hour', event_time) as window_start, date_trunc('hour', event_time) + interval 1 hour as window_end, {_RATES},
+      {_P.format(0.5)} as p50_response_time, {_P.format(0.9)} as p90_response_time, {_P.format(0.95)} as p95_response_time, {_P.format(0.99)} as p99_response_time, {_APDEX} as apdex,
+      count(distinct ip) as unique_ips, count(distinct session_id) as unique_sessions, count(distinct user_id) as unique_users, count(distinct endpoint) as unique_endpoints,
+      count(*) filter (is_bot) as bot_requests, count(*) filter (cache_status = 'HIT') as cache_hits, max(attack_label) as dominant_attack_label,
+      count(*) / 3600.0 as rps, count(*) filter (status >= 400) / count(*) as error_rate, count(*) filter (status >= 500) / count(*) as server_error_rate,
+      1 - count(*) filter (status >= 400) / count(*) as success_rate, sum(bytes_sent) / count(*) as bytes_per_request, count(*) filter (is_bot) / count(*) as bot_ratio, count(*) filter (cache_status = 'HIT') / count(*) as cache_hit_rate
+      from e group by 1, 2""",
+    "n": f"""select date_trunc('day', event_time) as window_start, date_trunc('day', event_time) + interval 1 day as window_end, endpoint, method, min(service) as any_service, {_RATES},
+      {_P.format(0.5)} as p50_response_time, {_P.format(0.9)} as p90_response_time, {_P.format(0.95)} as p95_response_time, {_P.format(0.99)} as p99_response_time, {_APDEX} as apdex, count(distinct ip) as unique_ips,
+      count(*) filter (status >= 400) as errors, count(*) filter (status >= 400) / count(*) as error_rate, count(*) filter (status >= 500) / count(*) as server_error_rate, max(attack_label) as dominant_attack_label
+      from e group by 1, 2, 3, 4""",
+    "ie": "select date_trunc('day', event_time) as window_start, ip, endpoint, count(*) as requests, count(*) filter (is_error) as errors, count(*) filter (status = 404) as not_found, count(*) filter (is_auth_fail) as auth_fails, sum(bytes_sent) as bytes_sent, avg(response_time_ms) as avg_response_time from e group by 1, 2, 3",
+    "i": """select date_trunc('day', event_time) as window_start, ip, count(*) as requests, count(*) filter (is_error) as errors, count(*) filter (status = 404) as not_found, count(*) filter (is_auth_fail) as auth_fail_count, sum(bytes_sent) as bytes_sent,
+      avg(response_time_ms) as avg_response_time, count(distinct endpoint) as unique_paths, count(distinct user_agent) as unique_user_agents, count(distinct session_id) as unique_sessions
+      from e group by 1, 2""",
+    "k": """with pi as (select date_trunc('hour', event_time) as window_start, ip, count(*) as n from e group by 1, 2),
+      pr as (select date_trunc('hour', event_time) as window_start, endpoint, count(*) as n from e group by 1, 2),
+      ranked as (select *, row_number() over (partition by window_start order by n) as r, count(*) over (partition by window_start) as m, sum(n) over (partition by window_start) as total from pi)
+      select a.window_start, n_ips, ip_gini, top_ip, top_ip_share, path_entropy from
+      (select window_start, count(*) as n_ips, sum((2 * r - m - 1) * n) / (any_value(m) * any_value(total)) as ip_gini from ranked group by 1) a
+      join (select window_start, arg_min(ip, (-n, ip)) as top_ip, max(n) / sum(n) as top_ip_share from pi group by 1) b on a.window_start = b.window_start
+      join (select window_start, case when count(*) < 2 then 0 else -sum(n / total * log2(n / total)) / log2(count(*)) end as path_entropy from (select *, sum(n) over (partition by window_start) as total from pr) group by 1) c on a.window_start = c.window_start""",
+    "s": "select date_trunc('hour', event_time) as window_start, status_class, count(*) as requests, avg(response_time_ms) as avg_response_time from e group by 1, 2",
+    "c": f"""select date_trunc('day', event_time) as window_start, country, count(*) as requests, count(distinct ip) as unique_ips, count(distinct session_id) as unique_sessions, avg(case when is_error then 1.0 else 0 end) as error_rate,
+      avg(response_time_ms) as avg_response_time, {_P.format(0.95)} as p95_response_time, sum(bytes_sent) as bytes_sent, min(country_name) as country_name, avg(lat) as lat, avg(lon) as lon from e group by 1, 2""",
+    "v": f"""select date_trunc('hour', event_time) as window_start, service, count(*) as requests, count(*) filter (is_error) as errors, count(*) filter (status >= 500) as errors_5xx, avg(response_time_ms) as avg_response_time,
+      {_P.format(0.95)} as p95_response_time, {_P.format(0.99)} as p99_response_time, {_APDEX} as apdex, count(distinct host) as unique_hosts, count(*) filter (is_error) / count(*) as error_rate, count(*) filter (status >= 500) / count(*) as server_error_rate from e group by 1, 2""",
+    "ss": """select session_id, run, count(*) as requests, min(event_time) as session_start, max(event_time) as session_end, count(distinct endpoint) as unique_endpoints, count(*) filter (is_error) as error_count, sum(bytes_sent) as bytes_sent,
+      arg_min(endpoint, (event_time, event_id)) as entry_endpoint, arg_max(endpoint, (event_time, event_id)) as exit_endpoint, bool_or(regexp_matches(endpoint, 'checkout|payments')) as converted,
+      greatest(epoch(max(event_time)) - epoch(min(event_time)), 1.0) as duration_seconds, count(*) * 60 / greatest(epoch(max(event_time)) - epoch(min(event_time)), 1.0) as requests_per_minute, avg(case when is_bot then 1.0 else 0 end) > 0.5 as is_bot
+      from (select *, sum(fresh) over (partition by session_id order by event_time, event_id) as run from (select *, case when event_time - lag(event_time) over (partition by session_id order by event_time, event_id) < interval 6 hours then 0 else 1 end as fresh from e)) group by 1, 2""",
+}
+_NEEDS = {"g": ["e"], "n": ["e"], "ie": ["e"], "i": ["e"], "k": ["e"], "s": ["e"], "c": ["e"], "v": ["e"], "ss": ["e"], "e": []}
+
+
+def _with(names: str, sql: str) -> str:
+    order: list[str] = []
+
+    def need(n: str) -> None:
+        for m in _NEEDS[n]:
+            need(m)
+        if n not in order:
+            order.append(n)
+
+    for n in names.split():
+        need(n)
+    return "with " + ", ".join(f"{n} as ({CTES[n]})" for n in order) + " " + sql if order else sql
+
+
+#: Moves decimal ties off the rounding boundary, where the engines' last bits would decide.
+NUDGE = 1e-9
+_SPARK = {"t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "l": lambda c: F.col(c).cast("bigint"), "d": lambda c: F.round(F.col(c).cast("double") + NUDGE, 4), "s": lambda c: F.col(c).cast("string"), "b": lambda c: F.col(c).cast("boolean")}
+_DUCK = {"t": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "l": "cast({0} as bigint)", "d": f"round(cast({{0}} as double) + {NUDGE}, 4)", "s": "cast({0} as varchar)", "b": "cast({0} as boolean)"}
+
+
+def Q(name: str, spec: str, query: Callable[[SparkSession, str], DataFrame], needs: str | None = None, sql: str | None = None) -> None:
+    """Registers a query with its columns ("name:kind ...") and, if SQL can express it, its oracle."""
+    columns = [c.split(":") for c in spec.split()]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir).select(*[_SPARK[k](c).alias(c) for c, k in columns])
+
+    QUERIES[name] = run
+    if sql is not None:
+        shown = ", ".join(f"{_DUCK[k].format(c)} as {c}" for c, k in columns)
+        ORACLES[name] = _with(needs or "", f"select {shown} from ({sql}) as result")
+
+
+# -- Spark side: the tables that queries start from --------------------------------------------------
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    return enrich(access_log(spark, d))
+
+
+def g(spark, d):
+    return M.global_metrics(log(spark, d), HOUR, exact=True)
+
+
+def gk(spark, d):
+    return M.global_with_concentration(log(spark, d), HOUR)
+
+
+def n(spark, d):
+    return M.endpoint_metrics(log(spark, d), DAY, exact=True)
+
+
+def i(spark, d):
+    return M.ip_metrics(log(spark, d), DAY)
+
+
+def c(spark, d):
+    return M.geo_metrics(log(spark, d), DAY, exact=True)
+
+
+def v(spark, d):
+    return M.service_metrics(log(spark, d), HOUR, exact=True)
+
+
+def ss(spark, d):
+    return M.session_metrics(log(spark, d), GAP)
+
+
+LOW = {"metrics_endpoint": {"min_requests": 5, "rate_min": 5, "lookback_seconds": 30 * 86_400}, "metrics_geo": {"min_requests": 5, "lookback_seconds": 30 * 86_400}, "sessions": {"min_requests": 3, "slot": "1 day"}}
+LOW_THRESHOLDS = {"ip_rps_threshold": 0.0002, "scan_unique_paths": 4.0, "auth_fail_threshold": 4.0}
+
+
+def anomalies(spark, d):
+    """All anomalies of the stored metrics, under lowered gates."""
+    tables = {"metrics_global": gk(spark, d), "metrics_endpoint": n(spark, d), "metrics_ip": i(spark, d), "metrics_geo": c(spark, d), "sessions": ss(spark, d)}
+    return A.rescore(tables, LOW_THRESHOLDS, **LOW)
+
+
+def geo_anomalies(spark, d):
+    return A.analyze_geo(c(spark, d), min_requests=5, lookback_seconds=30 * 86_400)
+
+
+def simple_anomalies(spark, d):
+    """Anomalies by one plain rule each, for the reports and joins over anomalies: SQL can make them too."""
+    rows = g(spark, d).select("window_start", "window_end", F.lit("error_spike").alias("type"), F.lit("global").alias("entity_type"), F.lit("all-traffic").alias("entity"), (100 * F.col("error_rate")).alias("score"), "dominant_attack_label", "requests", "error_rate", "p95_response_time", "rps")
+    ips = i(spark, d).select("window_start", "window_end", F.when(F.col("auth_fail_count") > 0, "auth_abuse").otherwise("suspicious_ip").alias("type"), F.lit("ip").alias("entity_type"), F.col("ip").alias("entity"), (100 * F.col("error_ratio")).alias("score"), "dominant_attack_label", "requests", F.col("error_ratio").alias("error_rate"), F.lit(0.0).alias("p95_response_time"), "rps")
+    both = rows.unionByName(ips).filter("score >= 40")
+    return both.select(
+        S.anomaly_id(F.col("type"), F.col("entity_type"), F.col("entity"), F.col("window_start")).alias("anomaly_id"), "type", "entity_type", "entity", "score", S.severity(F.col("score")).alias("severity"), F.lit("rule").alias("detector"), F.array(F.lit("rule")).alias("detectors"),
+        F.lit("rule").alias("reason"), F.lit("rule").alias("headline"), "window_start", "window_end", F.col("window_end").alias("detected_at"), F.create_map(*[x for m in ("requests", "error_rate", "p95_response_time", "rps") for x in (F.lit(m), F.col(m).cast("double"))]).alias("metrics"),
+        F.lit("open").alias("status"), F.col("dominant_attack_label").alias("ground_truth"),
+    )
+
+
+_SEVERITY = "case when score >= 85 then 'critical' when score >= 70 then 'high' when score >= 50 then 'medium' when score >= 30 then 'low' else 'info' end"
+_RANK = "case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end"
+CTES["an"] = f"""select 'anm_' || substr(sha1(type || '|' || entity_type || '|' || entity || '|' || strftime(window_start, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 1, 20) as anomaly_id, *, {_SEVERITY} as severity, window_end as detected_at from (
+  select window_start, window_end, 'error_spike' as type, 'global' as entity_type, 'all-traffic' as entity, 100 * error_rate as score, dominant_attack_label, requests from g
+  union all select window_start, window_start + interval 1 day, case when auth_fail_count > 0 then 'auth_abuse' else 'suspicious_ip' end, 'ip', ip, 100 * (errors / requests), null, requests from i) where score >= 40"""
+_NEEDS["an"] = ["g", "i"]
+CTES["co"] = """select *, 'inc_' || substr(sha1(family || '|' || entity_type || '|' || grp || '|' || strftime(incident_start, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 1, 18) as incident_id from (
+  select *, min(window_start) over (partition by family, entity_type, grp, run) as incident_start from (
+    select *, sum(fresh) over (partition by family, entity_type, grp order by window_start, anomaly_id) as run from (
+      select *, case when window_start - max(window_start) over (partition by family, entity_type, grp order by window_start, anomaly_id rows between unbounded preceding and 1 preceding) <= interval 120 minutes then 0 else 1 end as fresh from (
+        select *, case when type = 'error_spike' then 'availability' else 'security' end as family, case when entity_type = 'ip' then '*' else entity end as grp from an))))"""
+_NEEDS["co"] = ["an"]
+
+
+def correlated(spark, d):
+    return G.correlate(simple_anomalies(spark, d), 120)
+
+
+def incidents(spark, d):
+    return G.fold_incidents(correlated(spark, d))
+
+
+def alerts(spark, d):
+    rules = G.rules_table(spark, (("r-any", "medium", (), (), None, 7200), ("r-auth", None, ("auth_abuse",), ("ip",), 50.0, 86_400)))
+    return G.fire_alerts(G.match_rules(simple_anomalies(spark, d), rules))
+
+
+def truth(spark, d):
+    return V.ground_truth([g(spark, d), n(spark, d), i(spark, d), c(spark, d)])
+
+
+def with_h(df: DataFrame, columns: list[str]) -> DataFrame:
+    return D.with_history(df.withColumn("_k", F.lit("all")), columns, ["_k"], 3 * 86_400)
+
+
+# -- sources and enrichment ---------------------------------------------------------------------------
+
+Q("a2_parse_events", "event_id:s event_time:t status:l endpoint:s", lambda s, d: _parsed(s, d), "e", "select event_id, event_time, status, endpoint from e where status <> 304")
+
+
+def _parsed(spark, d):
+    """Events as JSON messages, some of them broken, parsed again."""
+    rows = access_log(spark, d)
+    text = F.to_json(F.struct("event_id", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.when(F.col("status") != 304, F.col("status")).alias("status"), "endpoint"))
+    from tidegauge.sources.events import parse_events
+
+    return parse_events(rows.select(text.cast("binary").alias("value"), F.col("event_time").alias("timestamp"), F.lit(0).alias("partition"), F.lit(0).alias("offset")))
+
+
+Q("a3_prepare_events", "event_time:t status:l response_time_ms:d method:s service:s country:s", lambda s, d: prepare_events(access_log(s, d).select(F.col("event_time").cast("string").alias("timestamp"), F.when(F.col("status") < 500, F.col("status").cast("string")).otherwise("bad").alias("status"), "response_time_ms")), "e", "select event_time, case when status < 500 then status else 0 end as status, response_time_ms, 'GET' as method, 'unknown' as service, '??' as country from e")
+Q("a4_upsert_merge", "window_start:t status_class:s requests:l extra:l", lambda s, d: _merged(s, d), "s", "select window_start, status_class, case when status_class = '4xx' then requests + 1 else requests end as requests, case when status_class = '4xx' then 7 else 0 end as extra from s")
+
+
+def _merged(spark, d):
+    rows = M.status_metrics(log(spark, d), HOUR).select("window_start", "status_class", "requests")
+    late = rows.filter("status_class = '4xx'")
+    updates = late.select("window_start", "status_class", "requests", F.lit(0).alias("version"), F.lit(None).cast("int").alias("extra")).unionByName(late.select("window_start", "status_class", (F.col("requests") + 1).alias("requests"), F.lit(1).alias("version"), F.lit(7).alias("extra")))
+    return ST.merge(rows, updates, ["window_start", "status_class"], "version").fillna(0, ["extra"])
+
+
+Q("a5_raw_events", "event_id:s event_time:t status:l", lambda s, d: ST.raw_events(log(s, d).union(log(s, d))), "e", "select event_id, event_time, status from e")
+Q("a6_enriched_payload", "key:s status:l endpoint:s", lambda s, d: ST.enriched_payload(log(s, d)).select("key", F.get_json_object("value", "$.status").cast("int").alias("status"), F.get_json_object("value", "$.endpoint").alias("endpoint")), "e", "select ip as key, status, endpoint from e")
+Q("a7_anomaly_payload", "severity:s n:l", lambda s, d: ST.anomaly_payload(simple_anomalies(s, d))[1], "an", "select severity, count(*) as n from an group by 1")
+Q("a8_retention", "window_start:t requests:l", lambda s, d: ST.apply_retention(g(s, d), "metrics_global", NOW), "g", f"select window_start, requests from g where window_start >= timestamp '{NOW}' - interval 14 days")
+Q("a10_sanitize", "event_id:s x:d", lambda s, d: ST.sanitize(log(s, d).select("event_id", F.when(F.col("status") == 404, float("nan")).when(F.col("status") == 500, float("inf")).otherwise(F.col("response_time_ms")).alias("x"))), "e", "select event_id, case when status in (404, 500) then null else response_time_ms end as x from e")
+Q("b1_enrich", "event_id:s status_class:s is_client_error:b is_server_error:b is_error:b is_not_found:b is_auth_fail:b is_cache_hit:b is_slow:b apdex_weight:d", log, "e", "select event_id, status_class, status >= 400 and status < 500 as is_client_error, status >= 500 as is_server_error, is_error, status = 404 as is_not_found, is_auth_fail, cache_status = 'HIT' as is_cache_hit, is_slow, case when response_time_ms <= 500 then 1.0 when response_time_ms <= 2000 then 0.5 else 0 end as apdex_weight from e")
+Q("b3_ingest_latency", "event_id:s ingest_latency_ms:d", lambda s, d: enrich(access_log(s, d).withColumn("kafka_ts", F.col("event_time") + F.expr("interval 90 seconds"))), "e", "select event_id, 90000.0 as ingest_latency_ms from e")
+Q("b4_search_filter", "event_id:s", lambda s, d: B.search_filter(log(s, d), [("code", ">=", 400, False), ("url", ":", "*auth*", True), ("service", "!=", "svc-1")], ["10.0.0.1", "search"]), "e", "select event_id from e where status >= 400 and not (lower(path) like '%auth%') and service <> 'svc-1' and (contains(lower(path), '10.0.0.1') or contains(lower(user_agent), '10.0.0.1') or contains(ip, '10.0.0.1') or contains(endpoint, '10.0.0.1') or contains(session_id, '10.0.0.1') or contains(lower(path), 'search') or contains(user_agent, 'search') or contains(ip, 'search') or contains(endpoint, 'search') or contains(session_id, 'search'))")
+Q("b5_explore_filter", "event_id:s", lambda s, d: B.explore_filter(log(s, d), status="404,5xx", methods=["get"], countries=["c1", "C2", "C3"], min_latency=100), "e", "select event_id from e where (status = 404 or status >= 500) and method = 'GET' and country in ('C1', 'C2', 'C3') and response_time_ms >= 100")
+Q("b6_in_range", "window_start:t requests:l", lambda s, d: B.in_range(g(s, d), START, END), "g", f"select window_start, requests from g where window_start between timestamp '{START}' and timestamp '{END}'")
+Q("b7_severity_at_least", "anomaly_id:s severity:s", lambda s, d: B.severity_at_least(simple_anomalies(s, d), "high"), "an", f"select anomaly_id, severity from an where {_RANK} >= 3")
+Q("b8_tail_filter", "event_id:s", lambda s, d: B.tail_filter(log(s, d), only_errors=True, endpoint="search", text="UA-3"), "e", "select event_id from e where status >= 400 and contains(endpoint, 'search') and contains(lower(path || ' ' || user_agent || ' ' || ip), 'ua-3')")
+Q("b9_anomaly_feed", "anomaly_id:s score:d severity:s", lambda s, d: B.anomaly_feed(simple_anomalies(s, d), START, END, severity="medium", sort="severity", limit=40, offset=5)[0], "an", f"select anomaly_id, score, severity from an where window_start between timestamp '{START}' and timestamp '{END}' and {_RANK} >= 2 order by {_RANK} desc, anomaly_id limit 40 offset 5")
+Q("b10_incident_list", "incident_id:s shown:l", lambda s, d: B.incident_list(incidents(s, d), START, END, family="availability")[0].withColumn("shown", F.size("timeline")), "co", "select incident_id, least(count(distinct window_start), 12) as shown from co where family = 'availability' group by 1")
+Q("b11_alert_list", "alert_id:s severity:s", lambda s, d: B.alert_list(alerts(s, d), START, END, limit=10_000))
+
+# -- metric families ------------------------------------------------------------------------------------
+
+Q("c1_global_metrics", "window_start:t requests:l errors_4xx:l errors_5xx:l bytes_sent:l avg_response_time:d max_response_time:d p50_response_time:d p90_response_time:d p95_response_time:d p99_response_time:d apdex:d unique_ips:l unique_sessions:l unique_users:l unique_endpoints:l bot_requests:l cache_hits:l rps:d error_rate:d server_error_rate:d success_rate:d bytes_per_request:d bot_ratio:d cache_hit_rate:d dominant_attack_label:s", g, "g", "select * from g")
+Q("c1_global_metrics_stream_form", "window_start:t requests:l errors_4xx:l rps:d error_rate:d", lambda s, d: M.global_metrics(log(s, d), HOUR), "g", "select * from g")
+Q("c2_status_counts", "window_start:t code:s n:l", lambda s, d: M.code_counts(log(s, d), HOUR).select("window_start", F.explode("status_counts").alias("code", "n")), "e", "select date_trunc('hour', event_time) as window_start, status as code, count(*) as n from e group by 1, 2")
+Q("c2_method_counts", "window_start:t method:s n:l", lambda s, d: g(s, d).select("window_start", F.explode("method_counts").alias("method", "n")), "e", "select date_trunc('hour', event_time) as window_start, method, count(*) as n from e group by 1, 2")
+Q("c3_status_metrics", "window_start:t status_class:s requests:l avg_response_time:d codes:s top:s", lambda s, d: M.status_metrics(log(s, d), HOUR).withColumn("codes", F.concat_ws(",", F.transform(F.map_entries("codes"), lambda x: F.concat_ws(":", x["key"], x["value"])))).withColumn("top", F.concat_ws(",", F.transform("top_endpoints", lambda x: F.concat_ws(":", x["endpoint"], x["requests"])))), "s e", """
+  select s.*, codes, top from s
+  join (select window_start, status_class, string_agg(status || ':' || n, ',' order by cast(status as varchar)) as codes from (select date_trunc('hour', event_time) as window_start, status_class, status, count(*) as n from e group by 1, 2, 3) group by 1, 2) x on x.window_start = s.window_start and x.status_class = s.status_class
+  join (select window_start, status_class, string_agg(endpoint || ':' || n, ',' order by r) as top from (select *, row_number() over (partition by window_start, status_class order by n desc, endpoint) as r from (select date_trunc('hour', event_time) as window_start, status_class, endpoint, count(*) as n from e group by 1, 2, 3)) where r <= 5 group by 1, 2) y on y.window_start = s.window_start and y.status_class = s.status_class""")
+Q("c3_status_from_global", "window_start:t status_class:s requests:l", lambda s, d: M.status_classes_of(g(s, d)), "s", "select * from s")
+Q("c4_endpoint_metrics", "window_start:t endpoint:s method:s requests:l errors:l errors_5xx:l p50_response_time:d p95_response_time:d p99_response_time:d apdex:d unique_ips:l error_rate:d server_error_rate:d", n, "n", "select * from n")
+Q("c5_ip_endpoint_metrics", "window_start:t ip:s endpoint:s requests:l errors:l not_found:l auth_fails:l bytes_sent:l avg_response_time:d", lambda s, d: M.ip_endpoint_metrics(log(s, d), DAY), "ie", "select * from ie")
+Q("c6_ip_metrics", "window_start:t ip:s requests:l errors:l not_found:l auth_fail_count:l bytes_sent:l avg_response_time:d unique_paths:l unique_user_agents:l unique_sessions:l", i, "i", "select * from i")
+Q("c6_ip_entropy", "window_start:t ip:s path_entropy:d", i, "ie", "select window_start, ip, case when count(*) < 2 then 0 else -sum(requests / total * log2(requests / total)) / log2(count(*)) end as path_entropy from (select *, sum(requests) over (partition by window_start, ip) as total from ie) group by 1, 2")
+Q("c7_concentration", "window_start:t n_ips:l ip_gini:d top_ip:s top_ip_share:d path_entropy:d", lambda s, d: M.concentration(log(s, d), HOUR), "k", "select * from k")
+Q("c8_geo_metrics", "window_start:t country:s requests:l unique_ips:l unique_sessions:l error_rate:d avg_response_time:d p95_response_time:d bytes_sent:l country_name:s lat:d lon:d", c, "c", "select * from c")
+Q("c9_service_metrics", "window_start:t service:s requests:l errors:l errors_5xx:l p95_response_time:d p99_response_time:d apdex:d unique_hosts:l error_rate:d server_error_rate:d", v, "v", "select * from v")
+Q("c10_session_metrics", "session_id:s session_start:t session_end:t requests:l error_count:l bytes_sent:l entry_endpoint:s exit_endpoint:s converted:b duration_seconds:d is_bot:b", ss, "ss", "select * from ss")
+Q("c12_dominant_label", "window_start:t dominant_attack_label:s", g, "g", "select * from g")
+Q("c15_apdex", "service:s apdex:d", lambda s, d: log(s, d).groupBy("service").agg(M.apdex()), "e", f"select service, {_APDEX} as apdex from e group by 1")
+Q("c16_burstiness", "window_start:t ip:s burstiness:d", i, "e", "select date_trunc('day', event_time) as window_start, ip, case when count(*) < 3 or epoch(max(event_time)) - epoch(min(event_time)) <= 0 then 1.0 else least(86400 / greatest(epoch(max(event_time)) - epoch(min(event_time)), 1.0), 86400) end as burstiness from e group by 1, 2")
+
+# -- series and reports ---------------------------------------------------------------------------------
+
+Q("d1_timeseries", "t:t requests:d rps:d error_rate:d server_error_rate:d errors_4xx:d errors_5xx:d p95_response_time:d avg_response_time:d bytes_sent:d apdex:d unique_ips:d bot_ratio:d cache_hit_rate:d", lambda s, d: X.timeseries(g(s, d), bucket_s=21_600), "g", """select time_bucket(interval 6 hours, window_start) as t, sum(requests) as requests, sum(requests) / 21600.0 as rps, sum(errors_4xx + errors_5xx) / sum(requests) as error_rate, sum(errors_5xx) / sum(requests) as server_error_rate,
+  sum(errors_4xx) as errors_4xx, sum(errors_5xx) as errors_5xx, avg(p95_response_time) as p95_response_time, avg(avg_response_time) as avg_response_time, sum(bytes_sent) as bytes_sent, avg(apdex) as apdex, avg(unique_ips) as unique_ips, avg(bot_ratio) as bot_ratio, avg(cache_hit_rate) as cache_hit_rate from g group by 1""")
+Q("d2_auto_timeseries", "t:t requests:d", lambda s, d: X.timeseries(g(s, d), ["requests"], "auto"), "g", "select time_bucket(interval 2 hours, window_start) as t, sum(requests) as requests from g group by 1")
+_KPI = "sum(requests) as requests, sum(requests) / 864000.0 as rps, max(rps) as peak_rps, sum(errors_4xx + errors_5xx) as errors, sum(errors_4xx + errors_5xx) / sum(requests) as error_rate, 1 - sum(errors_5xx) / sum(requests) as availability, avg(p95_response_time) as p95, avg(apdex) as apdex, count(*) as windows"
+Q("d3_kpi_totals", "requests:l rps:d peak_rps:d errors:l error_rate:d availability:d apdex:d windows:l", lambda s, d: X.kpi_totals(g(s, d), START, END), "g", f"select {_KPI} from g where window_start between timestamp '{START}' and timestamp '{END}'")
+Q("d4_kpi_deltas", "requests_delta:d errors_delta:d", lambda s, d: X.kpi_deltas(g(s, d), START, END), "g", f"select round((a - b) / b * 100, 2) as requests_delta, round((x - y) / y * 100, 2) as errors_delta from (select sum(requests) filter (now) as a, sum(requests) filter (not now) as b, sum(errors_4xx + errors_5xx) filter (now) as x, sum(errors_4xx + errors_5xx) filter (not now) as y from (select *, window_start >= timestamp '{START}' as now from g where window_start between timestamp '{START}' - interval 10 days and timestamp '{END}'))")
+_WIDE = ", ".join(f"cast(coalesce(sum(case when status_class = '{k}' then {{0}} end), 0) as bigint) as \"{k}\"" for k in X.STATUS_CLASSES)
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(x).alias(f"c{x}" if x[0].isdigit() else x) for x in df.columns])
+
+
+_WIDE_C = ", ".join(f"coalesce(sum(case when status_class = '{k}' then {{0}} end), 0) as c{k}" for k in X.STATUS_CLASSES)
+Q("d5_status_breakdown", "t:t c2xx:l c3xx:l c4xx:l c5xx:l", lambda s, d: _renamed(X.status_breakdown(M.status_metrics(log(s, d), HOUR), 21_600)), "s", f"select time_bucket(interval 6 hours, window_start) as t, {_WIDE_C.format('requests')} from s group by 1")
+Q("d6_baseline_band", "bucket:l time:s median:d low:d high:d p95:d samples:l", lambda s, d: X.baseline_band(L.seasonal_baseline(g(s, d)), "requests", "weekday"), "g", "select bucket, printf('%02d:%02d', bucket // 4, bucket % 4 * 15) as time, quantile_cont(requests, 0.5) as median, quantile_cont(requests, 0.25) as low, quantile_cont(requests, 0.75) as high, quantile_cont(requests, 0.95) as p95, count(*) as samples from (select *, hour(window_start) * 4 as bucket from g where isodow(window_start) < 6) group by 1")
+Q("d7_weekly_heatmap", "weekday:l hour:l requests:l rps:d error_rate:d windows:l", lambda s, d: X.weekly_heatmap(g(s, d)), "g", "select isodow(window_start) - 1 as weekday, hour(window_start) as hour, sum(requests) as requests, sum(requests) / (3600.0 * count(*)) as rps, round(sum(errors_4xx + errors_5xx) / sum(requests), 5) as error_rate, count(*) as windows from g group by 1, 2")
+Q("d8_log_histogram", "t:t c2xx:l c3xx:l c4xx:l c5xx:l total:l", lambda s, d: _renamed(X.log_histogram(log(s, d))), "e", f"select date_trunc('hour', event_time) as t, {_WIDE_C.format('1')}, count(*) as total from e group by 1")
+_FACETS = " union all ".join(f"select '{f}' as dim, cast({f} as varchar) as value from e" for f in X.FACETS)
+Q("d9_log_facets", "dim:s value:s n:l rank:l", lambda s, d: X.log_facets(log(s, d)), "e", f"select * from (select *, row_number() over (partition by dim order by n desc, value) as rank from (select dim, value, count(*) as n from ({_FACETS}) group by 1, 2)) where rank <= 8")
+Q("d10_search_logs", "event_id:s response_time_ms:d", lambda s, d: R.search_logs(log(s, d).filter("status >= 500"), sort="latency", limit=30, offset=10)[0], "e", "select event_id, response_time_ms from e where status >= 500 order by response_time_ms desc, event_id limit 30 offset 10")
+Q("d10_capped_count", "total:l capped:b", lambda s, d: R.search_logs(log(s, d), cap=500)[1], "e", "select least(count(*), 500) as total, count(*) > 500 as capped from e")
+Q("d11_event_context", "event_id:s event_time:t", lambda s, d: R.event_context(log(s, d), i(s, d), "42")["session"], "e", "select event_id, event_time from e where session_id = (select session_id from e where event_id = '42') order by e.event_time, event_id limit 80")
+Q("d12_drop_open_bucket", "t:t requests:d", lambda s, d: X.drop_open_bucket(X.timeseries(g(s, d), ["requests"], 21_600), 21_600, NOW), "g", f"select * from (select time_bucket(interval 6 hours, window_start) as t, sum(requests) as requests from g group by 1) where t + interval 6 hours <= timestamp '{NOW}'")
+Q("d13_overview_anomalies", "severity:s n:l", lambda s, d: R.overview(g(s, d), simple_anomalies(s, d), incidents(s, d), alerts(s, d), START, END)["anomalies"], "an", f"select severity, count(*) as n from an where window_start between timestamp '{START}' and timestamp '{END}' group by 1")
+_TABLE = "select endpoint, method, sum(requests) as requests, sum(errors) as errors, round(avg(p95_response_time), 2) as p95_response_time, round(avg(apdex), 4) as apdex, sum(requests) / (select sum(requests) from n) as share from n group by 1, 2"
+Q("d14_endpoint_table", "endpoint:s method:s requests:l errors:l p95_response_time:d apdex:d traffic_share:d", lambda s, d: R.endpoint_table(n(s, d)), "n", f"select *, round(share, 5) as traffic_share from ({_TABLE})")
+Q("d15_endpoint_sparklines", "endpoint:s method:s t:t n:l", lambda s, d: R.endpoint_sparklines(n(s, d), 3, 86_400).select("endpoint", "method", F.explode("points").alias("p")).select("endpoint", "method", "p.t", F.col("p.requests").alias("n")), "n", "select n.endpoint, n.method, n.window_start as t, sum(n.requests) as n from n join (select endpoint, method from n group by 1, 2 order by sum(requests) desc, endpoint, method limit 3) b on n.endpoint = b.endpoint and n.method = b.method group by 1, 2, 3")
+Q("d16_endpoint_detail", "event_id:s response_time_ms:d", lambda s, d: R.endpoint_detail(n(s, d), simple_anomalies(s, d), log(s, d), "/api/v1/search")["slowest"], "e", "select event_id, response_time_ms from e where endpoint = '/api/v1/search' order by response_time_ms desc, event_id limit 20")
+Q("d17_service_rollup", "service:s requests:l errors:l p95_response_time:d apdex:d error_rate:d status:s", lambda s, d: R.service_rollup(v(s, d)), "v", "select *, case when server > 0.05 then 'critical' when error_rate > 0.08 or apdex < 0.85 then 'degraded' else 'healthy' end as status from (select service, sum(requests) as requests, sum(errors) as errors, round(avg(p95_response_time), 2) as p95_response_time, round(avg(apdex), 4) as apdex, round(sum(errors) / sum(requests), 5) as error_rate, round(sum(errors_5xx) / sum(requests), 5) as server from v group by 1)")
+Q("d18_session_summary", "sessions:l avg_duration:d avg_requests:d conversion_rate:d bot_share:d", lambda s, d: R.session_analytics(ss(s, d))["summary"], "ss", "select count(*) as sessions, round(avg(duration_seconds), 2) as avg_duration, round(avg(requests), 4) as avg_requests, round(avg(converted::int), 5) as conversion_rate, round(avg(is_bot::int), 5) as bot_share from ss")
+Q("d18_entry_endpoints", "entry_endpoint:s sessions:l", lambda s, d: R.session_analytics(ss(s, d))["entry"], "ss", "select entry_endpoint, count(*) as sessions from ss group by 1 order by 2 desc, 1 limit 10")
+Q("d19_session_trail", "event_id:s event_time:t", lambda s, d: R.session_trail(ss(s, d), log(s, d), simple_anomalies(s, d), "s5")["events"], "e", "select event_id, event_time from e where session_id = 's5' order by e.event_time, event_id limit 500")
+Q("d20_geo_summary", "country:s requests:l unique_ips:l error_rate:d country_name:s share:d", lambda s, d: R.geo_summary(c(s, d), simple_anomalies(s, d)), "c", "select country, sum(requests) as requests, max(unique_ips) as unique_ips, sum(error_rate * requests) / sum(requests) as error_rate, arg_max(country_name, window_start) as country_name, round(sum(requests) / (select sum(requests) from c), 5) as share from c group by 1")
+Q("d21_geo_timeseries", "t:t C1:l C2:l", lambda s, d: R.geo_timeseries(c(s, d), ["C1", "C2"], 86_400), "c", "select window_start as t, coalesce(sum(requests) filter (country = 'C1'), 0) as \"C1\", coalesce(sum(requests) filter (country = 'C2'), 0) as \"C2\" from c where country in ('C1', 'C2') group by 1")
+Q("d22_geo_points", "country:s city:s requests:l error_rate:d weight:d hostile:b", lambda s, d: R.geo_points(log(s, d), 10_000_000), "e", "select *, requests / max(requests) over () as weight from (select country, city, count(*) as requests, avg(is_error::int) as error_rate, bool_or(attack_label is not null) as hostile from e group by 1, 2) order by requests desc, country, city limit 400")
+Q("d23_ip_table", "ip:s requests:l errors:l unique_paths:l threat_score:d anomalies:l", lambda s, d: R.ip_table(i(s, d), simple_anomalies(s, d), limit=50), "i an", "select a.*, coalesce(threat_score, 0) as threat_score, coalesce(anomalies, 0) as anomalies from (select ip, sum(requests) as requests, sum(errors) as errors, max(unique_paths) as unique_paths from i group by 1) a left join (select entity, max(score) as threat_score, count(*) as anomalies from an where entity_type = 'ip' group by 1) t on t.entity = a.ip order by requests desc, ip limit 50")
+Q("d24_ip_profile", "window_start:t requests:l", lambda s, d: R.ip_profile(i(s, d), simple_anomalies(s, d), log(s, d), "10.0.0.5")["series"], "i", "select window_start, requests from i where ip = '10.0.0.5' order by window_start desc limit 120")
+Q("d25_attackers", "entity:s score:d anomalies:l", lambda s, d: R.security_summary(simple_anomalies(s, d))["attackers"], "an", "select entity, max(score) as score, count(*) as anomalies from an where entity_type = 'ip' group by 1 order by 2 desc, 1 limit 15")
+Q("d25_attack_counts", "auth_abuse:l suspicious_ip:l ddos_burst:l", lambda s, d: R.security_summary(simple_anomalies(s, d))["attack_counts"], "an", "select count(*) filter (type = 'auth_abuse') as auth_abuse, count(*) filter (type = 'suspicious_ip') as suspicious_ip, count(*) filter (type = 'ddos_burst') as ddos_burst from an")
+Q("d26_anomaly_by_type", "type:s n:l max_score:d avg_score:d", lambda s, d: R.anomaly_summary(simple_anomalies(s, d))["by_type"], "an", "select type, count(*) as n, max(score) as max_score, round(avg(score), 2) as avg_score from an group by 1")
+Q("d26_anomaly_timeline", "t:t low:l medium:l high:l critical:l", lambda s, d: R.anomaly_summary(simple_anomalies(s, d))["timeline"], "an", "select date_trunc('hour', window_start) as t, " + ", ".join(f"count(*) filter (severity = '{k}') as {k}" for k in ("low", "medium", "high", "critical")) + " from an group by 1")
+Q("d28_incident_metrics", "window_start:t requests:l", lambda s, d: _incident_metrics(s, d), "g co", "select g.window_start, g.requests from g join (select incident_id, min(window_start) as a, max(window_start) as b from co where family = 'availability' group by 1 order by count(*) desc, 1 limit 1) x on g.window_start between a and b")
+
+
+def _incident_metrics(spark, d):
+    found = incidents(spark, d)
+    top = found.filter("family = 'availability'").orderBy(F.desc("anomaly_count"), "incident_id").select("incident_id").first()
+    return R.incident_detail(found, simple_anomalies(spark, d), alerts(spark, d), g(spark, d), top[0] if top else "")["metrics"]
+
+
+Q("d29_live_snapshot", "window_start:t requests:l", lambda s, d: R.live_snapshot(g(s, d), simple_anomalies(s, d), incidents(s, d), NOW, START)["latest"], "g", f"select window_start, requests from g where window_start <= timestamp '{NOW}' order by window_start desc limit 1")
+Q("d30_anomaly_bands", "start:t end:t severity:s windows:l", lambda s, d: X.anomaly_bands(simple_anomalies(s, d).filter("entity_type = 'global'")), "an", f"""select min(window_start) as start, max(window_end) as "end", arg_max(severity, r) as severity, count(*) as windows from (
+  select *, sum(fresh) over (order by window_start) as run from (select *, {_RANK} as r, case when window_start <= max(window_end) over (order by window_start rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from an where entity_type = 'global')) group by run""")
+ORACLES["d30_anomaly_bands"] = ORACLES["d30_anomaly_bands"].replace("strftime(end,", 'strftime("end",').replace("as end,", 'as "end",')
+Q("d31_endpoint_highlights", "requests:l errors:l endpoints:l slowest:s worst:s", lambda s, d: R.endpoint_highlights(R.endpoint_table(n(s, d), limit=1000)), "n", f"select sum(requests) as requests, sum(errors) as errors, count(*) as endpoints, arg_max(endpoint, (p95_response_time, endpoint)) as slowest, arg_min(endpoint, (apdex, endpoint)) as worst from ({_TABLE})")
+Q("d32_merged_feed", "anomaly_id:s severity:s", lambda s, d: X.merged_feed(simple_anomalies(s, d).filter("severity = 'critical'"), simple_anomalies(s, d), START, END), "an", f"select anomaly_id, severity from an where window_start between timestamp '{START}' and timestamp '{END}'")
+
+# -- statistics and detectors -------------------------------------------------------------------------------
+
+_PAST = "(partition by 1 order by epoch(window_start) range between 259200 preceding and 1 preceding)"
+_HIST = f"select *, list(requests::double) over {_PAST} as h from g"
+_MED = "select *, len(h) as k, list_median(h) as med from (select window_start, requests, h from hist where len(h) >= 1)".replace("list_median", "list_median")
+_Z = f"""with hist as ({_HIST}), m as (select window_start, requests, h, list_aggregate(h, 'median') as med, len(h) as k from hist where h is not null and len(h) > 0),
+  d as (select *, list_aggregate(list_transform(h, lambda x: abs(x - med)), 'median') as mad from m),
+  f as (select *, case when 1.4826 * mad >= 1e-9 then 1.4826 * mad when list_aggregate(h, 'stddev_pop') >= 1e-9 then list_aggregate(h, 'stddev_pop') else greatest(abs(med) * 0.1, 1) end as sigma from d)"""
+_SOFT = "1 / (1 + exp(-(({0}) - {1}) / ({1} / {2})))"
+Q("e1_robust_stats", "window_start:t n:l median:d mad:d sigma:d", lambda s, d: with_h(g(s, d), ["requests"]).filter(F.size("h_requests") > 0).select("window_start", S.robust_stats(F.col("h_requests")).alias("r")).select("window_start", "r.*"), "g", f"{_Z} select window_start, k as n, med as median, mad, sigma from f")
+Q("e2_soft_score", "event_id:s score:d", lambda s, d: log(s, d).select("event_id", S.soft_score(F.col("response_time_ms") / 100, 3.5).alias("score")), "e", f"select event_id, {_SOFT.format('response_time_ms / 100', '3.5', '3')} as score from e")
+Q("e3_ratio_score", "event_id:s score:d", lambda s, d: log(s, d).select("event_id", S.ratio_score(F.col("response_time_ms"), F.lit(200.0), 2.5).alias("score")), "e", f"select event_id, {_SOFT.format('response_time_ms / 200.0', '2.5', '4')} as score from e")
+_COUNTS = "select service, endpoint, count(*) as n from e group by 1, 2"
+Q("e4_entropy", "service:s bits:d normalised:d", lambda s, d: log(s, d).groupBy("service", "endpoint").count().groupBy("service").agg(F.collect_list("count").alias("x")).select("service", S.entropy(F.col("x")).alias("bits"), S.norm_entropy(F.col("x")).alias("normalised")), "e", f"select service, -sum(n / t * log2(n / t)) as bits, -sum(n / t * log2(n / t)) / log2(count(*)) as normalised from (select *, sum(n) over (partition by service) as t from ({_COUNTS})) group by 1")
+Q("e5_gini", "service:s gini:d", lambda s, d: log(s, d).groupBy("service", "endpoint").count().groupBy("service").agg(F.collect_list("count").alias("x")).select("service", S.gini(F.col("x")).alias("gini")), "e", f"select service, sum((2 * r - m - 1) * n) / (any_value(m) * sum(n)) as gini from (select *, row_number() over (partition by service order by n) as r, count(*) over (partition by service) as m from ({_COUNTS})) group by 1")
+Q("e6_robust_z", "window_start:t score:d triggered:b", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.robust_z(F.col("h_requests"), F.col("requests").cast("double"), direction="up").alias("r")).filter("not r.cold").select("window_start", "r.score", "r.triggered"), "g", f"{_Z} select window_start, {_SOFT.format('greatest((requests - med) / sigma, 0)', '3.5', '3')} as score, greatest((requests - med) / sigma, 0) >= 3.5 as triggered from f where k >= 12")
+Q("e7_ewma", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.ewma(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", f"""with hist as ({_HIST}),
+  f as (select window_start, requests, list_reduce(list_transform(h, lambda x: {{'level': x, 'dev': 0.0::double}}), lambda a, x: {{'level': 0.25 * x.level + 0.75 * a.level, 'dev': 0.25 * abs(x.level - a.level) + 0.75 * a.dev}}) as s from hist where len(h) >= 12)
+  select window_start, {_SOFT.format('least(abs(requests - s.level) / greatest(1.2533 * s.dev, 0.05 * abs(s.level), 1e-9), 60)', '3.5', '3')} as score from f""")
+Q("e8_seasonal", "window_start:t score:d", lambda s, d: D.with_seasonal_history(g(s, d).withColumn("_k", F.lit("all")), ["requests"], ["_k"], 30 * 86_400).select("window_start", D.seasonal(F.col("s_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"))
+Q("e9_trend", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.trend(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"))
+Q("e10_cusum", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.cusum(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", f"""{_Z},
+  q as (select window_start, list_reduce(list_prepend({{'p': 0.0::double, 'q': 0.0::double}}, list_transform(list_append(h, requests::double), lambda x: {{'p': (x - med) / sigma, 'q': 0.0::double}})), lambda a, x: {{'p': greatest(0.0, a.p + x.p - 0.5), 'q': greatest(0.0, a.q - x.p - 0.5)}}) as c from f where k >= 12)
+  select window_start, {_SOFT.format('least(greatest(c.p, c.q), 90)', '5.0', '3')} as score from q""")
+Q("e11_mahalanobis", "window_start:t ip:s score:d", lambda s, d: D.with_mahalanobis(i(s, d), A.IP_FEATURES, ["window_start"]).select("window_start", "ip", "mahalanobis.score"))
+Q("e14_fuse", "window_start:t score:d agreement:l", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", S.fuse(F.array(D.robust_z(F.col("h_requests"), F.col("requests").cast("double")), S.rule(F.col("error_rate"), F.lit("rate")))).alias("f")).select("window_start", "f.score", "f.agreement"))
+Q("e15_severity", "window_start:t severity:s", lambda s, d: g(s, d).select("window_start", S.severity(100 * F.col("error_rate")).alias("severity")), "g", f"select window_start, {_SEVERITY} as severity from (select window_start, 100 * error_rate as score from g)")
+Q("e17_anomaly_id", "anomaly_id:s entity:s", simple_anomalies, "an", "select anomaly_id, entity from an")
+Q("e19_dedupe", "anomaly_id:s score:d", lambda s, d: S.dedupe(simple_anomalies(s, d).union(simple_anomalies(s, d).withColumn("score", F.col("score") / 2))), "an", "select anomaly_id, score from an")
+
+# -- detection jobs -----------------------------------------------------------------------------------------
+
+Q("f1_f6_global", "anomaly_id:s type:s score:d severity:s detector:s agreement:l", lambda s, d: A.analyze_global(gk(s, d)))
+Q("f7_f9_endpoints", "anomaly_id:s type:s entity:s score:d severity:s", lambda s, d: A.analyze_endpoints(n(s, d), **LOW["metrics_endpoint"]))
+Q("f10_f14_ips", "anomaly_id:s type:s entity:s score:d severity:s", lambda s, d: A.analyze_ips(i(s, d), LOW_THRESHOLDS))
+Q("f15_ip_population", "window_start:t ip:s", lambda s, d: A.ip_population(i(s, d), 40), "i", "select window_start, ip from (select *, row_number() over (partition by window_start order by requests desc, ip) as r from i) where r <= 40")
+Q("f16_geo", "anomaly_id:s entity:s score:d", geo_anomalies)
+Q("f17_sessions", "anomaly_id:s entity:s score:d", lambda s, d: A.analyze_sessions(ss(s, d), **LOW["sessions"]))
+Q("f18_closed_unscored", "window_start:t", lambda s, d: A.closed_unscored(g(s, d), g(s, d).filter(F.hour("window_start") < 12), ["window_start"], NOW), "g", f"select window_start from g where window_end <= timestamp '{NOW}' - interval 2 minutes and hour(window_start) >= 12")
+Q("f19_rescore", "anomaly_id:s type:s entity_type:s score:d", anomalies)
+
+# -- incidents, alerts, quality, learning ---------------------------------------------------------------------
+
+Q("g1_correlate", "anomaly_id:s family:s group:s incident_id:s", correlated, "co", 'select *, grp as "group" from co')
+ORACLES["g1_correlate"] = ORACLES["g1_correlate"].replace("cast(group as varchar) as group", 'cast("group" as varchar) as "group"')
+Q("g2_fold_incidents", "incident_id:s anomaly_count:l started_at:t last_seen_at:t peak_score:d impact_requests:l duration_minutes:d", incidents, "co", "select incident_id, count(*) as anomaly_count, min(window_start) as started_at, max(window_start) as last_seen_at, max(score) as peak_score, sum(requests) as impact_requests, round((epoch(max(window_start)) - epoch(min(window_start))) / 60 + 1, 1) as duration_minutes from co group by 1")
+Q("g3_auto_resolve", "status:s n:l", lambda s, d: G.auto_resolve(incidents(s, d), NOW).groupBy("status").agg(F.count("*").alias("n")), "co", f"select case when b < timestamp '{NOW}' - interval 15 minutes then 'resolved' else 'open' end as status, count(*) as n from (select incident_id, max(window_start) as b from co group by 1) group by 1")
+Q("g4_match_rules", "anomaly_id:s rule_id:s", lambda s, d: G.match_rules(simple_anomalies(s, d), G.rules_table(s)), "an", f"select anomaly_id, rule_id from (select anomaly_id, unnest(list_filter([case when {_RANK} >= 4 then 'rule-critical-any' end, case when type = 'error_spike' and {_RANK} >= 3 then 'rule-error-spike' end, case when type in ('ddos_burst', 'suspicious_ip') and {_RANK} >= 3 then 'rule-ddos' end, case when type in ('auth_abuse', 'endpoint_scan') and {_RANK} >= 2 then 'rule-auth-abuse' end], lambda x: x is not null)) as rule_id from an)")
+Q("g5_fire_alerts", "alert_id:s rule_id:s entity:s severity:s", alerts)
+Q("g6_ground_truth", "minute:t label:s", truth, "g n i c e", "select distinct w as minute, 'error_spike' as label from (select date_trunc('hour', event_time) as w from e where attack_label is not null union all select date_trunc('day', event_time) from e where attack_label is not null)")
+_TRUTH = "select distinct date_trunc('hour', event_time) as minute, 'error_spike' as label from e where attack_label is not null"
+
+
+def _truth(s, d):
+    return V.ground_truth([g(s, d)])
+
+
+def _outcomes(s, d):
+    return V.minute_outcomes(g(s, d), _truth(s, d), simple_anomalies(s, d))
+
+
+_OUT = f"""select m.window_start as minute, t.label, case when t.label is not null then (case when hit_spike then 'tp' else 'fn' end) when any_hit then 'fp' else 'tn' end as outcome from g m left join ({_TRUTH}) t on t.minute = m.window_start
+  left join (select window_start, true as any_hit, bool_or(type = 'error_spike') as hit_spike from an where {_RANK} >= 2 group by 1) h on h.window_start = m.window_start"""
+Q("g7_match_truth", "minute:t label:s detected:t", lambda s, d: V.match_truth(_truth(s, d), simple_anomalies(s, d)), "an e", f"select distinct minute, label, window_start as detected from ({_TRUTH}) t join an on an.window_start = t.minute where type = 'error_spike'")
+Q("g8_minute_outcomes", "minute:t label:s outcome:s", _outcomes, "an g e", _OUT)
+Q("g8_detection_quality", "tp:l fp:l fn:l tn:l precision:d recall:d f1:d false_positive_rate:d", lambda s, d: V.detection_quality(_outcomes(s, d)), "an g e", f"select *, tp / (tp + fp) as precision, tp / (tp + fn) as recall, 2.0 * tp / (2 * tp + fp + fn) as f1, fp / (fp + tn) as false_positive_rate from (select count(*) filter (outcome = 'tp') as tp, count(*) filter (outcome = 'fp') as fp, count(*) filter (outcome = 'fn') as fn, count(*) filter (outcome = 'tn') as tn from ({_OUT}))")
+Q("g9_incident_recall", "label:s start:t minutes:l caught:b", lambda s, d: V.incident_recall(_truth(s, d), simple_anomalies(s, d)), "an g e", f"select label, minute as start, 1 as minutes, outcome = 'tp' as caught from ({_OUT}) where label is not null")
+Q("g10_detector_usage", "detector:s n:l", lambda s, d: V.detector_usage(simple_anomalies(s, d)), "an", "select 'rule' as detector, count(*) as n from an")
+Q("g10_per_scenario", "label:s true_positives:l false_negatives:l caught:l missed:l recall:d", lambda s, d: V.per_scenario(_outcomes(s, d), V.incident_recall(_truth(s, d), simple_anomalies(s, d))), "an g e", f"select label, tp as true_positives, fn as false_negatives, tp as caught, fn as missed, tp / (tp + fn) as recall from (select label, count(*) filter (outcome = 'tp') as tp, count(*) filter (outcome = 'fn') as fn from ({_OUT}) where label is not null group by 1)")
+Q("g11_global_features", "window_start:t rps:d bytes_per_request:d ip_gini:d", lambda s, d: L.global_features(g(s, d).drop("rps", "bytes_per_request")), "g", "select window_start, requests / 60.0 as rps, bytes_sent / requests as bytes_per_request, 0.0 as ip_gini from g")
+Q("g12_split_clean", "window_start:t", lambda s, d: L.split_clean(g(s, d)), "g", "select window_start from g where dominant_attack_label is null")
+
+
+def _forest(s, d):
+    rows = g(s, d)
+    forest, meta = L.train_forest(rows, ["rps", "error_rate", "p95_response_time", "unique_ips", "bytes_per_request", "bot_ratio"], trees=25)
+    return L.forest_detector(rows, forest, meta).select("window_start", F.col("isolation_forest.score").between(0, 1).alias("valid"))
+
+
+Q("g13_e12_isolation_forest", "window_start:t valid:b", _forest, "g", "select window_start, true as valid from g")
+Q("g14_traffic_profiles", "hours:l", lambda s, d: L.traffic_profiles(g(s, d)).agg(F.sum("hours").alias("hours")), "g", "select count(*) as hours from g")
+Q("g15_seasonal_baseline", "day_type:s bucket:l metric:s median:d p25:d p75:d p95:d samples:l", lambda s, d: L.seasonal_baseline(g(s, d)), "g", "select day_type, bucket, metric, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.25) as p25, quantile_cont(value, 0.75) as p75, quantile_cont(value, 0.95) as p95, count(value) as samples from (select case when isodow(window_start) >= 6 then 'weekend' else 'weekday' end as day_type, hour(window_start) * 4 as bucket, unnest([{'metric': 'requests', 'value': requests::double}, {'metric': 'error_rate', 'value': error_rate}, {'metric': 'p95_response_time', 'value': p95_response_time}, {'metric': 'unique_ips', 'value': unique_ips::double}], recursive := true) from g) group by 1, 2, 3")
+
+# -- observability ------------------------------------------------------------------------------------------
+
+
+def _progress(s, d):
+    """Progress events of a query whose batches are the log's hours."""
+    rows = g(s, d).select(F.hour("window_start").cast("string").alias("p"), "window_start", "requests", "errors_4xx")
+    text = F.format_string('{"name":"q","batchId":%d,"timestamp":"%s","numInputRows":%d,"durationMs":{"triggerExecution":%d},"stateOperators":[{"numRowsTotal":%d},{"numRowsTotal":1}],"sources":[{"endOffset":"{\\"t\\":{\\"0\\":%d}}","latestOffset":"{\\"t\\":{\\"0\\":%d,\\"1\\":2}}"}]}', F.unix_timestamp("window_start"), F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("requests"), F.col("errors_4xx"), F.col("requests"), F.col("errors_4xx"), F.col("requests"))
+    return H.parse_progress(rows.select(text.alias("json")))
+
+
+Q("h1_source_lag", "batchId:l topic:s lag:l", lambda s, d: H.source_lag(_progress(s, d)), "g", "select cast(epoch(window_start) as bigint) as batchId, 't' as topic, greatest(requests - errors_4xx, 0) + 2 as lag from g")
+Q("h2_progress_table", "batchId:l ts:t numInputRows:l trigger_ms:l state_rows:l", lambda s, d: H.progress_table(_progress(s, d)), "g", "select cast(epoch(window_start) as bigint) as batchId, window_start as ts, requests as numInputRows, errors_4xx as trigger_ms, requests + 1 as state_rows from g")
+
+
+def _batches(s, d):
+    return v(s, d).select(F.col("service").alias("query"), F.col("window_start").alias("ts"), F.col("requests").alias("rows"), F.col("errors").alias("anomalies"), F.col("p95_response_time").alias("duration_ms"))
+
+
+Q("h3_batch_rollup", "query:s batches:l rows:l anomalies:l avg_duration_ms:d max_duration_ms:d", lambda s, d: H.batch_rollup(_batches(s, d), NOW, 14_400)[0], "v", f"select service as query, count(*) as batches, sum(requests) as rows, sum(errors) as anomalies, round(avg(p95_response_time), 1) as avg_duration_ms, max(p95_response_time) as max_duration_ms from v where window_start >= timestamp '{NOW}' - interval 10 days group by 1")
+Q("h4_freshness", "newest:t age_seconds:l status:s", lambda s, d: H.freshness(g(s, d), "2024-02-01 00:00:00"), "g", "select newest, age_seconds, case when age_seconds < 180 then 'healthy' when age_seconds < 600 then 'degraded' else 'stalled' end as status from (select max(window_start) as newest, 1706745600 - epoch(max(window_start)) as age_seconds from g)")
+Q("h5_throughput", "requests:l windows:l rps:d", lambda s, d: H.throughput(g(s, d), NOW, 1440), "g", f"select sum(requests) as requests, count(*) as windows, sum(requests) / 86400.0 as rps from g where window_start > timestamp '{NOW}' - interval 1 day and window_start <= timestamp '{NOW}'")
+Q("h6_component_status", "component:s status:s", lambda s, d: H.component_status(v(s, d).select(F.col("service").alias("component"), F.col("window_start").alias("ts"), F.when(F.col("errors") > 0, "degraded").otherwise("healthy").alias("status")), "2024-01-31 00:00:00", 7200)[0], "v", "select service as component, case when 1706659200 - epoch(max(window_start)) > 7200 then 'down' else arg_max(case when errors > 0 then 'degraded' else 'healthy' end, window_start) end as status from v group by 1")
