@@ -5,15 +5,16 @@ of five words (all its words as one, if it has fewer; nothing, without words).
 linked if the Jaccard similarity of their sets is at least 0.75; components of links are found.
 
 1. One pass over the texts makes, for each document, the set's size, a 128-bit fingerprint of the
-   set, 128 MinHash samples folded into 32 band keys of four samples (a pair at 0.75 shares no key
-   with probability 5e-6), and the samples' odd sketch: a bitmap of 512 bits in which each sample
-   flips one.  Sets of equal fingerprint are one class; only its smallest document goes on, so
-   copies cost a row each and no pairs.
+   set, MinHash samples of which 128 are folded into 32 band keys of four (a pair at 0.75 shares no
+   key with probability 5e-6), and an odd sketch: a bitmap of 2048 bits in which each sample flips
+   one.  The sketch of a set of more than ``WHOLE`` shingles folds 256 MinHash samples; a smaller
+   set is its own sample, so nothing is lost to sampling.  Sets of equal fingerprint are one class;
+   only its smallest document goes on, so copies cost a row each and no pairs.
 2. Candidates come from documents that share a band key, never as all pairs of a bucket.  First
    every member of a bucket is held against the bucket's smallest document.  The odd sketches of
-   a pair are compared by the population count of their XOR; pairs of an estimate below
-   ``FLOOR`` go (a linked pair falls below it with probability 3e-8), all others are confirmed on
-   their full sets.  Links are contracted to components.
+   a pair are compared by the population count of their XOR; pairs of an estimate below the floor
+   go (a linked pair falls below it with a probability of about 1e-7), all others are confirmed on
+   their full sets.  Two sketches of different kinds aren't compared; such pairs are confirmed.  Links are contracted to components.
 3. Only buckets that still hold several components can hide a link that matters.  Their members
    are dealt into tiles of bounded size, every two tiles of a bucket meet in one task, and the
    sketches of members of different components are compared there.  In the first rounds each
@@ -27,6 +28,8 @@ own set size.  Rows with a null doc_id take no part in linking and come out with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,9 +40,13 @@ from pyspark.sql import types as T
 from tidegauge.llm.common import checkpoint, fields
 
 WORDS = 5
-SAMPLES, ROWS, SKETCH_BITS = 128, 4, 512
-#: Estimated similarity below which a candidate is not confirmed on full sets.
-FLOOR = 0.5
+BANDS, ROWS, SAMPLES, SKETCH_BITS = 32, 4, 256, 2048
+#: Sets of at most so many shingles are folded into their sketch whole.
+WHOLE = 1024
+#: Estimated similarity below which a candidate is not confirmed on full sets, of whole and of sampled sets.
+FLOOR, SAMPLED_FLOOR = 0.72, 0.6
+#: Bits of the map of documents whose texts are read again; beyond as many documents it only filters less.
+MAP_BITS = 1 << 24
 TILE = 256
 #: Rounds of likeliest partners before the round of all pairs.
 EAGER_ROUNDS = 2
@@ -71,36 +78,41 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(run)
 
 
-def minhash(found: np.ndarray) -> np.ndarray:
-    """The samples of a set that isn't empty."""
+def minhash(found: np.ndarray, samples: int) -> np.ndarray:
+    """The first samples of a set that isn't empty."""
     x = (found ^ (found >> np.uint64(32))).astype(np.uint32)[None, :]
-    best = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    best = np.full(samples, 0xFFFFFFFF, np.uint32)
     for at in range(0, x.shape[1], 512):
-        best = np.minimum(best, (x[:, at : at + 512] * _A + _B).min(axis=1))
+        best = np.minimum(best, (x[:, at : at + 512] * _A[:samples] + _B[:samples]).min(axis=1))
     return best
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Bitmaps (rows of bytes) of rows of samples: a sample flips the bit that it and its number hash to."""
+def odd_sketch(samples: np.ndarray) -> bytes:
+    """Bitmap in which each 64-bit sample flips the bit that it hashes to."""
+    bit = (samples * _P[2]) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+    return np.packbits((np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_of(found: np.ndarray, samples: np.ndarray | None) -> bytes:
+    """The odd sketch of a set: of itself, or of its numbered MinHash samples if it is large."""
     with np.errstate(over="ignore"):
-        bit = (_mix(samples.astype(np.uint64) * _C) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
-    n = len(samples)
-    count = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + bit).ravel(), minlength=n * SKETCH_BITS)
-    return np.packbits((count & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+        return odd_sketch(found if samples is None else _mix(samples.astype(np.uint64) * _C))
 
 
-def estimate(differing: np.ndarray) -> np.ndarray:
-    """Similarity from the population count of two sketches' XOR."""
-    share = np.minimum(2 * differing / SKETCH_BITS, 1 - 1e-9)
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log1p(-share)
+def could_link(differing: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sketches whose XOR has ``differing`` bits, of sets of sizes m and n, leave a link possible."""
+    differ = -SKETCH_BITS / 2 * np.log1p(-np.minimum(2 * differing / SKETCH_BITS, 1 - 1e-9))
+    small, large = np.maximum(m, n) <= WHOLE, np.minimum(m, n) > WHOLE
+    whole = (m + n - differ) / (m + n + differ) >= FLOOR
+    sampled = 1 - differ / (2 * SAMPLES) >= SAMPLED_FLOOR
+    return np.where(small, whole, np.where(large, sampled, True))
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of a row of samples."""
-    bands = SAMPLES // ROWS
     with np.errstate(over="ignore"):
-        key = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _P[0], (len(samples), 1))
-        rows = samples.reshape(len(samples), bands, ROWS).astype(np.uint64)
+        key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _P[0], (len(samples), 1))
+        rows = samples.reshape(len(samples), BANDS, ROWS).astype(np.uint64)
         for i in range(ROWS):
             key = _mix(key * _P[1] + rows[:, :, i])
     return key.view(np.int64)
@@ -122,24 +134,45 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             sizes[at : at + len(sets)] = [len(s) for s in sets]
             has = [i for i, s in enumerate(sets) if len(s)]
             if has:
-                samples = np.stack([minhash(sets[i]) for i in has])
-                for i, b, o in zip(has, band_keys(samples), odd_sketch(samples), strict=True):
-                    ids[at + i], bands[at + i], sketch[at + i] = xxhash.xxh3_128_digest(sets[i].tobytes()), b, o.tobytes()
+                samples = [minhash(sets[i], SAMPLES if len(sets[i]) > WHOLE else BANDS * ROWS) for i in has]
+                for i, b, x in zip(has, band_keys(np.stack([x[: BANDS * ROWS] for x in samples])), samples, strict=True):
+                    ids[at + i], bands[at + i] = xxhash.xxh3_128_digest(sets[i].tobytes()), b
+                    sketch[at + i] = sketch_of(sets[i], x if len(sets[i]) > WHOLE else None)
         return pd.DataFrame({"n_shingles": sizes, "set_id": ids, "bands": bands, "sketch": sketch})
 
     keep = [c for c in docs.columns if c != text]
     return docs.select(*keep, sign(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("_s")).select(*keep, "_s.*")
 
 
+def _mapped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be in ``wanted``: of a map of fixed size that marks the ids' hashes.
+
+    It keeps the other texts out of the shuffle of the exact join that follows.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    marks = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    table = np.zeros((MAP_BITS // 32768 + 1, 4096), np.uint8)
+    for bucket, bits in marks.collect():
+        table[bucket] = np.frombuffer(bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table.ravel())
+
+    @F.pandas_udf(T.BooleanType())
+    def marked(bucket: pd.Series, position: pd.Series) -> pd.Series:
+        at = position.to_numpy()
+        return pd.Series((shared.value[bucket.to_numpy() * 4096 + at // 8] >> (at % 8)) & 1 == 1)
+
+    return docs.filter(marked(F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """Those rows (a, b) of ``pairs`` whose full sets' Jaccard similarity is at least percent / 100."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
 
     @F.pandas_udf(T.BinaryType())
     def whole_set(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingles(t).tobytes())
 
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", whole_set(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("found"))
+    sets = _mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", whole_set(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("found"))
     sets = checkpoint(sets)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y")), "b")
 
@@ -192,27 +225,55 @@ def _cross_pairs(members: DataFrame, eager: bool) -> DataFrame:
     meet = F.transform(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("p"), F.greatest(t, F.col("tile")).alias("q")))
     dealt = members.withColumn("tile", own).withColumn("meet", F.explode(meet)).select("band", "meet.p", "meet.q", "tile", "doc_id", "component", "n_shingles", "sketch")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        ids, part, size, tile = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy(float), pdf["tile"].to_numpy()
-        within = bool(pdf["p"].iat[0] == pdf["q"].iat[0])
-        bits = np.stack([np.frombuffer(s, np.uint64) for s in pdf["sketch"]])
-        found_a, found_b = [], []
-        for i in range(len(ids) - 1):
-            other = slice(i + 1, None)
-            fits = np.flatnonzero(((tile[other] != tile[i]) | within) & (part[other] != part[i]) & (np.minimum(size[other], size[i]) >= 0.75 * np.maximum(size[other], size[i]) - 1e-9))
-            if not len(fits):
-                continue
-            like = estimate(np.bitwise_count(bits[other][fits] ^ bits[i]).sum(axis=1))
-            good = like >= FLOOR
-            fits, like = fits[good] + i + 1, like[good]
-            if eager and len(fits):
-                fits = fits[[int(np.argmax(like))]]
-            found_a += [ids[i]] * len(fits)
-            found_b += ids[fits].tolist()
-        return pd.DataFrame({"a": found_a, "b": found_b}, dtype="int64")
-
-    return dealt.groupBy("band", "p", "q").applyInPandas(lambda pdf: compare(pdf), "a bigint, b bigint").distinct()
+    # tasks by count of rows, not bytes: the work is in comparing
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q", "doc_id")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            # the last meeting may go on in the next batch
+            new = np.ones(len(rows), bool)
+            keys = rows[["band", "p", "q"]].to_numpy()
+            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            last = int(np.flatnonzero(new)[-1])
+            held = rows.iloc[last:]
+            if last:
+                yield _alike_in_meetings(rows.iloc[:last], new[:last], eager)
+        if held is not None:
+            yield _alike_in_meetings(held, np.arange(len(held)) == 0, eager)
+
+    return met.mapInPandas(compare, "a bigint, b bigint").distinct()
+
+
+def _alike_in_meetings(rows: pd.DataFrame, new: np.ndarray, eager: bool) -> pd.DataFrame:
+    """Pairs of rows of one meeting (``new``: where each begins) that look alike; eager: the likeliest of each row."""
+    ids, part, size, tile = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "tile"))
+    within = (rows["p"] == rows["q"]).to_numpy()
+    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    starts = np.flatnonzero(new)
+    ends = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
+    left = np.arange(len(rows))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for ahead in range(1, len(rows)):
+        left = left[left + ahead < ends[left]]
+        if not len(left):
+            break
+        right = left + ahead
+        fits = (part[left] != part[right]) & (within[left] | (tile[left] != tile[right])) & (np.minimum(size[left], size[right]) * 100 >= np.maximum(size[left], size[right]) * 75)
+        i, j = left[fits], right[fits]
+        differing = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
+        good = could_link(differing, size[i], size[j])
+        found.append((i[good], j[good], (differing / (size[i] + size[j]))[good]))
+    if not found:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+    if eager:
+        best = np.lexsort((apart, ids[i]))
+        best = best[np.unique(ids[i][best], return_index=True)[1]]
+        i, j = i[best], j[best]
+    return pd.DataFrame({"a": ids[i], "b": ids[j]}, dtype="int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -235,11 +296,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = checkpoint(reps.select("doc_id", "n_shingles", "sketch").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     @F.pandas_udf(T.BooleanType())
-    def looks_alike(x: pd.Series, y: pd.Series) -> pd.Series:
+    def looks_alike(x: pd.Series, y: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=bool)
         p, q = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (x, y))
-        return pd.Series(estimate(np.bitwise_count(p ^ q).sum(axis=1)) >= FLOOR)
+        return pd.Series(could_link(np.bitwise_count(p ^ q).sum(axis=1), m.to_numpy(), n.to_numpy()))
 
     # every member against the smallest of its bucket
     def side(x: str) -> DataFrame:
@@ -247,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = members.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 75)
-    tried = checkpoint(stars.filter(looks_alike("sa", "sb")).select("a", "b"))
+    tried = checkpoint(stars.filter(looks_alike("sa", "sb", "na", "nb")).select("a", "b"))
     found = components(confirm(tried, known))
 
     for again in range(EAGER_ROUNDS + 1):
