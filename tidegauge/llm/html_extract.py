@@ -151,7 +151,7 @@ def _own_score(b: Block) -> float:
     """What a block's own text says: long texts are content, links are not."""
     heading = b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     links = b.link_chars / max(1, b.chars)
-    return -0.8 + 0.45 * math.log1p(b.chars / 20) + (0.8 if b.tag in ("p", "blockquote", "pre", "td", "li") or heading else 0.0) - 3.0 * links
+    return -0.5 + 0.45 * math.log1p(b.chars / 20) + (0.8 if b.tag in ("p", "blockquote", "pre", "td", "li") or heading else 0.0) - 3.0 * links
 
 
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

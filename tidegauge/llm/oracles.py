@@ -58,11 +58,11 @@ def _near_duplicates() -> str:
       from words),
     items as (select doc_id, unnest(s) as item from shingled),
     common as (
-      select a.doc_id as x, b.doc_id as y, count(*) as both
+      select a.doc_id as x, b.doc_id as y, count(*) as shared
       from items a join items b on a.item = b.item and a.doc_id <> b.doc_id group by 1, 2),
     links as (
       select x, y from common join shingled p on p.doc_id = x join shingled q on q.doc_id = y
-      where 100 * both >= 75 * (len(p.s) + len(q.s) - both)),
+      where 100 * shared >= 75 * (len(p.s) + len(q.s) - shared)),
     reached as (
       select doc_id, doc_id as other from shingled
       union

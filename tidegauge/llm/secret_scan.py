@@ -26,7 +26,7 @@ ACCESS = r"()(AKIA[A-Z0-9]{12,})"
 HEX = r"()([0-9a-f]{32,})"
 BASE = (("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32))
 LONG_RUN = r"()((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,})"
-FALSE_DISCOVERIES = 0.02
+FALSE_DISCOVERIES = 0.1
 #: Alphabets of the inferred encodings, in the order in which they are tried.
 ENCODINGS = (
     (r"^[0-9]+$", "0123456789"),
