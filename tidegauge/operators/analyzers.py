@@ -73,6 +73,7 @@ def analyze_global(rows: DataFrame, thresholds: dict | None = None, lookback_sec
         "_p95": F.coalesce(median(F.col("h_p95_response_time")), p95),
         "_forest": forest if forest is not None else D.neutral("isolation_forest"),
     })
+    base = base.persist()  # five jobs and their exclusions read it
     shown = ["requests", "rps", "error_rate", "server_error_rate", "p95_response_time", "p99_response_time", "unique_ips", "unique_sessions", "ip_gini", "path_entropy"]
     shown = [c for c in shown if c in base.columns]
     entity = F.lit("all-traffic")
@@ -118,7 +119,7 @@ def analyze_endpoints(rows: DataFrame, thresholds: dict | None = None, lookback_
     z, points, alpha = t["zscore_threshold"], t["min_history_points"], t["ewma_alpha"]
     base = D.with_history(_with_share(rows), ["p95_response_time", "server_error_rate", "_share"], ["endpoint"], lookback_seconds, tie="method").filter(F.col("requests") >= min_requests)
     p95, server, share = F.col("p95_response_time"), F.col("server_error_rate"), F.col("_share")
-    base = base.withColumns({"_p95": F.coalesce(median(F.col("h_p95_response_time")), p95), "_server": F.coalesce(median(F.col("h_server_error_rate")), F.lit(0.0)), "_usual": F.coalesce(median(F.col("h__share")), share)})
+    base = base.withColumns({"_p95": F.coalesce(median(F.col("h_p95_response_time")), p95), "_server": F.coalesce(median(F.col("h_server_error_rate")), F.lit(0.0)), "_usual": F.coalesce(median(F.col("h__share")), share)}).persist()
     shown, entity = ["requests", "error_rate", "p50_response_time", "p95_response_time", "p99_response_time", "apdex", "unique_ips"], F.col("endpoint")
     shown = [c for c in shown if c in rows.columns]
     slow = rule(soft_score(p95 / F.greatest(F.col("_p95"), F.lit(1.0)), t["latency_p95_multiplier"], 4.0), F.concat(F.lit("p95 "), D.number(p95, 0), F.lit(" ms vs "), D.number(F.col("_p95"), 0)))
@@ -145,7 +146,7 @@ def analyze_ips(rows: DataFrame, thresholds: dict | None = None, top_n: int = 40
     middle = people.groupBy("window_start").agg(F.percentile("requests", 0.5).alias("_middle"))
     seconds = F.greatest(F.unix_timestamp("window_end") - F.unix_timestamp("window_start"), F.lit(1))
     base = people.join(middle, "window_start").filter(F.col("requests") >= 5).withColumn("_rps", F.col("requests") / seconds)
-    base = base.withColumn("_forest", forest if forest is not None else D.neutral("isolation_forest"))
+    base = base.withColumn("_forest", forest if forest is not None else D.neutral("isolation_forest")).persist()
     entity, shown = F.col("ip"), ["requests", "unique_paths", "unique_user_agents", "error_ratio", "not_found_ratio", "auth_fail_count", "avg_response_time", "bytes_sent", "path_entropy", "burstiness"]
     models = [F.col("_forest"), F.col("mahalanobis")]
     limit = t["ip_rps_threshold"]

@@ -275,7 +275,6 @@ Q("d2_auto_timeseries", "t:t requests:d", lambda s, d: X.timeseries(g(s, d), ["r
 _KPI = "sum(requests) as requests, sum(requests) / 864000.0 as rps, max(rps) as peak_rps, sum(errors_4xx + errors_5xx) as errors, sum(errors_4xx + errors_5xx) / sum(requests) as error_rate, 1 - sum(errors_5xx) / sum(requests) as availability, avg(p95_response_time) as p95, avg(apdex) as apdex, count(*) as windows"
 Q("d3_kpi_totals", "requests:l rps:d peak_rps:d errors:l error_rate:d availability:d apdex:d windows:l", lambda s, d: X.kpi_totals(g(s, d), START, END), "g", f"select {_KPI} from g where window_start between timestamp '{START}' and timestamp '{END}'")
 Q("d4_kpi_deltas", "requests_delta:d errors_delta:d", lambda s, d: X.kpi_deltas(g(s, d), START, END), "g", f"select round((a - b) / b * 100, 2) as requests_delta, round((x - y) / y * 100, 2) as errors_delta from (select sum(requests) filter (now) as a, sum(requests) filter (not now) as b, sum(errors_4xx + errors_5xx) filter (now) as x, sum(errors_4xx + errors_5xx) filter (not now) as y from (select *, window_start >= timestamp '{START}' as now from g where window_start between timestamp '{START}' - interval 10 days and timestamp '{END}'))")
-_WIDE = ", ".join(f"cast(coalesce(sum(case when status_class = '{k}' then {{0}} end), 0) as bigint) as \"{k}\"" for k in X.STATUS_CLASSES)
 
 
 def _renamed(df: DataFrame) -> DataFrame:
@@ -331,7 +330,6 @@ Q("d32_merged_feed", "anomaly_id:s severity:s", lambda s, d: X.merged_feed(simpl
 
 _PAST = "(partition by 1 order by epoch(window_start) range between 259200 preceding and 1 preceding)"
 _HIST = f"select *, list(requests::double) over {_PAST} as h from g"
-_MED = "select *, len(h) as k, list_median(h) as med from (select window_start, requests, h from hist where len(h) >= 1)".replace("list_median", "list_median")
 _Z = f"""with hist as ({_HIST}), m as (select window_start, requests, h, list_aggregate(h, 'median') as med, len(h) as k from hist where h is not null and len(h) > 0),
   d as (select *, list_aggregate(list_transform(h, lambda x: abs(x - med)), 'median') as mad from m),
   f as (select *, case when 1.4826 * mad >= 1e-9 then 1.4826 * mad when list_aggregate(h, 'stddev_pop') >= 1e-9 then list_aggregate(h, 'stddev_pop') else greatest(abs(med) * 0.1, 1) end as sigma from d)"""
