@@ -94,6 +94,12 @@ def band(frequency: np.ndarray, n: int, least: int = LEAST_DOCS, most: float = M
 _SEEDS = np.array([h64(str(i).encode(), 77) | 1 for i in range(24)], np.uint64)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
 def _subset_bits(t: np.ndarray, level: int) -> np.ndarray:
     """For each term a word whose bit k says whether subset k keeps it: bits are on with chance 2**-level."""
     kept = np.full(len(t), ~np.uint64(0))
@@ -112,13 +118,14 @@ def fingerprint(text: str, lexicon: np.ndarray, bits: int = BITS, subsets: int =
         return "text:" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
     level = max(0, math.floor(math.log2(len(found) / TERMS_A_SUBSET)))
     out = []
+    mixed = _mix(found)
     for at in (level, level + 1):
         kept = _subset_bits(found, at)
-        hashes = []
-        for k in range(subsets):
-            own = found[(kept >> np.uint64(k)) & np.uint64(1) == 1]
-            hashes.append(f"{h64(own.tobytes()) & 0xFFFF:04x}" if len(own) else "----")
-        out.append("".join(hashes))
+        chosen = np.flatnonzero(kept & np.uint64((1 << subsets) - 1))  # at higher levels most terms are in no subset
+        on = (kept[chosen, None] >> np.arange(subsets, dtype=np.uint64)) & np.uint64(1)
+        # the hash of a subset's terms: their mixed hashes' sum, mixed again
+        hashes = _mix((on * mixed[chosen, None]).sum(axis=0, dtype=np.uint64)) & np.uint64(0xFFFF)
+        out.append("".join([f"{h:04x}" if some else "----" for h, some in zip(hashes.tolist(), on.any(axis=0).tolist(), strict=True)]))
     return f"{len(found)}:{level}:{out[0]}:{out[1]}"
 
 
