@@ -19,6 +19,7 @@ Null text counts as empty (no ids).  Ids keep the order of the text; repeated ro
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -49,6 +50,15 @@ class PieceMemo:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings come and go here, none of them in a cycle
+        try:
+            return self._encode_texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_texts(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         start = 0
         while start < len(texts):  # about a million characters at a time, so that few pieces are new at once
@@ -232,14 +242,16 @@ class RankBPE:
 
 
 _CUT = regex.compile(r" (?=\S)")
-_ODD = regex.compile(r" (?!\S)")
+#: A blank before one of these starts no piece.
+_ODD = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def pieces(text: str) -> list[str]:
     """Cuts before each blank that a non-blank follows; joined again, the pieces are the text."""
     if not text:
         return []
-    found = text.split(" ") if _ODD.search(text) is None else _CUT.split(text)
+    plain = text[-1] != " " and not any([odd in text for odd in _ODD])
+    found = text.split(" ") if plain else _CUT.split(text)
     return [found[0], *[" " + p for p in found[1:]]] if found[0] else [" " + p for p in found[1:]]
 
 

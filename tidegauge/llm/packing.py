@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -49,12 +50,24 @@ def library_tokenizer(path: str) -> PieceMemo:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         encode = tokenizer.encode_batch_fast
+        (line_feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
+        solid = re.compile(r" ?\S+").fullmatch
 
         def encode_pieces(missing: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for start in range(0, len(missing), 8192):
-                out += [np.array(x.ids, "<u4").tobytes() for x in encode(missing[start : start + 8192], add_special_tokens=False)]
-            return out
+            """Pieces without inner blanks go to the library many at a time, a line feed between
+            them: it is a match of its own there, and no such piece holds its token."""
+            found: dict[str, bytes] = {}
+            joined = [p for p in missing if solid(p)]
+            parts = [joined[i : i + 64] for i in range(0, len(joined), 64)]
+            for part, x in zip(parts, encode(["\n".join(part) for part in parts], add_special_tokens=False), strict=True):
+                ids = np.array(x.ids, "<u4")
+                cuts = np.flatnonzero(ids == line_feed)
+                raw, begins, ends = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+                found.update(zip(part, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
+            rest = [p for p in missing if p not in found]
+            for p, x in zip(rest, encode(rest, add_special_tokens=False), strict=True):
+                found[p] = np.array(x.ids, "<u4").tobytes()
+            return [found[p] for p in missing]
 
         _LOADED[path] = PieceMemo(encode_pieces)
     return _LOADED[path]
