@@ -17,7 +17,7 @@ linked if the Jaccard similarity of their sets is at least 0.75; components of l
    their full sets.  Two sketches of different kinds aren't compared; such pairs are confirmed.  Links are contracted to components.
 3. Only buckets that still hold several components can hide a link that matters.  Their members
    are dealt into tiles of bounded size, every two tiles of a bucket meet in one task, and the
-   sketches of members of different components are compared there.  In the first rounds each
+   sketches of members of different components are compared there.  In the first round each
    document reports its likeliest partner only, since one link makes the other pairs of two
    components needless; the last round reports every remaining pair, so that nothing is lost.
 
@@ -49,7 +49,7 @@ FLOOR, SAMPLED_FLOOR = 0.72, 0.6
 MAP_BITS = 1 << 24
 TILE = 256
 #: Rounds of likeliest partners before the round of all pairs.
-EAGER_ROUNDS = 2
+EAGER_ROUNDS = 1
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = (_rng.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1))[:, None]
@@ -206,13 +206,13 @@ def components(links: DataFrame) -> DataFrame:
         return out.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
+    while not edges.isEmpty():
         edges = checkpoint(star(star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select("v", "v").distinct())
-        before = now
+        # done when every document points at one other, and that one at none
+        several = edges.groupBy("u").count().filter("count > 1")
+        if several.isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
+    return checkpoint(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select("v", "v").distinct()))
 
 
 def _cross_pairs(members: DataFrame, eager: bool) -> DataFrame:
