@@ -17,22 +17,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import neardup, packing, quality, secret_scan
-from tidegauge.llm.common import table
+from tidegauge.llm.common import small_batches, table
 from tidegauge.llm.queries import quality_model, tokenizer_file
 from tidegauge.session import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    small_batches(spark)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.3.  Only labelled rows outside the held-out fifth train."""
-    ship_package(spark)
+    _ready(spark)
     return quality.score(docs, quality_model(spark, sf_dir, docs), out="_score").filter("_score >= 0.3").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each component; rows that repeat a doc_id are one document."""
-    ship_package(spark)
+    _ready(spark)
     kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
     return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
@@ -46,7 +51,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document: where it stands in which sequence."""
-    ship_package(spark)
+    _ready(spark)
     return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
 
 

@@ -33,7 +33,7 @@ ROUNDS = 4
 ALPHA, BETA, L1, L2 = 2, 1.0, 1e-3, 1e-3
 #: A text's values add to this.
 SCALE = 8.0
-_MEMO_SIZE = 300_000
+_MEMO_SIZE = 150_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _REPEATED = np.uint64(0x5BD1E995)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -164,6 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             return np.zeros(size + 1)
         z = np.mean([np.frombuffer(p["z"], np.float32) for p in parts], axis=0, dtype=np.float64)
         n = np.mean([np.frombuffer(p["n"], np.float32) for p in parts], axis=0, dtype=np.float64)
+        if state["value"] is not None:
+            state["value"].unpersist()
         state = {"value": sc.broadcast((z, n))}
     return weights(z, n)
 
