@@ -128,6 +128,33 @@ def test_fingerprints(spark):
     assert imatch.compare_edited(df.limit(0), imatch.band(frequency, n)).count() == 0
 
 
+@pytest.mark.parametrize("slots", [imatch.TEXT_SLOTS, 8])
+def test_distinct_texts(spark, slots):
+    rows = texts(6, 50) + [None, "", " ", "a", "a ", "a"] + ["x y"] * 40
+    got = imatch.distinct_texts(documents(spark, enumerate(rows)), slots=slots).collect()
+    assert sorted(r["text"] for r in got) == sorted({t or "" for t in rows})
+    assert imatch.distinct_texts(documents(spark, [(1, "a")]).limit(0), slots=slots).count() == 0
+
+
+def test_large_groups_of_copies_keep_their_fingerprints(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    written = [" ".join(rng.sample(vocabulary, 40)) for _ in range(120)]
+    copied, near = written[0].split(), [f"n{i}" for i in range(60)]
+    near_copies = [" ".join([*near[:50], *rng.sample(vocabulary, 10)]) for _ in range(60)]
+    # a third of the rows are copies of one text; of the distinct texts, a third are near copies
+    df = documents(spark, enumerate([*written, *[written[0]] * 90, *near_copies]))
+    lexicon = imatch.lexicon_of(df)
+    count = lambda t: int(imatch.fingerprint(t, lexicon).split(":")[0])
+    assert count(written[0]) == 40 and count(near_copies[0]) == 60
+    edited = " ".join(copied[:34] + written[1].split()[:6])
+    assert imatch.likeness(imatch.fingerprint(written[0], lexicon), imatch.fingerprint(edited, lexicon)) > 0.5
+    pairs = list(itertools.pairwise(near_copies))
+    alike = [imatch.likeness(*(imatch.fingerprint(t, lexicon) for t in pair)) for pair in pairs]
+    assert sum(alike) / len(alike) > 0.5
+    assert imatch.fingerprint("only words that nobody else has", lexicon).startswith("6:") and imatch.fingerprint(" ", lexicon).startswith("text:")
+
+
 def test_likeness_follows_shared_terms():
     lexicon = np.ones(1 << imatch.BITS, bool)
     rng = random.Random(6)

@@ -2,8 +2,10 @@
 
 Terms are the blank-separated words of the lower-cased text.  The lexicon keeps terms whose inverse
 document frequency lies in a band: words of nearly every document say nothing, words of a single
-one are slips or noise.  Document frequencies are counted over the whole corpus, in a table of
-``2**BITS`` hashed terms, so that what is gathered and broadcast is bounded by a parameter.
+one are slips or noise.  Document frequencies are counted over the distinct texts of the whole corpus,
+so that copies of one text don't make its words common, in a table of ``2**BITS`` hashed terms, so
+that what is gathered and broadcast is bounded by a parameter.  Terms that share a slot are counted
+together: with far more than ``2**BITS`` distinct terms, terms of a single text stay in the lexicon.
 
 A fingerprint hashes the sorted distinct terms of a text that fall into each of ``SUBSETS`` random
 subsets of the lexicon.  A subset keeps a term with a probability of ``2**-level``; the level
@@ -13,8 +15,12 @@ likeness is read from the share of subsets on which they agree: texts that diffe
 on a subset with probability ``(1 - 2**-level)**d``, which gives d, and with the two counts of
 terms the Jaccard similarity of their terms.
 
-Null text counts as empty.  A text without a term in the band is fingerprinted by the hash of all
-its characters and is like equal texts only.  Equal texts have equal fingerprints.
+A text with less than ``LEAST_SHARE`` of its distinct terms in the band, as in a large group of near
+copies, would be told by its odd words alone; it is fingerprinted by all its distinct terms, in the
+same subsets.  Between a text on either side of that share the likeness comes out too low.
+
+Null text counts as empty.  A text without any term is fingerprinted by the hash of all its
+characters and is like equal texts only.  Equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -35,6 +41,10 @@ BITS = 20
 SUBSETS = 32
 #: The band: terms of at least so many documents, and of at most this share of them.
 LEAST_DOCS, MOST_SHARE = 2, 0.2
+#: Texts with less of their distinct terms in the band are fingerprinted by all of them.
+LEAST_SHARE = 1 / 3
+#: Slots of text hashes, by which copies are looked for: what is gathered is at most a number for each.
+TEXT_SLOTS = 1 << 22
 #: About so many terms of a text fall into a subset, at the lower of its two levels at most twice as many.
 TERMS_A_SUBSET = 1.5
 SEGMENTS = 64
@@ -53,6 +63,25 @@ def terms(text: str) -> np.ndarray:
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
+def distinct_texts(docs: DataFrame, text: str = "text", slots: int = TEXT_SLOTS) -> DataFrame:
+    """Each text once.
+
+    A text whose hash falls alone into its slot has no copy and stays where it is; only the others are moved.
+    """
+    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).withColumn("_slot", F.pmod(F.xxhash64(text), F.lit(slots)).cast("int"))
+    taken = np.zeros(slots, bool)
+    taken[rows.groupBy("_slot").count().filter("count > 1").select("_slot").toArrow()["_slot"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
+
+    @F.pandas_udf(T.BooleanType())
+    def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            k = s.to_numpy()
+            yield pd.Series((shared.value[k >> 3] >> (7 - (k & 7)) & 1) == 0)
+
+    return rows.filter(alone("_slot")).select(text).unionByName(rows.filter(~alone("_slot")).select(text).distinct())
+
+
 def document_frequency(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[np.ndarray, int]:
     """Number of documents by hashed term, and of all documents.
 
@@ -113,7 +142,8 @@ def _subset_bits(t: np.ndarray, level: int) -> np.ndarray:
 def fingerprint(text: str, lexicon: np.ndarray, bits: int = BITS, subsets: int = SUBSETS) -> str:
     """``count:level:hashes:hashes``, four hexadecimal digits a subset; ``text:hash`` without terms."""
     found = terms(text)
-    found = np.sort(found[lexicon[(found >> np.uint64(64 - bits)).astype(np.int64)]])
+    banded = found[lexicon[(found >> np.uint64(64 - bits)).astype(np.int64)]]
+    found = np.sort(found if len(banded) < LEAST_SHARE * len(found) else banded)
     if not len(found):
         return "text:" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
     level = max(0, math.floor(math.log2(len(found) / TERMS_A_SUBSET)))
@@ -154,7 +184,7 @@ def likeness(a: str, b: str) -> float:
 
 
 def lexicon_of(docs: DataFrame, text: str = "text", bits: int = BITS) -> np.ndarray:
-    return band(*document_frequency(docs, text, bits))
+    return band(*document_frequency(distinct_texts(docs, text), text, bits))
 
 
 def add_fingerprint(docs: DataFrame, lexicon: np.ndarray, text: str = "text", out: str = "fingerprint", bits: int = BITS) -> DataFrame:
