@@ -6,10 +6,18 @@ and three tests ask whether it departs from uniform draws of that alphabet no mo
 would: a chi-squared test of the symbols' counts, a runs test of lower and upper half of the
 alphabet, and the lag-1 serial correlation of symbol numbers.  They are equivalence tests: the null
 hypothesis is a departure as large as that of ordinary words, so a small p-value is evidence of
-randomness, and a short run can't be significant.  A run's p-value is the largest of the three.
-Among the runs of a document the Benjamini-Hochberg rule bounds the share of false discoveries;
-p-values are weighted by length over mean length, so that longer runs, whose tests say more, get
-more of it.  Accepted runs that no base span covers are added as spans of kind "random".
+randomness.  Words in a row pass the last two as well as random runs do, so these bring no evidence
+for a run: its p-value is that of the counts, or 1 if runs or correlation depart by more than their
+margin, or if upper case, lower case, digits and signs are dealt as one in a thousand random runs at
+most.  (Stouffer's sum of the three finds most identifiers and paths random; the largest of the
+three finds few secrets of 32 characters.)
+
+Among the runs of a document the Benjamini-Hochberg rule bounds the share of false discoveries.
+Runs with a p-value over ``DISCARD`` are plainly ordinary; they are left out and the others' values
+divided by ``DISCARD``, which keeps the bound as ordinary runs' values lean to 1, so that a verdict
+doesn't depend on how many ordinary runs stand beside it.  p-values are weighted by length over mean
+length, so that longer runs, whose tests say more, get more of it.  Accepted runs that no base span
+covers are added as spans of kind "random".
 
 Positions are code points, ends exclusive.  Null text counts as empty and has no spans.
 """
@@ -27,6 +35,11 @@ HEX = r"()([0-9a-f]{32,})"
 BASE = (("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32))
 LONG_RUN = r"()((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,})"
 FALSE_DISCOVERIES = 0.1
+#: Runs with larger p-values don't count among those that are tested together.
+DISCARD = 0.5
+#: Kinds of characters, and the chi-squared values that one random run in a thousand exceeds, by degrees of freedom.
+CLASSES = ("A-Z", "a-z", "0-9", "+/_-")
+CLASS_LIMITS = (1e9, 10.83, 13.82, 16.27)
 #: Alphabets of the inferred encodings, in the order in which they are tried.
 ENCODINGS = (
     (r"^[0-9]+$", "0123456789"),
@@ -92,11 +105,15 @@ def randomness(run: Column) -> Column:
         total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
         lagged = F.aggregate(F.sequence(F.lit(2), F.size(x)), F.lit(0.0), lambda acc, i: acc + (F.element_at(x, i) - mean) * (F.element_at(x, i - 1) - mean))
         p_serial = F.when(total == 0, 1.0).otherwise(_normal((F.abs(lagged / F.greatest(total, F.lit(1e-9))) - 0.5) * F.sqrt(n)))
-        return F.greatest(p_counts, p_runs, p_serial)
+        # kinds of characters against their share of the alphabet
+        kinds = [[F.length(F.regexp_replace(of, f"[^{c}]", "")).cast("double") for of in (s["body"], s["alphabet"])] for c in CLASSES]
+        uneven = sum(F.when(share > 0, F.pow(seen - n * share / size, F.lit(2.0)) / (n * share / size)).otherwise(0.0) for seen, share in kinds)
+        limit = F.element_at(F.array(*[F.lit(x) for x in CLASS_LIMITS]), sum((share > 0).cast("int") for _, share in kinds))
+        return F.when((p_runs > 0.5) | (p_serial > 0.5) | (uneven > limit), 1.0).otherwise(p_counts)
 
     numbers = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.instr(alphabet, F.substring(body, i, F.lit(1))))
     # a one-element array binds the numbers once for all three tests
-    tested = F.transform(F.array(F.struct(numbers.alias("x"), alphabet.alias("alphabet"))), battery)
+    tested = F.transform(F.array(F.struct(numbers.alias("x"), alphabet.alias("alphabet"), body.alias("body"))), battery)
     return F.when(F.length(body) < 3, 1.0).otherwise(F.element_at(tested, 1))
 
 
@@ -111,12 +128,12 @@ def _accepted(text: Column, base: Column) -> Column:
     def discover(t: Column) -> Column:
         m = F.size(t).cast("double")
         mean = F.aggregate(t, F.lit(0.0), lambda acc, x: acc + x["n"]) / m
-        weighted = F.array_sort(F.transform(t, lambda x: F.struct((x["p"] * mean / x["n"]).alias("q"), x["span"].alias("span"))))
+        weighted = F.array_sort(F.transform(t, lambda x: F.struct((x["p"] / DISCARD * mean / x["n"]).alias("q"), x["span"].alias("span"))))
         passing = F.filter(F.transform(weighted, lambda x, i: F.when(x["q"] <= (i + 1) * F.lit(FALSE_DISCOVERIES) / m, x["q"])), lambda q: q.isNotNull())
         return F.transform(F.filter(weighted, lambda x: x["q"] <= F.coalesce(F.array_max(passing), F.lit(-1.0))), lambda x: x["span"])
 
     none = F.array().cast(_SPAN)
-    return F.when(text.rlike(LONG_RUN), F.element_at(F.transform(F.array(tested), lambda t: F.when(F.size(t) > 0, discover(t)).otherwise(none)), 1)).otherwise(none)
+    return F.when(text.rlike(LONG_RUN), F.element_at(F.transform(F.array(F.filter(tested, lambda x: x["p"] <= DISCARD)), lambda t: F.when(F.size(t) > 0, discover(t)).otherwise(none)), 1)).otherwise(none)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
