@@ -42,10 +42,12 @@ _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullma
 
 
 class PieceMemo:
-    """Remembers the ids of pieces; at most ``MEMO`` and what one more million characters hold."""
+    """Remembers the ids of pieces; at most ``memo`` and what one more million characters hold.
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]]):
-        self._encode_pieces = encode_pieces
+    ``cut`` cuts a text into pieces that encode independently (default: ``pieces``)."""
+
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], cut: Callable[[str], list[str]] | None = None, memo: int = MEMO):
+        self._encode_pieces, self._cut, self._most = encode_pieces, cut or pieces, memo
         self._memo: dict[str, bytes] = {}
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
@@ -66,8 +68,8 @@ class PieceMemo:
             while stop < len(texts) and chars < 1_000_000:
                 chars += len(texts[stop])
                 stop += 1
-            cut = [pieces(t) for t in texts[start:stop]]
-            if len(self._memo) > MEMO:
+            cut = [self._cut(t) for t in texts[start:stop]]
+            if len(self._memo) > self._most:
                 self._memo.clear()
             missing = list(set().union(*cut).difference(self._memo))
             self._memo.update(zip(missing, self._encode_pieces(missing), strict=True))
