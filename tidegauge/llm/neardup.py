@@ -10,16 +10,21 @@ linked if the Jaccard similarity of their sets is at least 0.75; components of l
    one.  The sketch of a set of more than ``WHOLE`` shingles folds 256 MinHash samples; a smaller
    set is its own sample, so nothing is lost to sampling.  Sets of equal fingerprint are one class;
    only its smallest document goes on, so copies cost a row each and no pairs.
-2. Candidates come from documents that share a band key, never as all pairs of a bucket.  First
-   every member of a bucket is held against the bucket's smallest document.  The odd sketches of
-   a pair are compared by the population count of their XOR; pairs of an estimate below the floor
-   go (a linked pair falls below it with a probability of about 1e-7), all others are confirmed on
-   their full sets.  Two sketches of different kinds aren't compared; such pairs are confirmed.  Links are contracted to components.
-3. Only buckets that still hold several components can hide a link that matters.  Their members
-   are dealt into tiles of bounded size, every two tiles of a bucket meet in one task, and the
-   sketches of members of different components are compared there.  In the first round each
-   document reports its likeliest partner only, since one link makes the other pairs of two
-   components needless; the last round reports every remaining pair, so that nothing is lost.
+2. Candidates come from documents that share a band key, never as all pairs of a bucket.  A bucket
+   is dealt into groups of bounded size, each with the bucket's smallest document.  In a group the
+   first document leads: the odd sketches of the others are held against its own by the population
+   count of their XOR, those that look alike are paired with it and leave, and the first of the rest
+   leads next, ``LEADERS`` times at most.  Pairs of an estimate below the floor go (a linked pair
+   falls below it with a probability of about 1e-7), all others are confirmed on their full sets.
+   Two sketches of different kinds aren't compared; such pairs are confirmed.  Links are contracted
+   to components.
+3. Only buckets that still hold several components can hide a link that matters.  The others
+   than a bucket's largest component are dealt into tiles of bounded size,
+   which meet each other and the main component's parts, never those parts each other: the work is
+   (members outside the main component) x (members).  Sketches of different components are compared
+   there, every pair that looks alike and hasn't been tried is confirmed.  Where a meeting finds
+   more than ``PAIRS_A_ROW`` pairs a row, each row reports its likeliest partners only, since one link
+   makes the other pairs of two components needless, and a last round reports all that remain.
 
 Null text counts as empty.  Documents without words have no set and are linked with nothing.  Rows
 that repeat a doc_id stand for one document, that of the smallest text; each row comes out with its
@@ -48,8 +53,11 @@ FLOOR, SAMPLED_FLOOR = 0.72, 0.6
 #: Bits of the map of documents whose texts are read again; beyond as many documents it only filters less.
 MAP_BITS = 1 << 24
 TILE = 256
-#: Rounds of likeliest partners before the round of all pairs.
-EAGER_ROUNDS = 1
+#: Leaders of a group; what has met none that looks alike waits for the round after.
+LEADERS = 12
+PAIRS_A_ROW = 4
+#: Tables of ids hold a few bytes a row: they take one partition where whole texts take so many.
+THINNER = 8
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = (_rng.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1))[:, None]
@@ -164,9 +172,14 @@ def _mapped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.filter(marked(F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)))
 
 
+def thin(df: DataFrame) -> DataFrame:
+    """``df``, a table of ids, in fewer partitions, so that the next shuffle has fewer and larger parts."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // THINNER))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """Those rows (a, b) of ``pairs`` whose full sets' Jaccard similarity is at least percent / 100."""
-    wanted = checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    wanted = checkpoint(thin(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
 
     @F.pandas_udf(T.BinaryType())
     def whole_set(texts: pd.Series) -> pd.Series:
@@ -198,60 +211,109 @@ def components(links: DataFrame) -> DataFrame:
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
-        ways = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        ways = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("w")).select("w.*") if large else edges
+        least = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         out = ways.join(least, "u")
-        if large:
-            return out.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return out.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        if large:  # larger neighbours are handed the smallest of all; it is smaller than they are
+            return thin(out.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        return thin(out.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("w")).select("w.*").filter("u <> v").distinct())
 
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while not edges.isEmpty():
-        edges = checkpoint(star(star(edges, True), False))
+    edges = checkpoint(thin(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()))
+    while True:
         # done when every document points at one other, and that one at none
-        several = edges.groupBy("u").count().filter("count > 1")
-        if several.isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("points")), F.struct(F.col("v").alias("id"), F.lit(0).alias("points")))).alias("e")).select("e.*")
+        if ends.groupBy("id").agg(F.sum("points").alias("points"), F.min("points").alias("least")).filter("points > 1 or points > least").isEmpty():
             break
-    return checkpoint(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select("v", "v").distinct()))
+        edges = checkpoint(star(star(edges, True), False))
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select("v", "v").distinct())
 
 
-def _cross_pairs(members: DataFrame, eager: bool) -> DataFrame:
-    """Pairs (a, b) of members of a bucket in different components whose sketches look alike.
+def _meetings(rows: DataFrame, keys: list[str], work) -> DataFrame:
+    """(a, b) that ``work`` finds in the rows of each key; a key's rows stand together, in order of doc_id.
 
-    members: band, doc_id, component, n_shingles, sketch, tiles (of the bucket).  A member goes to
-    every pair of tiles that its own is in, so a task holds two tiles of at most about ``TILE``.
+    ``work`` gets whole keys at a time: the rows and where a new key begins.
     """
-    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("p"), F.greatest(t, F.col("tile")).alias("q")))
-    dealt = members.withColumn("tile", own).withColumn("meet", F.explode(meet)).select("band", "meet.p", "meet.q", "tile", "doc_id", "component", "n_shingles", "sketch")
-
     # tasks by count of rows, not bytes: the work is in comparing
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q", "doc_id")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "doc_id")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            # the last meeting may go on in the next batch
+            # the last key may go on in the next batch
             new = np.ones(len(rows), bool)
-            keys = rows[["band", "p", "q"]].to_numpy()
-            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            key = rows[keys].to_numpy()
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
             last = int(np.flatnonzero(new)[-1])
             held = rows.iloc[last:]
             if last:
-                yield _alike_in_meetings(rows.iloc[:last], new[:last], eager)
-        if held is not None:
-            yield _alike_in_meetings(held, np.arange(len(held)) == 0, eager)
+                yield work(rows.iloc[:last], new[:last])
+        if held is not None and len(held):
+            yield work(held, np.arange(len(held)) == 0)
+
+    return thin(met.mapInPandas(run, "a bigint, b bigint")).distinct()
 
-    return met.mapInPandas(compare, "a bigint, b bigint").distinct()
+
+def _bits(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+
+
+def _fits(size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of 0.75 to 1: others can't be linked."""
+    return np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * 75
+
+
+def _led(rows: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
+    """Pairs (leader, member) that look alike; all groups take their next leader at once."""
+    ids, size, bits = rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), _bits(rows)
+    group, left = np.cumsum(new), np.arange(len(rows))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(LEADERS):
+        first = np.ones(len(left), bool)
+        first[1:] = group[left[1:]] != group[left[:-1]]
+        lead, rest = left[np.flatnonzero(first)[np.cumsum(first) - 1]][~first], left[~first]
+        if not len(rest):
+            break
+        good = _fits(size, lead, rest)
+        good[good] = could_link(np.bitwise_count(bits[lead[good]] ^ bits[rest[good]]).sum(axis=1), size[lead[good]], size[rest[good]])
+        found.append((ids[lead[good]], ids[rest[good]]))
+        left = rest[~good]
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
-def _alike_in_meetings(rows: pd.DataFrame, new: np.ndarray, eager: bool) -> pd.DataFrame:
-    """Pairs of rows of one meeting (``new``: where each begins) that look alike; eager: the likeliest of each row."""
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of leaders and members of a bucket's groups whose sketches look alike.
+
+    members: band, doc_id, head and n (of the bucket), n_shingles, sketch.
+    """
+    groups = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.array(F.pmod(F.xxhash64("doc_id"), groups).cast("int"))
+    group = F.when(F.col("doc_id") == F.col("head"), F.sequence(F.lit(0), groups - 1)).otherwise(own)
+    return _meetings(members.select("band", F.explode(group).alias("part"), "doc_id", "n_shingles", "sketch"), ["band", "part"], _led)
+
+
+def _cross_pairs(members: DataFrame, brief: bool) -> DataFrame:
+    """Pairs (a, b) of members of a bucket in different components whose sketches look alike; with
+    ``brief``, a pair of nulls too if some meeting has reported a part of its pairs only.
+
+    members: band, doc_id, component, main (component), tiles (of members outside it) and parts (of
+    those in it), n_shingles, sketch.  Main parts are numbered after the tiles.
+    """
+    slot = F.xxhash64("doc_id")
+    inside = F.col("component") == F.col("main")
+    tile = F.when(inside, F.col("tiles") + F.pmod(slot, F.col("parts"))).otherwise(F.pmod(slot, F.col("tiles"))).cast("int")
+    last = F.when(inside, F.col("tiles")).otherwise(F.col("tiles") + F.col("parts")).cast("int") - 1
+    meet = F.transform(F.sequence(F.lit(0), last), lambda t: F.struct(F.least(t, F.col("tile")).alias("p"), F.greatest(t, F.col("tile")).alias("q")))
+    dealt = members.withColumn("tile", tile).withColumn("meet", F.explode(meet)).select("band", "meet.p", "meet.q", "tile", "doc_id", "component", "n_shingles", "sketch")
+    return _meetings(dealt, ["band", "p", "q"], lambda rows, new: _alike_in_meetings(rows, new, brief))
+
+
+def _alike_in_meetings(rows: pd.DataFrame, new: np.ndarray, brief: bool) -> pd.DataFrame:
+    """Pairs of rows of one meeting (``new``: where each begins) that look alike."""
     ids, part, size, tile = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "tile"))
-    within = (rows["p"] == rows["q"]).to_numpy()
-    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    within, bits = (rows["p"] == rows["q"]).to_numpy(), _bits(rows)
     starts = np.flatnonzero(new)
     ends = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
     left = np.arange(len(rows))
@@ -261,19 +323,20 @@ def _alike_in_meetings(rows: pd.DataFrame, new: np.ndarray, eager: bool) -> pd.D
         if not len(left):
             break
         right = left + ahead
-        fits = (part[left] != part[right]) & (within[left] | (tile[left] != tile[right])) & (np.minimum(size[left], size[right]) * 100 >= np.maximum(size[left], size[right]) * 75)
+        fits = (part[left] != part[right]) & (within[left] | (tile[left] != tile[right])) & _fits(size, left, right)
         i, j = left[fits], right[fits]
         differing = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
         good = could_link(differing, size[i], size[j])
         found.append((i[good], j[good], (differing / (size[i] + size[j]))[good]))
     if not found:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        return pd.DataFrame({"a": [], "b": []}, dtype="Int64")
     i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
-    if eager:
-        best = np.lexsort((apart, ids[i]))
-        best = best[np.unique(ids[i][best], return_index=True)[1]]
-        i, j = i[best], j[best]
-    return pd.DataFrame({"a": ids[i], "b": ids[j]}, dtype="int64")
+    if brief and len(i) > PAIRS_A_ROW * len(rows):
+        order = np.lexsort((apart, i))
+        nth = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+        order = order[nth < PAIRS_A_ROW]
+        return pd.DataFrame({"a": [None, *ids[i[order]].tolist()], "b": [None, *ids[j[order]].tolist()]}, dtype="Int64")
+    return pd.DataFrame({"a": ids[i], "b": ids[j]}, dtype="Int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -281,50 +344,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     every = checkpoint(signatures(docs))
     known, signed = docs.filter(F.col("doc_id").isNotNull()), every
-    if not every.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if not thin(every.filter("doc_id is not null").select("doc_id")).groupBy("doc_id").count().filter("count > 1").isEmpty():
         known = known.groupBy("doc_id").agg(F.min("text").alias("text"))
         signed = checkpoint(signatures(known))
 
+    # a class for each different set; its band keys and sketch follow from the set
     sets = signed.filter("set_id is not null and doc_id is not null")
-    classes = sets.groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1")
-    copies = checkpoint(sets.select("doc_id", "set_id").join(classes, "set_id").filter("doc_id <> class_id").select("doc_id", "class_id"))
-    reps = sets.join(copies, "doc_id", "left_anti")
-
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    classes = checkpoint(sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.any_value(F.struct("n_shingles", "bands", "sketch")).alias("s")).select("set_id", "doc_id", "s.*"))
+    banded = classes.select("doc_id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = checkpoint(banded.join(buckets, "band"))
-    sketches = checkpoint(reps.select("doc_id", "n_shingles", "sketch").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    members = checkpoint(banded.join(buckets, "band").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id"))
+
+    tried = checkpoint(thin(_leader_pairs(members)))
+    found = checkpoint(thin(components(confirm(tried, known))))
+    for brief in (True, False):
+        placed = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id")
+        counts = placed.groupBy("band", "component").agg(F.count("*").alias("n_in"))
+        split = counts.groupBy("band").agg(F.max_by("component", F.struct("n_in", "component")).alias("main"), F.max("n_in").alias("inside"), F.sum("n_in").alias("all"), F.count("*").alias("several")).filter("several > 1")
+        placed = placed.join(split, "band").withColumns({"tiles": F.ceil((F.col("all") - F.col("inside")) / TILE), "parts": F.ceil(F.col("inside") / TILE)})
+        fresh = checkpoint(thin(_cross_pairs(placed, brief).join(tried, ["a", "b"], "left_anti")))
+        whole = not brief or fresh.filter("a is null").isEmpty()
+        fresh = fresh.filter("a is not null")
+        if not fresh.isEmpty():
+            new = checkpoint(thin(confirm(fresh, known)))
+            if not new.isEmpty():  # the components so far and the new links between them
+                found = checkpoint(thin(components(found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").union(new))))
+            tried = tried.union(fresh)
+        if whole:
+            break
 
-    @F.pandas_udf(T.BooleanType())
-    def looks_alike(x: pd.Series, y: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        p, q = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (x, y))
-        return pd.Series(could_link(np.bitwise_count(p ^ q).sum(axis=1), m.to_numpy(), n.to_numpy()))
-
-    # every member against the smallest of its bucket
-    def side(x: str) -> DataFrame:
-        return sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("sketch").alias("s" + x))
-
-    stars = members.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 75)
-    tried = checkpoint(stars.filter(looks_alike("sa", "sb", "na", "nb")).select("a", "b"))
-    found = components(confirm(tried, known))
-
-    for again in range(EAGER_ROUNDS + 1):
-        placed = members.join(found, "doc_id", "left").select("band", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
-        split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-        split = split.select("band", F.ceil(F.col("n") / TILE).alias("tiles"))
-        pairs = _cross_pairs(placed.join(split, "band").join(sketches, "doc_id"), again < EAGER_ROUNDS)
-        fresh = checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        new = checkpoint(confirm(fresh, known))
-        tried = checkpoint(tried.union(fresh))
-        if not new.isEmpty():  # the components so far and the new links between them
-            found = components(found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").union(new))
-
-    out = every.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    out = out.join(found.select(F.col("doc_id").alias("class_id"), "component_id"), "class_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
+    named = classes.select("set_id", F.col("doc_id").alias("class_id")).join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select("set_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    out = every.select("doc_id", "n_shingles", "set_id")
+    if signed is not every:  # rows that repeat a doc_id belong where their document does
+        named = signed.select("doc_id", "set_id").join(named, "set_id", "left").select("doc_id", "component_id")
+        out = out.join(named, "doc_id", "left")
+    else:
+        out = out.withColumn("set_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id"))).join(named, "set_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
