@@ -36,11 +36,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component; rows that repeat a doc_id are one document."""
+    """The smallest document of each component, as one row.
+
+    Rows that repeat a doc_id are one document, that of the smallest text.  A row without an id is a
+    document of its own, behind all that have one: a number that follows from its columns stands in.
+    """
     _ready(spark)
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(*COLUMNS), F.lit(1 << 61))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), stand_in))
+    kept = neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    row = F.min(F.struct("text", *[c for c in COLUMNS if c != "text"])).alias("_row")
+    return keyed.join(kept, "_key", "left_semi").groupBy("_key").agg(row).select(*[F.col(f"_row.{c}").alias(c) for c in COLUMNS])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
