@@ -85,6 +85,23 @@ def test_top_k_equals_brute_force_with_ties(spark):
     assert topk_search.top_k(q.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_and_odd_vectors(spark):
+    from fractions import Fraction
+
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([1e12, -3e11, 0.3, -7.0, 2.0**60, 1e30]) * rng.random() for _ in range(5)]) for i in range(120)]
+    rows += [(200, [1e300] * 5), (220, [1.7e308, -1e300, 0.0, 0.0, 0.0]), (240, []), (241, []), (260, [-0.0, -1e-300, 1e-300, 0.01, -0.01])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk_search.top_k(topk_search.quantised(df), F.col("vec_id") % 20 == 0, 7, block=50).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["vec_id"]))
+    whole = {i: [math.floor(64 * Fraction(x)) for x in v] for i, v in rows}
+    for q in whole:
+        if q % 20 == 0:
+            scores = {j: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))) for j, v in whole.items() if j != q and len(v) == len(whole[q])}
+            assert got[q] == sorted((-s, j) for j, s in scores.items())[:7]
+
+
 def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(4)
     x = rng.integers(-5, 6, (4000, 4))

@@ -8,9 +8,11 @@ vector met gets its whole score by random access.  What no list has shown yet sc
 of the values at the lists' fronts, and reading stops when that bound is below the k-th best score
 so far; an equal bound reads on, as ties go to the smaller id.
 
-Vectors that are null or hold a null or non-finite component, rows without an id, and components
-beyond 2**31 after quantising (their products would not fit) take no part.  A query is compared with
-vectors of its own length.  Rows that repeat an id count once, with the smallest vector.
+Vectors that are null or hold a null or non-finite component, and rows without an id, take no part;
+finite components of any size do (beyond 2**53 as Python integers).  A score beyond the range of a
+long comes out as the nearest long, before scores are compared.  A query is compared with vectors of
+its own length; an empty vector scores 0 against every other empty one.  Rows that repeat an id
+count once, with the smallest vector.  Other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,28 +22,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The scale is a power of two, so that steps of 1 / scale are exact doubles.
 K, SCALE, EVERY = 20, 64, 20
 BLOCK, QUERY_BLOCK = 8192, 4096
+_EXACT = 2**53
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and floor(scale * component), components as doubles; only what takes part."""
+    """vec_id and floor(scale * component) / scale, components as doubles; only what takes part.
+
+    Doubles from 2**53 steps on are whole numbers of steps as they are."""
     parts = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), parts.alias("_v")).filter(F.col("vec_id").isNotNull() & F.col("_v").isNotNull())
-    rows = rows.filter(~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= 2.0**31 / scale)))
-    return rows.select("vec_id", F.transform("_v", lambda x: F.floor(x * scale)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.filter(~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    step = lambda x: F.when(F.abs(x) < _EXACT / scale, F.floor(x * scale).cast("double") / scale).otherwise(x)
+    return rows.select("vec_id", F.transform("_v", step).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def whole_numbers(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """Steps of 1 / scale as integers: of 64 bits, or of Python if some are larger than doubles hold exactly."""
+    if np.abs(vectors).max(initial=0) < _EXACT / scale:
+        return (vectors * scale).astype(np.int64)
+    out = np.empty(vectors.shape, object)
+    out.ravel()[:] = [int(x) * scale if abs(x) >= _EXACT else int(x * scale) for x in vectors.ravel().tolist()]
+    return out
 
 
 class Lists:
-    """The sorted lists of one block of vectors."""
+    """The sorted lists of one block of vectors of integers."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids = ids[by_id]
         whole = vectors[by_id]
         # products and sums of doubles are exact below 2**53
-        largest = float(np.abs(whole).max(initial=0))
-        self.exact = largest * largest * max(1, whole.shape[1]) < 2**53
+        self.largest = int(np.abs(whole).max(initial=0))
+        self.exact = self.largest**2 * max(1, whole.shape[1]) < _EXACT
         self.vectors = whole.astype(np.float64) if self.exact else whole.astype(object)
         self.order = np.ascontiguousarray(np.argsort(whole, axis=0, kind="stable").T.astype(np.int32))
         self.values = np.take_along_axis(whole.T, self.order.astype(np.int64), axis=1)
@@ -50,7 +67,8 @@ class Lists:
         """Scores and ids of the k best of the block, and the depth that was read."""
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        exact = self.exact and float(np.abs(query).max(initial=0)) * float(np.abs(self.values).max(initial=0)) * max(1, len(query)) < 2**53
+        exact = self.exact and int(np.abs(query).max(initial=0)) * self.largest * max(1, len(query)) < _EXACT
+        held = (lambda x: x) if exact else lambda x: np.clip(x, _LEAST, _MOST)
         q = query.astype(np.float64) if exact else query.astype(object)
         seen = np.zeros(n, bool)
         own = np.searchsorted(self.ids, query_id)
@@ -71,7 +89,7 @@ class Lists:
             seen |= fresh
             new = np.flatnonzero(fresh)
             at = np.concatenate([at, new])
-            scores = np.concatenate([scores, self.vectors[new] @ q])
+            scores = np.concatenate([scores, held(self.vectors[new] @ q)])
             depth = to
             if len(at) > 4 * k:  # only the best so far matter; ties with the k-th stay
                 floor = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -80,7 +98,7 @@ class Lists:
             if depth == n:
                 break
             if len(at) >= k:
-                bound = q[up] @ self.values[up, n - depth].astype(q.dtype) + q[down] @ self.values[down, depth - 1].astype(q.dtype)
+                bound = held(q[up] @ self.values[up, n - depth].astype(q.dtype) + q[down] @ self.values[down, depth - 1].astype(q.dtype))
                 if bound < np.partition(scores, len(scores) - k)[len(scores) - k]:
                     break
             step = max(step, n // 32)
@@ -91,7 +109,8 @@ class Lists:
 def top_k(vectors: DataFrame, queries: Column, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best other rows.
 
-    vectors: vec_id and v (array of whole numbers), one row an id; queries: which rows ask.
+    vectors: vec_id and v (array of doubles, whole steps of 1 / ``SCALE``), one row an id; queries:
+    which rows ask.
     """
     rows = vectors.select("vec_id", "v", F.size("v").alias("dims"), queries.alias("asks"))
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
@@ -108,9 +127,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, block: int = BLOCK, q
         data, queries_here = pdf[~asks], pdf[asks]
         found: list[tuple[int, int, int]] = []
         if len(data) and len(queries_here):
-            lists = Lists(data["vec_id"].to_numpy(), np.stack(data["v"].to_numpy()).astype(np.int64))
+            lists = Lists(data["vec_id"].to_numpy(), whole_numbers(np.stack(data["v"].to_numpy())))
             for query_id, v in zip(queries_here["vec_id"].tolist(), queries_here["v"], strict=True):
-                scores, ids, _ = lists.best(query_id, np.asarray(v, np.int64), k)
+                scores, ids, _ = lists.best(query_id, whole_numbers(np.asarray(v, np.float64)), k)
                 found += [(query_id, int(i), int(s)) for s, i in zip(scores, ids, strict=True)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
