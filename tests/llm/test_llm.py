@@ -51,20 +51,57 @@ def test_rewriting_templates_are_detected():
     assert all(0 <= a <= b <= len(shown) for a, b in spans)
 
 
-def test_conversations_round_trip(spark):
-    rows = [(1, 0, "user", "hi <|end|>"), (1, 1, "assistant", None), (1, 2, None, "x"), (2, 0, "assistant", "a␛1"), (2, 0, "assistant", "a␛1"), (None, 0, "user", ""), (1 << 60, 5, "assistant", "big")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("clash"))
-    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
+def test_a_context_bounds_the_work_and_is_checked():
+    seen = []
+
+    def watched(messages):
+        seen.append(len(messages))
+        return chat_format.turn_template(messages)
+
+    turns = [("user" if i % 2 else "assistant", f"text {i} " * 5) for i in range(300)]
+    assert chat_format.render(turns, watched, 4)[:2] == chat_format.render(turns, chat_format.turn_template)[:2]
+    assert max(seen) <= 9
+
+    numbered = lambda messages: "".join(f"<|turn|>{i}<|body|>{t}<|end|>" for i, (_, t) in enumerate(messages))
+    made = chat_format.Rendering(numbered, 3)  # it counts all turns, so whole prefixes go on
+    for m in turns:
+        made.add(m)
+    assert made.whole_prefixes() and made.take() == numbered(turns)
+    late = lambda messages: chat_format.turn_template(messages) + ("!" if len(messages) > 3 and messages[-1][1].startswith("text 50 ") else "")
+    with pytest.raises(ValueError, match="context"):
+        chat_format.render(turns, late, 3)
+
+
+@pytest.mark.parametrize("template", ["turn", "last_system"])
+@pytest.mark.parametrize("segment", [chat_format.SEGMENT, 50])
+def test_conversations_round_trip(spark, template, segment):
+    rows = [(1, 0, "user", "hi <|end|>"), (1, 1, "assistant", None), (1, 2, None, "x"), (2, 0, "assistant", "a␛1"), (2, 0, "assistant", "a␛1"), (None, 0, "user", ""), (None, None, "assistant", "no id"), (1 << 60, 5, "assistant", "big")]
+    rows += [(3, 0, "system", "a"), (3, 1, "user", "b"), (3, 2, "system", "c"), (3, 3, "assistant", "d"), (4, 0, "system", ""), (4, 1, "system", "[INST]")]
+    rows += [(5, i, "assistant" if i % 2 else "user", f"turn {i} [INST] " + "x" * (i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"formatted": F.lit("clash"), "segment": F.lit("clash"), "_role": F.lit("clash")})
+    formatted = chat_format.format_conversations(df, template, segment=segment)
     by = defaultdict(list)
     for c, t, r, x in rows:
-        by[c].append((t, r or "", x or ""))
-    assert set(got) == set(by)
+        by[c].append((t is not None, t or 0, r or "", x or ""))
+    shown = defaultdict(dict)
+    for r in formatted.collect():
+        shown[r["conv_id"]][r["start"]] = r["formatted"]
+    got = {r["conv_id"]: r for r in chat_format.read_back(formatted).collect()}
+    assert set(got) == set(by) == set(shown)
+    if segment == 50 and template == "turn":
+        assert len(shown[5]) > 5
     for c, turns in by.items():
-        turns.sort()
-        said = "".join(f"{r}\n{x}\n" for _, r, x in turns)
-        loss = "".join(x for _, r, x in turns if r == "assistant")
+        turns = [(r, x) for *_, r, x in sorted(turns)]
+        whole = chat_format.TEMPLATES[template][0](turns)
+        assert "".join(x for _, x in sorted(shown[c].items())) == whole
+        if template == "last_system":
+            systems = [m for m in turns if m[0] == "system"][-1:]
+            turns = systems + [m for m in turns if m[0] != "system"]
+        said = "".join(f"{r}\n{x}\n" for r, x in turns)
+        loss = "".join(x for r, x in turns if r == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat_format.format_conversations(df.limit(0)).count() == 0
+        assert (got[c]["n_rewrites"] > 0) == (template == "last_system" and c in (3, 4))
+    assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
 # -- op2 -------------------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ def _chat() -> str:
       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-      cast(sum({marks} + length({escaped("role")}) + length({escaped("text")})) as bigint) as formatted_chars
+      cast(sum({marks} + length({escaped("role")}) + length({escaped("text")})) as bigint) as formatted_chars, cast(0 as bigint) as n_rewrites
     from said group by conv_id
     """
 

@@ -21,7 +21,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(probe)))
+    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(probe)), ordered=True)
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
