@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -457,6 +458,61 @@ def test_main_text_of_pages(spark):
     assert got[1] == got[2] == got[3] == got[5] == "" and got[6].startswith("text only")
 
 
+def test_the_cut_mends_the_classifier():
+    sentence = "This is a sentence of an article that says something about the world. "
+    page = f"""<body><div id=wrap><div class="x"><p>{sentence * 4}</p><p>Yes.</p><p>{sentence * 3}</p><div>No<wbr>body &amp; all.</div><p>{sentence * 5}</p></div>
+    <div class="sidebar"><div><div><p>{sentence * 20}</p></div><p>{sentence * 30}</p></div></div></div></body>"""
+    got = html_extract.labelled(page)
+    alone = [b.score > 0 for b, _ in got]
+    assert alone == [True, False, True, False, True, True, True]
+    assert [content for _, content in got] == [True, True, True, True, True, False, False]
+    assert html_extract.main_text(page).split("\n")[3] == "Nobody & all."
+    # every sentence of an article that holds an advert, a form around everything, comments inside
+    page = f"""<form id=aspnet><header><p>{sentence * 3}</p></header><article><header class="post-header"><h2>Short</h2></header><p>One.</p><div class=ad><p>{sentence * 9}</p></div><p>{sentence}</p><p>Two.</p>
+    <section id="comments"><article class="comment"><p>{sentence * 9}</p></article></section></article><footer>{sentence * 9}</footer></form>"""
+    assert html_extract.main_text(page) == f"Short\nOne.\n{sentence.strip()}\nTwo."
+
+
+@pytest.mark.parametrize(("inside", "wanted"), [
+    ("a <math><mi>x</mi>+1</math> b", "a x+1 b"), ("a <svg><text>drawn</text></svg> b", "a drawn b"), ("a <object>fallback</object> b", "a fallback b"), ("super<wbr>cali", "supercali"),
+    ('see <a href="x>this</a> now', "see this now"), ("1 < 2 & 3 > 2 &lt;b&gt; &#233;&nbsp;x", "1 < 2 & 3 > 2 <b> é x"), ("<!-- not this --> this", "this"), ("<xmp><b>bold</b></xmp>", "<b>bold</b>"),
+    ("x<script>var a = '<p>';</script>y<style>p {}</style>", "xy"), ("x<noscript>turn it on</noscript>", "x"), ("x<textarea>type &amp; <b></textarea>", "x"), ("<span hidden>", ""),
+])
+def test_what_an_article_holds_stays(inside, wanted):
+    page = f"<nav><a href=/>home</a></nav><article><p>First.</p><div>{inside}</div><p>Last.</p></article><footer>foot</footer>"
+    assert html_extract.main_text(page) == "\n".join(filter(None, ["First.", wanted, "Last."]))
+
+
+def test_generated_pages_equal_their_articles(spark):
+    """A plain generator knows which texts are content; entities, blanks and breaks are resolved by hand."""
+    rng = random.Random(31)
+    pages, wanted = [], []
+    for _ in range(200):
+        said, out = [], []
+        for _ in range(rng.randint(1, 12)):
+            words = [rng.choice(["word", "a", "Ea.", "long-winded", "caf\u00e9", "x"]) for _ in range(rng.choice([1, 2, 5, 40]))]
+            said.append(" ".join(words))
+            inner = rng.choice([" ", "  \n", "<br>", "&nbsp;"]).join(words).replace("caf\u00e9", rng.choice(["caf&eacute;", "caf\u00e9", "caf&#xe9;"]))
+            out.append(rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<h2>{}</h2>", "<ul><li>{}</ul>", "<blockquote><p>{}</p></blockquote>"]).format(inner))
+            if rng.random() < 0.2:
+                out.append(rng.choice(['<div class="ad">{}</div>', "<aside><p>{}</p></aside>", '<div id="newsletter"><form><p>{}</p></form></div>']).format("Buy this now. " * rng.choice([1, 30])))
+        noise = lambda: " ".join(["menu", "link"] * rng.randint(1, 40))  # noqa: E731, B023
+        pages.append(f"<html><body><nav><ul><li><a href=/>{noise()}</a><li><a>{noise()}</a></ul></nav><div class=cookie-banner><p>{noise()}</p></div><{'main' if rng.random() < 0.5 else 'article'}>{''.join(out)}</{'main' if False else 'article'}></main><div class='sidebar widget'><p>{noise()}</p></div><footer><p>{noise()}</p></footer>")
+        wanted.append("\n".join(said))
+    df = spark.createDataFrame([*enumerate(pages), (None, None), (None, pages[0]), (None, pages[0])], "page_id bigint, html string").withColumn("text", F.lit("mine"))
+    got = html_extract.extract(df).collect()
+    assert sorted(r["text"] for r in got if r["page_id"] is None) == sorted(["", wanted[0], wanted[0]])
+    assert [t for _, t in sorted((r["page_id"], r["text"]) for r in got if r["page_id"] is not None)] == wanted
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "x" * 100, "<p>word " * 30_000, '<a href="x>' * 3000 + "text", "<div><p>a</p>" * 20_000, "&amp;<" * 50_000])
+def test_long_pages(page):
+    began = time.time()
+    html_extract.main_text(page)
+    assert time.time() - began < 20
+
+
 # -- op10 ------------------------------------------------------------------------------------------
 
 

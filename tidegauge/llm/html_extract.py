@@ -1,15 +1,23 @@
 """HTML extraction by minimum-cut labelling of text blocks.
 
 A page is cut into blocks: runs of text between block-level tags.  A linear classifier scores each
-block from its ancestors' tags and class or id words, its length and the share of its characters in
-links.  The score's two sides become terminal capacities: what it costs to call the block boilerplate
-or content.  Edges between neighbouring blocks, and from a block to the one before it in the same
-parent or grandparent element, make it cost something to part them.  The minimum cut, found by
-maximum flow, labels the blocks; the main text is the content blocks in page order.
+block from its own text (length, share of characters in links, tag) and each element that holds
+blocks from its own tag and class or id words.  Neither sees the other, so the classifier alone takes
+short paragraphs for boilerplate and the long text of a sidebar for content.  A score's two sides
+become terminal capacities: what it costs to call the block or element boilerplate or content.
+Edges make it cost something to part a block or element from the element that holds it (DOM
+proximity) and a block from the one before it (adjacency).  An element's capacities are those of its
+cue for each block that it holds, so that nothing outvotes its kind by its length.  The minimum cut,
+found by maximum flow, labels all; the main text is the content blocks in page order.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 line feeds; nothing else is dropped.  Null and empty pages give an empty text.  Unclosed and
-misnested tags are closed where a later tag says so; a page that breaks off ends there.
+misnested tags are closed where a later tag says so, a tag with an unclosed quote ends at its next
+``>``, a page that breaks off ends there; only scripts and styles without an end take the rest with
+them.  A page is one task's work, in memory of its own length; its time grows with its length but
+for the flow, which on trees of elements takes a few passes over them.  Other columns stay; one with
+the name of the output is replaced.  Rows are judged one by one: repeated rows and null ids have
+their own texts, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,81 +32,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: HTML's element groups.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object textarea xmp".split())
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+RAW = frozenset(["script", "style"])
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul xmp".split()
 )
-SPACE_TAGS = frozenset(["br", "wbr", "img", "input"])
+SPACE_TAGS = frozenset(["br", "img", "input"])
 #: Class and id words that tell what an element is for.
 AGAINST = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus discussion feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
 FOR = frozenset("article body content entry main maincontent post story text".split())
-TAG_SCORES = {"article": 3.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "head": -20.0, "menu": -9.0, "dialog": -9.0, "button": -6.0, "select": -9.0, "fieldset": -4.0, "search": -9.0}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+|<)", re.S)
+#: Cues of tags, of words against and for, and of what isn't shown.
+TAG_CUES = {"article": 6.0, "main": 6.0} | dict.fromkeys(["nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "search", "noscript", "template", "textarea", "header"], -6.0) | {"head": -20.0, "fieldset": -4.0}
+WORD_AGAINST, WORD_FOR, HIDDEN = -6.0, 2.0, -6.0
+#: Capacities for each block: to part it, or what holds it, from the element around; an element whose tag or words say what
+#: it is from the one around; neighbours in page order, and in one element too.
+HELD, HELD_CUED, NEXT, NEXT_IN_ELEMENT = 2.5, 0.5, 0.2, 0.4
+#: A block's own score is from -OWN to OWN, below HELD.
+OWN = 2.0
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)|[^>]*)(?:>|\Z)|([^<]+|<)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: A start tag that closes an open element of these names.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class Block:
-    __slots__ = ("chars", "grandparent", "link_chars", "parent", "score", "tag", "text")
+    __slots__ = ("chars", "link_chars", "parent", "score", "tag", "text")
 
-    def __init__(self, text: str, link_chars: int, score: float, tag: str, parent: int, grandparent: int):
-        self.text, self.link_chars, self.score, self.tag, self.parent, self.grandparent = text, link_chars, score, tag, parent, grandparent
+    def __init__(self, text: str, link_chars: int, tag: str, parent: int):
+        self.text, self.link_chars, self.tag, self.parent = text, link_chars, tag, parent
         self.chars = len(text)
+        self.score = _own_score(self)
+
+
+class Element:
+    """An element that may hold blocks: the one around it (-1: none) and what its tag and words say."""
+
+    __slots__ = ("cue", "parent")
+
+    def __init__(self, parent: int, cue: float):
+        self.parent, self.cue = parent, cue
 
 
-def _element_score(tag: str, attributes: str, in_article: bool) -> float:
-    score = TAG_SCORES.get(tag, 0.0)
-    if tag == "header":
-        score = 0.0 if in_article else -9.0  # a page's header, or the head of an article
-    if attributes:
+def _cue(tag: str, attributes: str, in_article: bool) -> float:
+    cue = TAG_CUES.get(tag, 0.0)
+    if tag == "header" and in_article:
+        cue = 0.0  # the head of an article, not of a page
+    if attributes and tag not in ("html", "body"):
         words = set()
         for m in _NAMES.finditer(attributes):
             words.update(_WORDS.findall(m[1].lower()))
-        if words & AGAINST:
-            score -= 9.0
-        elif words & FOR:
-            score += 2.0
-        if re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I):
-            score -= 9.0
-    return score
+        against, pro = words & AGAINST, words & FOR
+        if against == {"header"} and (pro or in_article):
+            against = set()
+        if against:
+            cue = min(cue, 0.0) + WORD_AGAINST
+        elif pro:
+            cue += WORD_FOR
+        if _HIDDEN.search(attributes):
+            cue += HIDDEN
+    return cue
+
+
+def _own_score(b: Block) -> float:
+    """What a block's own text says: long texts are content, links are not."""
+    running = b.tag in ("p", "blockquote", "pre", "td", "li", "h1", "h2", "h3", "h4", "h5", "h6")
+    score = -0.8 + 0.6 * math.log1p(b.chars / 20) + (0.5 if running else 0.0) - 3.0 * b.link_chars / max(1, b.chars)
+    return max(-OWN, min(OWN, score))
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page with their classifier scores."""
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Text blocks of a page and the elements around them, both with their classifier's scores."""
     found: list[Block] = []
-    # open elements: tag, score with ancestors', whether in an article, number
-    stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]
+    elements = [Element(-1, 0.0)]
+    # open elements: tag, own or next outer number among ``elements``, the innermost block tag, in an article, in a link
+    stack: list[tuple[str, int, str, bool, bool]] = [("", 0, "", False, False)]
     parts: list[str] = []
-    link_chars, number = 0, 0
+    link_chars, at = 0, 0
 
     def flush() -> None:
         nonlocal link_chars
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                holders = [e for e in stack if e[0] in BLOCK_TAGS or not e[0]]
-                own, above = holders[-1], holders[-2] if len(holders) > 1 else holders[-1]
-                found.append(Block(text, link_chars, stack[-1][1], own[0], above[3], holders[-3][3] if len(holders) > 2 else above[3]))
+                found.append(Block(text, link_chars, stack[-1][2], stack[-1][1]))
             parts.clear()
         link_chars = 0
 
-    at = 0
+    def say(text: str) -> None:
+        nonlocal link_chars
+        parts.append(text)
+        if stack[-1][4]:
+            link_chars += len(text)
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         if m is None:
             break
         at = m.end()
         if m[4] is not None:
-            text = html.unescape(m[4])
-            parts.append(text)
-            if any(e[0] == "a" for e in stack):
-                link_chars += len(text)
+            say(html.unescape(m[4]))
             continue
         if m[2] is None:
             continue
@@ -116,7 +153,7 @@ def blocks(page: str) -> list[Block]:
         if tag in SPACE_TAGS:
             parts.append(" ")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = _end_of(tag).search(page, at)
             if not m[3].rstrip().endswith("/"):
                 at = end.end() if end else len(page)
             continue
@@ -138,20 +175,23 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in BLOCK_TAGS:
                     break
-        number += 1
-        _, score, in_article, _ = stack[-1]
-        stack.append((tag, score + _element_score(tag, m[3], in_article), in_article or tag in ("article", "main"), number))
+        _, number, block, in_article, in_link = stack[-1]
+        if tag in BLOCK_TAGS:
+            block = tag
+            elements.append(Element(number, _cue(tag, m[3], in_article)))
+            number = len(elements) - 1
+        stack.append((tag, number, block, in_article or tag in ("article", "main"), in_link or tag == "a"))
+        if tag in ("xmp", "textarea"):  # what they hold is text up to their end
+            end = _end_of(tag).search(page, at)
+            stop = end.start() if end else len(page)
+            say(page[at:stop] if tag == "xmp" else html.unescape(page[at:stop]))
+            at = stop
     flush()
-    for b in found:
-        b.score += _own_score(b)
-    return found
+    return found, elements
 
 
-def _own_score(b: Block) -> float:
-    """What a block's own text says: long texts are content, links are not."""
-    heading = b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    links = b.link_chars / max(1, b.chars)
-    return -0.5 + 0.45 * math.log1p(b.chars / 20) + (0.8 if b.tag in ("p", "blockquote", "pre", "td", "li") or heading else 0.0) - 3.0 * links
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
 
 
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -218,28 +258,49 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
             u = to[e]
 
 
-#: Capacities: neighbours in page order, same parent element, same grandparent element.
-NEXT, SAME_PARENT, SAME_GRANDPARENT = 0.2, 0.6, 0.3
-
+def graph(found: list[Block], elements: list[Element]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Scores of blocks, then of elements, and the edges between them.
 
-def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
-    edges: dict[tuple[int, int], float] = {}
-    last_in: dict[tuple[int, int], int] = {}
-    for i, b in enumerate(found):
-        if i:
-            edges[i - 1, i] = edges.get((i - 1, i), 0.0) + NEXT
-        for kind, holder, capacity in ((0, b.parent, SAME_PARENT), (1, b.grandparent, SAME_GRANDPARENT)):
-            j = last_in.get((kind, holder))
-            if j is not None:
-                edges[j, i] = edges.get((j, i), 0.0) + capacity
-            last_in[kind, holder] = i
-    return [(a, b, c) for (a, b), c in edges.items()]
+    An element without a cue that holds one block or element only is left out: what it holds is
+    held by the next outer one."""
+    held = [0] * len(elements)  # blocks
+    for b in found:
+        held[b.parent] += 1
+    inner = [0] * len(elements)  # blocks held directly, and elements that hold any
+    for b in found:
+        inner[b.parent] += 1
+    for i in range(len(elements) - 1, 0, -1):  # an element comes after the one around it
+        if held[i]:
+            held[elements[i].parent] += held[i]
+            inner[elements[i].parent] += 1
+    stays = [bool(held[i]) and (elements[i].cue != 0 or inner[i] > 1) for i in range(len(elements))]
+    outer = [-1] * len(elements)  # itself or the next outer one that stays
+    node, scores = [-1] * len(elements), [b.score for b in found]
+    edges: list[tuple[int, int, float]] = []
+    for i, e in enumerate(elements):
+        around = outer[e.parent] if e.parent >= 0 else -1
+        outer[i] = i if stays[i] else around
+        if stays[i]:
+            node[i] = len(scores)
+            scores.append(e.cue * held[i])
+            if around >= 0:
+                edges.append((node[around], node[i], (HELD_CUED if e.cue else HELD) * held[i]))
+    for k, b in enumerate(found):
+        if outer[b.parent] >= 0:
+            edges.append((node[outer[b.parent]], k, HELD))
+        if k:
+            edges.append((k - 1, k, NEXT + (NEXT_IN_ELEMENT if outer[b.parent] == outer[found[k - 1].parent] else 0.0)))
+    return scores, edges
+
+
+def labelled(page: str | None) -> list[tuple[Block, bool]]:
+    """The blocks of a page, and whether each is content."""
+    found, elements = blocks(page or "")
+    return list(zip(found, minimum_cut(*graph(found, elements)), strict=False))
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    labels = minimum_cut([b.score for b in found], smoothness(found))
-    return "\n".join([b.text for b, content in zip(found, labels, strict=True) if content])
+    return "\n".join([b.text for b, content in labelled(page) if content])
 
 
 def extract(pages: DataFrame, source: str = "html", out: str = "text") -> DataFrame:
