@@ -24,6 +24,7 @@ from tidegauge.operators import metrics as M
 from tidegauge.operators import reports as R
 from tidegauge.operators import series as X
 from tidegauge.operators.enrich import enrich
+from tidegauge.plans import detection_sql as DS
 from tidegauge.sources.events import ACCESS_LOG_SQL, access_log, prepare_events
 from tidegauge.streaming import topology as ST
 
@@ -71,7 +72,12 @@ CTES = {
       greatest(epoch(max(event_time)) - epoch(min(event_time)), 1.0) as duration_seconds, count(*) * 60 / greatest(epoch(max(event_time)) - epoch(min(event_time)), 1.0) as requests_per_minute, avg(case when is_bot then 1.0 else 0 end) > 0.5 as is_bot
       from (select *, sum(fresh) over (partition by session_id order by event_time, event_id) as run from (select *, case when event_time - lag(event_time) over (partition by session_id order by event_time, event_id) < interval 6 hours then 0 else 1 end as fresh from e)) group by 1, 2""",
 }
-_NEEDS = {"g": ["e"], "n": ["e"], "ie": ["e"], "i": ["e"], "k": ["e"], "s": ["e"], "c": ["e"], "v": ["e"], "ss": ["e"], "e": []}
+#: Rows as the detection jobs take them.
+CTES["gk"] = "select g.*, ip_gini, path_entropy from g join k on k.window_start = g.window_start"
+CTES["ix"] = """select i.*, i.window_start + interval 1 day as window_end, errors / requests as error_ratio, not_found / requests as not_found_ratio, bytes_sent / requests as bytes_per_request, path_entropy, burstiness from i
+  join (select window_start, ip, case when count(*) < 2 then 0 else -sum(requests / total * log2(requests / total)) / log2(count(*)) end as path_entropy from (select *, sum(requests) over (partition by window_start, ip) as total from ie) group by 1, 2) a on a.window_start = i.window_start and a.ip = i.ip
+  join (select date_trunc('day', event_time) as window_start, ip, case when count(*) < 3 or epoch(max(event_time)) - epoch(min(event_time)) <= 0 then 1.0 else least(86400 / greatest(epoch(max(event_time)) - epoch(min(event_time)), 1.0), 86400) end as burstiness from e group by 1, 2) b on b.window_start = i.window_start and b.ip = i.ip"""
+_NEEDS = {"gk": ["g", "k"], "ix": ["i", "ie"], "g": ["e"], "n": ["e"], "ie": ["e"], "i": ["e"], "k": ["e"], "s": ["e"], "c": ["e"], "v": ["e"], "ss": ["e"], "e": []}
 
 
 def _with(names: str, sql: str) -> str:
@@ -344,27 +350,37 @@ Q("e6_robust_z", "window_start:t score:d triggered:b", lambda s, d: with_h(g(s,
 Q("e7_ewma", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.ewma(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", f"""with hist as ({_HIST}),
   f as (select window_start, requests, list_reduce(list_transform(h, lambda x: {{'level': x, 'dev': 0.0::double}}), lambda a, x: {{'level': 0.25 * x.level + 0.75 * a.level, 'dev': 0.25 * abs(x.level - a.level) + 0.75 * a.dev}}) as s from hist where len(h) >= 12)
   select window_start, {_SOFT.format('least(abs(requests - s.level) / greatest(1.2533 * s.dev, 0.05 * abs(s.level), 1e-9), 60)', '3.5', '3')} as score from f""")
-Q("e8_seasonal", "window_start:t score:d", lambda s, d: D.with_seasonal_history(g(s, d).withColumn("_k", F.lit("all")), ["requests"], ["_k"], 30 * 86_400).select("window_start", D.seasonal(F.col("s_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"))
-Q("e9_trend", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.trend(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"))
+
+
+def _steps() -> DS.Steps:
+    return DS.Steps("select * from g").history({"h": "requests"}, "epoch(b.window_start) between epoch(a.window_start) - 259200 and epoch(a.window_start) - 1")
+
+
+Q("e8_seasonal", "window_start:t score:d", lambda s, d: D.with_seasonal_history(g(s, d).withColumn("_k", F.lit("all")), ["requests"], ["_k"], 30 * 86_400).select("window_start", D.seasonal(F.col("s_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", DS.Steps("select * from g").seasonal("x", "requests", 30 * 86_400).end("select window_start, x_s as score from {t} where not x_c"))
+Q("e9_trend", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.trend(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", _steps().trend("x", "h", "requests").end("select window_start, x_s as score from {t} where not x_c"))
 Q("e10_cusum", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.cusum(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", f"""{_Z},
   q as (select window_start, list_reduce(list_prepend({{'p': 0.0::double, 'q': 0.0::double}}, list_transform(list_append(h, requests::double), lambda x: {{'p': (x - med) / sigma, 'q': 0.0::double}})), lambda a, x: {{'p': greatest(0.0, a.p + x.p - 0.5), 'q': greatest(0.0, a.q - x.p - 0.5)}}) as c from f where k >= 12)
   select window_start, {_SOFT.format('least(greatest(c.p, c.q), 90)', '5.0', '3')} as score from q""")
-Q("e11_mahalanobis", "window_start:t ip:s score:d", lambda s, d: D.with_mahalanobis(i(s, d), A.IP_FEATURES, ["window_start"]).select("window_start", "ip", "mahalanobis.score"))
-Q("e14_fuse", "window_start:t score:d agreement:l", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", S.fuse(F.array(D.robust_z(F.col("h_requests"), F.col("requests").cast("double")), S.rule(F.col("error_rate"), F.lit("rate")))).alias("f")).select("window_start", "f.score", "f.agreement"))
+Q("e11_mahalanobis", "window_start:t ip:s score:d", lambda s, d: D.with_mahalanobis(i(s, d), A.IP_FEATURES, ["window_start"]).select("window_start", "ip", "mahalanobis.score"), "ix", DS.Steps("select * from ix").mahalanobis("x", A.IP_FEATURES, "partition by window_start", 20).end("select window_start, ip, x_s as score from {t}"))
+Q("e14_fuse", "window_start:t score:d agreement:l confidence:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", S.fuse(F.array(D.robust_z(F.col("h_requests"), F.col("requests").cast("double")), S.rule(F.col("error_rate"), F.lit("rate")))).alias("f")).select("window_start", "f.score", "f.agreement", "f.confidence"), "g", _steps().stats("p", "h").robust_z("z", "p", "requests", way="both").rule("r", "error_rate").fused([("z", "robust_zscore"), ("r", "rule")]).end("select window_start, score, agreement, confidence from {t}"))
 Q("e15_severity", "window_start:t severity:s", lambda s, d: g(s, d).select("window_start", S.severity(100 * F.col("error_rate")).alias("severity")), "g", f"select window_start, {_SEVERITY} as severity from (select window_start, 100 * error_rate as score from g)")
 Q("e17_anomaly_id", "anomaly_id:s entity:s", simple_anomalies, "an", "select anomaly_id, entity from an")
 Q("e19_dedupe", "anomaly_id:s score:d", lambda s, d: S.dedupe(simple_anomalies(s, d).union(simple_anomalies(s, d).withColumn("score", F.col("score") / 2))), "an", "select anomaly_id, score from an")
 
 # -- detection jobs -----------------------------------------------------------------------------------------
 
-Q("f1_f6_global", "anomaly_id:s type:s score:d severity:s detector:s agreement:l", lambda s, d: A.analyze_global(gk(s, d)))
-Q("f7_f9_endpoints", "anomaly_id:s type:s entity:s score:d severity:s", lambda s, d: A.analyze_endpoints(n(s, d), **LOW["metrics_endpoint"]))
-Q("f10_f14_ips", "anomaly_id:s type:s entity:s score:d severity:s", lambda s, d: A.analyze_ips(i(s, d), LOW_THRESHOLDS))
+_GLOBAL = DS.analyze_global("select * from gk")
+_ENDPOINTS = DS.analyze_endpoints("select * from n", **{{"lookback_seconds": "lookback"}.get(k, k): x for k, x in LOW["metrics_endpoint"].items()})
+_IPS = DS.analyze_ips("select * from ix", LOW_THRESHOLDS)
+_SESSIONS = DS.analyze_sessions("select *, date_trunc('day', session_end) as _slot from ss", LOW["sessions"]["min_requests"])
+Q("f1_f6_global", "anomaly_id:s type:s score:d severity:s detector:s agreement:l", lambda s, d: A.analyze_global(gk(s, d)), "gk", _GLOBAL)
+Q("f7_f9_endpoints", "anomaly_id:s type:s entity:s score:d severity:s", lambda s, d: A.analyze_endpoints(n(s, d), **LOW["metrics_endpoint"]), "n", _ENDPOINTS)
+Q("f10_f14_ips", "anomaly_id:s type:s entity:s score:d severity:s", lambda s, d: A.analyze_ips(i(s, d), LOW_THRESHOLDS), "ix", _IPS)
 Q("f15_ip_population", "window_start:t ip:s", lambda s, d: A.ip_population(i(s, d), 40), "i", "select window_start, ip from (select *, row_number() over (partition by window_start order by requests desc, ip) as r from i) where r <= 40")
-Q("f16_geo", "anomaly_id:s entity:s score:d", geo_anomalies)
-Q("f17_sessions", "anomaly_id:s entity:s score:d", lambda s, d: A.analyze_sessions(ss(s, d), **LOW["sessions"]))
+Q("f16_geo", "anomaly_id:s entity:s score:d", geo_anomalies, "c", DS.analyze_geo("select * from c", 30 * 86_400, 5))
+Q("f17_sessions", "anomaly_id:s entity:s score:d", lambda s, d: A.analyze_sessions(ss(s, d), **LOW["sessions"]), "ss", _SESSIONS)
 Q("f18_closed_unscored", "window_start:t", lambda s, d: A.closed_unscored(g(s, d), g(s, d).filter(F.hour("window_start") < 12), ["window_start"], NOW), "g", f"select window_start from g where window_end <= timestamp '{NOW}' - interval 2 minutes and hour(window_start) >= 12")
-Q("f19_rescore", "anomaly_id:s type:s entity_type:s score:d", anomalies)
+Q("f19_rescore", "anomaly_id:s type:s entity_type:s score:d", anomalies, "gk n ix c ss", DS.rescored([_GLOBAL, _ENDPOINTS, _IPS, DS.analyze_geo("select * from c", 30 * 86_400, 5), _SESSIONS]))
 
 # -- incidents, alerts, quality, learning ---------------------------------------------------------------------
 
