@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import severity_rank
 from tidegauge.operators.series import bucket, kpi_deltas, kpi_totals, timeseries
+from tidegauge.sources.events import sample_events
 
 COUNT_CAP = 200_000
 SORTS = {"timestamp": "event_time", "latency": "response_time_ms", "status": "status", "bytes": "bytes_sent"}
@@ -51,7 +52,7 @@ def overview(global_rows: DataFrame, anomalies: DataFrame, incidents: DataFrame,
     }
 
 
-def endpoint_table(rows: DataFrame, sort: str = "requests", limit: int = 50, service: str | None = None, search: str | None = None) -> DataFrame:
+def endpoint_table(rows: DataFrame, sort: str = "requests", limit: int | None = 50, service: str | None = None, search: str | None = None) -> DataFrame:
     """Endpoints of a range: sums, mean percentiles, share of traffic and latency budget."""
     rows = rows.filter(F.col("service") == service) if service else rows
     rows = rows.filter(F.lower("endpoint").contains(search.lower())) if search else rows
@@ -72,7 +73,7 @@ def endpoint_table(rows: DataFrame, sort: str = "requests", limit: int = 50, ser
         "latency_budget": F.round(F.col("p95_response_time") / 500, 3),
     }).drop("_all")
     key = F.asc("apdex") if sort == "apdex" else F.desc(sort)
-    return out.orderBy(key, "endpoint", "method").limit(limit)
+    return out if limit is None else out.orderBy(key, "endpoint", "method").limit(limit)
 
 
 def endpoint_sparklines(rows: DataFrame, top: int = 20, seconds: int = 60) -> DataFrame:
@@ -154,8 +155,9 @@ def geo_timeseries(geo_rows: DataFrame, countries: list[str] | None = None, seco
 
 
 def geo_points(events: DataFrame, n: int = 20_000, limit: int = 400, seed: int = 7) -> DataFrame:
-    """Cities of a sample of events, weighted by the largest."""
-    sample = events.orderBy(F.rand(seed)).limit(n)
+    """Cities of a sample of about ``n`` events (all, if there are no more), weighted by the largest."""
+    total = events.count()
+    sample = sample_events(events, n / total, seed, "event_id") if total > n else events
     grouped = sample.groupBy("country", "city").agg(
         F.count("*").alias("requests"), F.avg(F.col("is_error").cast("double")).alias("error_rate"), F.avg("response_time_ms").alias("avg_response_time"),
         F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.bool_or(F.col("attack_label").isNotNull()).alias("hostile"),

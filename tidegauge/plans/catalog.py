@@ -8,6 +8,7 @@ rounded to four digits, whole numbers as longs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from tidegauge.operators import reports as R
 from tidegauge.operators import series as X
 from tidegauge.operators.enrich import enrich
 from tidegauge.plans import detection_sql as DS
-from tidegauge.sources.events import ACCESS_LOG_SQL, access_log, prepare_events
+from tidegauge.sources.events import ACCESS_LOG_SQL, access_log, load_metrics, prepare_events, sample_events
 from tidegauge.streaming import topology as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,6 +239,8 @@ Q("a5_raw_events", "event_id:s event_time:t status:l", lambda s, d: ST.raw_event
 Q("a6_enriched_payload", "key:s status:l endpoint:s", lambda s, d: ST.enriched_payload(log(s, d)).select("key", F.get_json_object("value", "$.status").cast("int").alias("status"), F.get_json_object("value", "$.endpoint").alias("endpoint")), "e", "select ip as key, status, endpoint from e")
 Q("a7_anomaly_payload", "severity:s n:l", lambda s, d: ST.anomaly_payload(simple_anomalies(s, d))[1], "an", "select severity, count(*) as n from an group by 1")
 Q("a8_retention", "window_start:t requests:l", lambda s, d: ST.apply_retention(g(s, d), "metrics_global", NOW), "g", f"select window_start, requests from g where window_start >= timestamp '{NOW}' - interval 14 days")
+Q("a9_sample_events", "event_id:s", lambda s, d: sample_events(log(s, d), 0.2, 7, "event_id"), "e", "select event_id from e where cast('0x' || substr(md5('7:' || event_id), 1, 8) as bigint) < 0.2 * 4294967296")
+Q("a11_load_metrics", "event_id:l ts:t", lambda s, d: load_metrics(s, f"{d}/events.parquet", START, END, "ts"), "", f"select event_id, ts from events where ts between timestamp '{START}' and timestamp '{END}' order by ts")
 Q("a10_sanitize", "event_id:s x:d", lambda s, d: ST.sanitize(log(s, d).select("event_id", F.when(F.col("status") == 404, float("nan")).when(F.col("status") == 500, float("inf")).otherwise(F.col("response_time_ms")).alias("x"))), "e", "select event_id, case when status in (404, 500) then null else response_time_ms end as x from e")
 Q("b1_enrich", "event_id:s status_class:s is_client_error:b is_server_error:b is_error:b is_not_found:b is_auth_fail:b is_cache_hit:b is_slow:b apdex_weight:d", log, "e", "select event_id, status_class, status >= 400 and status < 500 as is_client_error, status >= 500 as is_server_error, is_error, status = 404 as is_not_found, is_auth_fail, cache_status = 'HIT' as is_cache_hit, is_slow, case when response_time_ms <= 500 then 1.0 when response_time_ms <= 2000 then 0.5 else 0 end as apdex_weight from e")
 Q("b3_ingest_latency", "event_id:s ingest_latency_ms:d", lambda s, d: enrich(access_log(s, d).withColumn("kafka_ts", F.col("event_time") + F.expr("interval 90 seconds"))), "e", "select event_id, 90000.0 as ingest_latency_ms from e")
@@ -248,7 +251,14 @@ Q("b7_severity_at_least", "anomaly_id:s severity:s", lambda s, d: B.severity_at_
 Q("b8_tail_filter", "event_id:s", lambda s, d: B.tail_filter(log(s, d), only_errors=True, endpoint="search", text="UA-3"), "e", "select event_id from e where status >= 400 and contains(endpoint, 'search') and contains(lower(path || ' ' || user_agent || ' ' || ip), 'ua-3')")
 Q("b9_anomaly_feed", "anomaly_id:s score:d severity:s", lambda s, d: B.anomaly_feed(simple_anomalies(s, d), START, END, severity="medium", sort="severity", limit=40, offset=5)[0], "an", f"select anomaly_id, score, severity from an where window_start between timestamp '{START}' and timestamp '{END}' and {_RANK} >= 2 order by {_RANK} desc, anomaly_id limit 40 offset 5")
 Q("b10_incident_list", "incident_id:s shown:l", lambda s, d: B.incident_list(incidents(s, d), START, END, family="availability")[0].withColumn("shown", F.size("timeline")), "co", "select incident_id, least(count(distinct window_start), 12) as shown from co where family = 'availability' group by 1")
-Q("b11_alert_list", "alert_id:s severity:s", lambda s, d: B.alert_list(alerts(s, d), START, END, limit=10_000))
+_ALERTS = f"""with matched as (
+  select *, 'alt_' || substr(sha1(rule_id || '|' || entity || '|' || strftime(window_start, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 1, 18) as alert_id, cast(epoch(detected_at) as bigint) as moment from (
+    select *, 'r-any' as rule_id, 7200 as cooldown from an where {_RANK} >= 2 union all select *, 'r-auth', 86400 from an where type = 'auth_abuse' and entity_type = 'ip' and score >= 50)),
+  single as (select * from (select *, row_number() over (partition by alert_id order by score desc, anomaly_id) as r from matched) where r = 1),
+  times as (select rule_id, entity, cooldown, list_sort(list_distinct(list(moment))) as ats from single group by 1, 2, 3),
+  loud as (select rule_id, entity, unnest(list_reduce(list_prepend([]::bigint[], list_transform(ats, lambda x: [x])), lambda a, x: case when len(a) = 0 or x[1] - a[-1] > cooldown then list_concat(a, x) else a end)) as moment from times)
+  select * from (select s.*, detected_at as fired_at, row_number() over (partition by s.rule_id, s.entity, s.moment order by score desc, alert_id) as first from single s join loud l on l.rule_id = s.rule_id and l.entity = s.entity and l.moment = s.moment) where first = 1"""
+Q("b11_alert_list", "alert_id:s severity:s", lambda s, d: B.alert_list(alerts(s, d), START, END, limit=10_000), "an", f"select alert_id, severity from ({_ALERTS}) where fired_at between timestamp '{START}' and timestamp '{END}' order by fired_at desc, alert_id limit 10000")
 
 # -- metric families ------------------------------------------------------------------------------------
 
@@ -269,7 +279,33 @@ Q("c7_concentration", "window_start:t n_ips:l ip_gini:d top_ip:s top_ip_share:d
 Q("c8_geo_metrics", "window_start:t country:s requests:l unique_ips:l unique_sessions:l error_rate:d avg_response_time:d p95_response_time:d bytes_sent:l country_name:s lat:d lon:d", c, "c", "select * from c")
 Q("c9_service_metrics", "window_start:t service:s requests:l errors:l errors_5xx:l p95_response_time:d p99_response_time:d apdex:d unique_hosts:l error_rate:d server_error_rate:d", v, "v", "select * from v")
 Q("c10_session_metrics", "session_id:s session_start:t session_end:t requests:l error_count:l bytes_sent:l entry_endpoint:s exit_endpoint:s converted:b duration_seconds:d is_bot:b", ss, "ss", "select * from ss")
-Q("c12_dominant_label", "window_start:t dominant_attack_label:s", g, "g", "select * from g")
+_LABELS = "case status when 404 then 'endpoint_scan' when 401 then 'credential_stuffing' when 500 then 'error_spike' end"
+Q("c12_dominant_label", "window_start:t dominant_attack_label:s", lambda s, d: M.global_metrics(log(s, d).withColumn("attack_label", F.expr(_LABELS)), DAY, exact=True), "e", f"""select w as window_start, label as dominant_attack_label from (select distinct date_trunc('day', event_time) as w from e) left join
+  (select * from (select *, row_number() over (partition by x order by n desc, label) as r from (select date_trunc('day', event_time) as x, {_LABELS} as label, count(*) as n from e group by 1, 2) where label is not null) where r = 1) on x = w""")
+Q("c13_c14_sketches", "window_start:t p50_response_time:d p95_response_time:d unique_ips:l unique_sessions:l unique_users:l unique_endpoints:l", lambda s, d: _sketched(s, d), "e", """select date_trunc('hour', event_time) as window_start, quantile_disc(response_time_ms, 0.5) as p50_response_time, quantile_disc(response_time_ms, 0.95) as p95_response_time, count(distinct ip) as unique_ips,
+  count(distinct session_id) as unique_sessions, count(distinct user_id) as unique_users, count(distinct endpoint) as unique_endpoints from e group by 1""")
+
+
+def _sketched(spark, d):
+    """The stream form; a distinct count within three standard errors (or one) of the exact one is shown as that."""
+    counts = {"unique_ips": 0.02, "unique_sessions": 0.02, "unique_users": 0.02, "unique_endpoints": 0.05}
+    exact = g(spark, d).select("window_start", *[F.col(c).alias(f"_{c}") for c in counts])
+    near = {c: F.when(F.abs(F.col(c) - F.col(f"_{c}")) <= F.greatest(F.lit(1), 3 * error * F.col(f"_{c}")), F.col(f"_{c}")).otherwise(F.col(c)) for c, error in counts.items()}
+    return M.global_metrics(log(spark, d), HOUR).join(exact, "window_start").withColumns(near)
+
+
+Q("c2_status_counts_stream_form", "window_start:t code:s n:l", lambda s, d: M.global_metrics(log(s, d), HOUR).select("window_start", F.explode("status_counts").alias("code", "n")), "e", "select date_trunc('hour', event_time) as window_start, status as code, count(*) as n from e group by 1, 2")
+
+
+def _families(spark, d):
+    """Each family's rows, and its requests."""
+    tables = M.all_metrics(log(spark, d), HOUR, DAY, GAP)
+    parts = [t.agg(F.lit(name).alias("family"), F.count("*").alias("rows"), F.sum("requests").alias("requests")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_BY_HOUR = {"metrics_global": "1", "metrics_endpoint": "(endpoint, method)", "metrics_ip": "ip", "metrics_status": "status_class", "metrics_service": "service"}
+Q("c11_all_metrics", "family:s rows:l requests:l", _families, "e ss", " union all ".join([f"select '{name}' as family, count(distinct (date_trunc('hour', event_time), {key})) as rows, count(*) as requests from e" for name, key in _BY_HOUR.items()]) + " union all select 'metrics_geo', count(distinct (date_trunc('day', event_time), country)), count(*) from e union all select 'sessions', count(*), sum(requests) from ss")
 Q("c15_apdex", "service:s apdex:d", lambda s, d: log(s, d).groupBy("service").agg(M.apdex()), "e", f"select service, {_APDEX} as apdex from e group by 1")
 Q("c16_burstiness", "window_start:t ip:s burstiness:d", i, "e", "select date_trunc('day', event_time) as window_start, ip, case when count(*) < 3 or epoch(max(event_time)) - epoch(min(event_time)) <= 0 then 1.0 else least(86400 / greatest(epoch(max(event_time)) - epoch(min(event_time)), 1.0), 86400) end as burstiness from e group by 1, 2")
 
@@ -316,6 +352,29 @@ Q("d25_attackers", "entity:s score:d anomalies:l", lambda s, d: R.security_summa
 Q("d25_attack_counts", "auth_abuse:l suspicious_ip:l ddos_burst:l", lambda s, d: R.security_summary(simple_anomalies(s, d))["attack_counts"], "an", "select count(*) filter (type = 'auth_abuse') as auth_abuse, count(*) filter (type = 'suspicious_ip') as suspicious_ip, count(*) filter (type = 'ddos_burst') as ddos_burst from an")
 Q("d26_anomaly_by_type", "type:s n:l max_score:d avg_score:d", lambda s, d: R.anomaly_summary(simple_anomalies(s, d))["by_type"], "an", "select type, count(*) as n, max(score) as max_score, round(avg(score), 2) as avg_score from an group by 1")
 Q("d26_anomaly_timeline", "t:t low:l medium:l high:l critical:l", lambda s, d: R.anomaly_summary(simple_anomalies(s, d))["timeline"], "an", "select date_trunc('hour', window_start) as t, " + ", ".join(f"count(*) filter (severity = '{k}') as {k}" for k in ("low", "medium", "high", "critical")) + " from an group by 1")
+
+
+def _anomaly_windows(spark, d):
+    found = simple_anomalies(spark, d)
+    top = found.filter("entity_type = 'ip'").orderBy(F.desc("score"), "anomaly_id").select("anomaly_id").first()
+    families = {"metrics_ip": i(spark, d), "metrics_global": g(spark, d), "metrics_endpoint": n(spark, d), "metrics_geo": c(spark, d)}
+    return R.anomaly_detail(found, incidents(spark, d), families, log(spark, d), top[0] if top else "")
+
+
+_TOP_IP = "(select entity, window_start as until from an where entity_type = 'ip' order by score desc, anomaly_id limit 1)"
+Q("d27_anomaly_windows", "window_start:t ip:s requests:l", lambda s, d: _anomaly_windows(s, d)["windows"], "i an", f"select i.window_start, ip, requests from i join {_TOP_IP} on entity = ip and i.window_start <= until order by i.window_start desc limit 90")
+Q("d27_anomaly_logs", "event_id:s", lambda s, d: _anomaly_windows(s, d)["logs"], "e an", f"select event_id from e join {_TOP_IP} on entity = ip order by event_time desc, event_id limit 25")
+Q("d27_anomaly_incident", "incident_id:s", lambda s, d: _anomaly_windows(s, d)["incident"], "co", "select distinct incident_id from co where anomaly_id = (select anomaly_id from an where entity_type = 'ip' order by score desc, anomaly_id limit 1) and (select count(*) from co c where c.incident_id = co.incident_id and (c.window_start, c.anomaly_id) > (co.window_start, co.anomaly_id)) < 500")
+Q("d11_event_ip_windows", "window_start:t ip:s requests:l", lambda s, d: R.event_context(log(s, d), i(s, d), "42")["ip_windows"], "i e", "select window_start, ip, requests from i where ip = (select ip from e where event_id = '42') order by window_start desc limit 20")
+Q("d13_overview_totals", "requests:l errors:l windows:l", lambda s, d: R.overview(g(s, d), simple_anomalies(s, d), incidents(s, d), alerts(s, d), START, END)["totals"], "g", f"select {_KPI} from g where window_start between timestamp '{START}' and timestamp '{END}'")
+Q("d13_overview_open_incidents", "n:l", lambda s, d: R.overview(g(s, d), simple_anomalies(s, d), incidents(s, d), alerts(s, d), START, END)["open_incidents"], "co", "select count(distinct incident_id) as n from co")
+Q("d13_overview_alerts", "n:l", lambda s, d: R.overview(g(s, d), simple_anomalies(s, d), incidents(s, d), alerts(s, d), START, END)["firing_alerts"], "an", f"select count(*) as n from ({_ALERTS}) where fired_at between timestamp '{END}' - interval 1 hour and timestamp '{END}'")
+Q("d16_endpoint_series", "t:t requests:l errors:l", lambda s, d: R.endpoint_detail(n(s, d), simple_anomalies(s, d), log(s, d), "/api/v1/search", 86_400)["series"], "n", "select window_start as t, sum(requests) as requests, sum(errors) as errors from n where endpoint = '/api/v1/search' group by 1")
+Q("d16_endpoint_errors", "event_id:s status:l", lambda s, d: R.endpoint_detail(n(s, d), simple_anomalies(s, d), log(s, d), "/api/v1/search")["errors"], "e", "select event_id, status from e where endpoint = '/api/v1/search' and status >= 400 order by event_time desc, event_id limit 20")
+Q("d19_session", "session_id:s session_start:t requests:l", lambda s, d: R.session_trail(ss(s, d), log(s, d), simple_anomalies(s, d), "s5")["session"], "ss", "select session_id, session_start, requests from ss where session_id = 's5'")
+Q("d24_ip_summary", "requests:l errors:l peak_rps:d windows:l", lambda s, d: R.ip_profile(i(s, d), simple_anomalies(s, d), log(s, d), "10.0.0.5")["summary"], "i", "select sum(requests) as requests, sum(errors) as errors, max(requests / 86400.0) as peak_rps, count(*) as windows from i where ip = '10.0.0.5'")
+Q("d24_ip_anomalies", "anomaly_id:s score:d", lambda s, d: R.ip_profile(i(s, d), simple_anomalies(s, d), log(s, d), "10.0.0.5")["anomalies"], "an", "select anomaly_id, score from an where entity_type = 'ip' and entity = '10.0.0.5' order by window_start desc, anomaly_id limit 80")
+Q("d29_live_anomalies", "anomaly_id:s", lambda s, d: R.live_snapshot(g(s, d), simple_anomalies(s, d), incidents(s, d), NOW, START)["anomalies"], "an", f"select anomaly_id from an where detected_at > timestamp '{START}' order by detected_at desc, anomaly_id limit 25")
 Q("d28_incident_metrics", "window_start:t requests:l", lambda s, d: _incident_metrics(s, d), "g co", "select g.window_start, g.requests from g join (select incident_id, min(window_start) as a, max(window_start) as b from co where family = 'availability' group by 1 order by count(*) desc, 1 limit 1) x on g.window_start between a and b")
 
 
@@ -329,7 +388,7 @@ Q("d29_live_snapshot", "window_start:t requests:l", lambda s, d: R.live_snapshot
 Q("d30_anomaly_bands", "start:t end:t severity:s windows:l", lambda s, d: X.anomaly_bands(simple_anomalies(s, d).filter("entity_type = 'global'")), "an", f"""select min(window_start) as start, max(window_end) as "end", arg_max(severity, r) as severity, count(*) as windows from (
   select *, sum(fresh) over (order by window_start) as run from (select *, {_RANK} as r, case when window_start <= max(window_end) over (order by window_start rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from an where entity_type = 'global')) group by run""")
 ORACLES["d30_anomaly_bands"] = ORACLES["d30_anomaly_bands"].replace("strftime(end,", 'strftime("end",').replace("as end,", 'as "end",')
-Q("d31_endpoint_highlights", "requests:l errors:l endpoints:l slowest:s worst:s", lambda s, d: R.endpoint_highlights(R.endpoint_table(n(s, d), limit=1000)), "n", f"select sum(requests) as requests, sum(errors) as errors, count(*) as endpoints, arg_max(endpoint, (p95_response_time, endpoint)) as slowest, arg_min(endpoint, (apdex, endpoint)) as worst from ({_TABLE})")
+Q("d31_endpoint_highlights", "requests:l errors:l endpoints:l slowest:s worst:s", lambda s, d: R.endpoint_highlights(R.endpoint_table(n(s, d), limit=None)), "n", f"select sum(requests) as requests, sum(errors) as errors, count(*) as endpoints, arg_max(endpoint, (p95_response_time, endpoint)) as slowest, arg_min(endpoint, (apdex, endpoint)) as worst from ({_TABLE})")
 Q("d32_merged_feed", "anomaly_id:s severity:s", lambda s, d: X.merged_feed(simple_anomalies(s, d).filter("severity = 'critical'"), simple_anomalies(s, d), START, END), "an", f"select anomaly_id, severity from an where window_start between timestamp '{START}' and timestamp '{END}'")
 
 # -- statistics and detectors -------------------------------------------------------------------------------
@@ -363,6 +422,17 @@ Q("e10_cusum", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests
   select window_start, {_SOFT.format('least(greatest(c.p, c.q), 90)', '5.0', '3')} as score from q""")
 Q("e11_mahalanobis", "window_start:t ip:s score:d", lambda s, d: D.with_mahalanobis(i(s, d), A.IP_FEATURES, ["window_start"]).select("window_start", "ip", "mahalanobis.score"), "ix", DS.Steps("select * from ix").mahalanobis("x", A.IP_FEATURES, "partition by window_start", 20).end("select window_start, ip, x_s as score from {t}"))
 Q("e14_fuse", "window_start:t score:d agreement:l confidence:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", S.fuse(F.array(D.robust_z(F.col("h_requests"), F.col("requests").cast("double")), S.rule(F.col("error_rate"), F.lit("rate")))).alias("f")).select("window_start", "f.score", "f.agreement", "f.confidence"), "g", _steps().stats("p", "h").robust_z("z", "p", "requests", way="both").rule("r", "error_rate").fused([("z", "robust_zscore"), ("r", "rule")]).end("select window_start, score, agreement, confidence from {t}"))
+Q("e13_rule", "window_start:t score:d triggered:b", lambda s, d: g(s, d).select("window_start", S.rule(3 * F.col("error_rate") - 0.2, F.lit("errors")).alias("r")).select("window_start", "r.score", "r.triggered"), "g", "select window_start, greatest(least(3 * error_rate - 0.2, 1), 0) as score, 3 * error_rate - 0.2 >= 0.5 as triggered from g")
+
+
+def _rules() -> list:
+    return [S.rule(F.col("error_rate"), F.lit("errors")), S.rule(F.col("bot_ratio"), F.lit("bots")), S.rule(F.col("cache_hit_rate"), F.lit("cache")), D.neutral("ewma")]
+
+
+_SAID = "'window' || coalesce('. ' || nullif(array_to_string(list_transform(list_sort(list_filter([{'k': -error_rate, 'i': 0, 'r': 'errors'}, {'k': -bot_ratio, 'i': 1, 'r': 'bots'}, {'k': -cache_hit_rate, 'i': 2, 'r': 'cache'}], lambda x: x.k <= -0.25))[1:2], lambda x: x.r), '; '), ''), '')"
+Q("e16_reason_text", "window_start:t reason:s", lambda s, d: g(s, d).select("window_start", S.reason_text(F.lit("window"), F.array(*_rules()), 2).alias("reason")), "g", f"select window_start, {_SAID} as reason from g")
+_MADE = DS.Steps("select * from g").rule("a", "error_rate").rule("b", "bot_ratio").rule("c", "cache_hit_rate").scored("n", "0.0", "true").fused([("a", "rule"), ("b", "rule"), ("c", "rule"), ("n", "ewma")])
+Q("e18_make_anomalies", "anomaly_id:s score:d severity:s detector:s agreement:l confidence:d status:s", lambda s, d: S.make_anomalies(g(s, d), "error_spike", "global", F.lit("all"), _rules(), F.lit("window"), ["requests"], F.col("error_rate") > 0, 40.0), "g", _MADE.end(f"select 'anm_' || substr(sha1('error_spike|global|all|' || strftime(window_start, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 1, 20) as anomaly_id, score, {_SEVERITY} as severity, detector, agreement, confidence, 'open' as status from {{t}} where score >= 40 and error_rate > 0"))
 Q("e15_severity", "window_start:t severity:s", lambda s, d: g(s, d).select("window_start", S.severity(100 * F.col("error_rate")).alias("severity")), "g", f"select window_start, {_SEVERITY} as severity from (select window_start, 100 * error_rate as score from g)")
 Q("e17_anomaly_id", "anomaly_id:s entity:s", simple_anomalies, "an", "select anomaly_id, entity from an")
 Q("e19_dedupe", "anomaly_id:s score:d", lambda s, d: S.dedupe(simple_anomalies(s, d).union(simple_anomalies(s, d).withColumn("score", F.col("score") / 2))), "an", "select anomaly_id, score from an")
@@ -389,7 +459,7 @@ ORACLES["g1_correlate"] = ORACLES["g1_correlate"].replace("cast(group as varchar
 Q("g2_fold_incidents", "incident_id:s anomaly_count:l started_at:t last_seen_at:t peak_score:d impact_requests:l duration_minutes:d", incidents, "co", "select incident_id, count(*) as anomaly_count, min(window_start) as started_at, max(window_start) as last_seen_at, max(score) as peak_score, sum(requests) as impact_requests, round((epoch(max(window_start)) - epoch(min(window_start))) / 60 + 1, 1) as duration_minutes from co group by 1")
 Q("g3_auto_resolve", "status:s n:l", lambda s, d: G.auto_resolve(incidents(s, d), NOW).groupBy("status").agg(F.count("*").alias("n")), "co", f"select case when b < timestamp '{NOW}' - interval 15 minutes then 'resolved' else 'open' end as status, count(*) as n from (select incident_id, max(window_start) as b from co group by 1) group by 1")
 Q("g4_match_rules", "anomaly_id:s rule_id:s", lambda s, d: G.match_rules(simple_anomalies(s, d), G.rules_table(s)), "an", f"select anomaly_id, rule_id from (select anomaly_id, unnest(list_filter([case when {_RANK} >= 4 then 'rule-critical-any' end, case when type = 'error_spike' and {_RANK} >= 3 then 'rule-error-spike' end, case when type in ('ddos_burst', 'suspicious_ip') and {_RANK} >= 3 then 'rule-ddos' end, case when type in ('auth_abuse', 'endpoint_scan') and {_RANK} >= 2 then 'rule-auth-abuse' end], lambda x: x is not null)) as rule_id from an)")
-Q("g5_fire_alerts", "alert_id:s rule_id:s entity:s severity:s", alerts)
+Q("g5_fire_alerts", "alert_id:s rule_id:s entity:s severity:s score:d fired_at:t", alerts, "an", _ALERTS)
 Q("g6_ground_truth", "minute:t label:s", truth, "g n i c e", "select distinct w as minute, 'error_spike' as label from (select date_trunc('hour', event_time) as w from e where attack_label is not null union all select date_trunc('day', event_time) from e where attack_label is not null)")
 _TRUTH = "select distinct date_trunc('hour', event_time) as minute, 'error_spike' as label from e where attack_label is not null"
 
@@ -416,12 +486,13 @@ Q("g12_split_clean", "window_start:t", lambda s, d: L.split_clean(g(s, d)), "g",
 
 def _forest(s, d):
     rows = g(s, d)
-    forest, meta = L.train_forest(rows, ["rps", "error_rate", "p95_response_time", "unique_ips", "bytes_per_request", "bot_ratio"], trees=25)
-    return L.forest_detector(rows, forest, meta).select("window_start", F.col("isolation_forest.score").between(0, 1).alias("valid"))
+    forest, meta = L.train_forest(rows, ["rps", "error_rate", "p95_response_time", "unique_ips", "bytes_per_request", "bot_ratio"])
+    return L.forest_detector(rows, forest, meta).select("window_start", "isolation_forest.score", "isolation_forest.triggered")
 
 
-Q("g13_e12_isolation_forest", "window_start:t valid:b", _forest, "g", "select window_start, true as valid from g")
-Q("g14_traffic_profiles", "hours:l", lambda s, d: L.traffic_profiles(g(s, d)).agg(F.sum("hours").alias("hours")), "g", "select count(*) as hours from g")
+# random trees and clusters have no SQL form: tests hold them against planted outliers and known centres
+Q("g13_e12_isolation_forest", "window_start:t score:d triggered:b", _forest)
+Q("g14_traffic_profiles", "name:s hours:l avg_requests:d avg_error_rate:d avg_p95:d", lambda s, d: L.traffic_profiles(g(s, d)))
 Q("g15_seasonal_baseline", "day_type:s bucket:l metric:s median:d p25:d p75:d p95:d samples:l", lambda s, d: L.seasonal_baseline(g(s, d)), "g", "select day_type, bucket, metric, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.25) as p25, quantile_cont(value, 0.75) as p75, quantile_cont(value, 0.95) as p95, count(value) as samples from (select case when isodow(window_start) >= 6 then 'weekend' else 'weekday' end as day_type, hour(window_start) * 4 as bucket, unnest([{'metric': 'requests', 'value': requests::double}, {'metric': 'error_rate', 'value': error_rate}, {'metric': 'p95_response_time', 'value': p95_response_time}, {'metric': 'unique_ips', 'value': unique_ips::double}], recursive := true) from g) group by 1, 2, 3")
 
 # -- observability ------------------------------------------------------------------------------------------

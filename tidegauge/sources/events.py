@@ -79,9 +79,12 @@ def prepare_events(df: DataFrame) -> DataFrame:
     return df.withColumn("_time", time).filter(F.col("_time").isNotNull()).select(F.col("_time").alias("event_time"), *[c.alias(n) for n, c in columns.items()])
 
 
-def sample_events(df: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
-    """Bernoulli sample."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_events(df: DataFrame, fraction: float, seed: int = 7, key: str | None = None) -> DataFrame:
+    """Bernoulli sample; with a ``key``, by its hash, so that a task that runs again draws the same rows."""
+    if key is None:
+        return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double")
+    return df.filter(drawn < fraction * 2**32)
 
 
 def load_metrics(spark: SparkSession, path: str, start=None, end=None, time: str = "window_start") -> DataFrame:
