@@ -51,13 +51,14 @@ def analyze_global(rows: DataFrame, thresholds: dict | None = None, lookback_sec
     """
     t = _t(thresholds)
     z, points, alpha = t["zscore_threshold"], t["min_history_points"], t["ewma_alpha"]
-    base = rows.withColumn("_all", F.lit("all-traffic"))
+    # one series: history is looked up in chunks of time, each with the lookback before it
+    base = D.chunked(rows, lookback_seconds)
     for c in ("ip_gini", "path_entropy", "bot_ratio", "bytes_per_request"):
         base = base if c in base.columns else base.withColumn(c, F.lit(0.0))
-    base = D.with_history(base, ["requests", "error_rate", "server_error_rate", "p95_response_time"], ["_all"], lookback_seconds)
-    base = D.with_seasonal_history(base, ["requests", "error_rate", "p95_response_time"], ["_all"], lookback_seconds, bucket_minutes)
-    past = Window.partitionBy("_all").orderBy(F.unix_timestamp("window_start")).rangeBetween(-lookback_seconds, -1)
-    base = D.with_mahalanobis(base, GLOBAL_FEATURES, ["_all"], 2 * points, z, over=past)
+    base = D.with_history(base, ["requests", "error_rate", "server_error_rate", "p95_response_time"], ["chunk"], lookback_seconds)
+    base = D.with_seasonal_history(base, ["requests", "error_rate", "p95_response_time"], ["chunk"], lookback_seconds, bucket_minutes)
+    past = Window.partitionBy("chunk").orderBy(F.unix_timestamp("window_start")).rangeBetween(-lookback_seconds, -1)
+    base = D.with_mahalanobis(base, GLOBAL_FEATURES, ["chunk"], 2 * points, z, over=past).filter("own").drop("chunk", "own")
     requests, rate, p95 = F.col("requests").cast("double"), F.col("error_rate"), F.col("p95_response_time")
     base = base.withColumn("_seasonal", D.seasonal(F.col("s_requests"), requests, z, label="request volume"))
     blind = F.col("_seasonal.cold")

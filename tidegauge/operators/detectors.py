@@ -1,8 +1,8 @@
 """Detectors: each scores a value against the strict past of its series, as a column expression.
 
 History arrays come from ``with_history``: range frames that end before the scored window, so a task
-holds one entity's lookback and never a whole series.  A long series of one entity can be cut into
-chunks with a halo of lookback (``chunked``), which spreads it over tasks.
+holds one entity's lookback and never a whole series.  A long series of one entity, as the platform's
+own, is cut into chunks with a halo of lookback (``chunked``), which spreads it over tasks.
 """
 
 from __future__ import annotations
@@ -32,11 +32,13 @@ def with_history(df: DataFrame, columns: list[str], by: list[str], lookback_seco
     return out.drop("_epoch")
 
 
-def chunked(df: DataFrame, by: list[str], lookback_seconds: int, chunk_seconds: int = 86_400, time: str = "window_start") -> DataFrame:
+def chunked(df: DataFrame, lookback_seconds: int, chunk_seconds: int | None = None, time: str = "window_start") -> DataFrame:
     """Rows with ``chunk`` and ``own``: a row also goes to later chunks whose lookback reaches it.
 
-    Partition history windows by ``chunk`` too and keep rows that are ``own``.
+    Partition history windows by ``chunk`` too and keep rows that are ``own``.  With chunks as long
+    as the lookback, but a day at least, every row is there twice at most.
     """
+    chunk_seconds = chunk_seconds or max(lookback_seconds, 86_400)
     chunk = F.floor(F.unix_timestamp(time) / chunk_seconds)
     last = F.floor((F.unix_timestamp(time) + lookback_seconds) / chunk_seconds)
     spreaded = df.withColumn("_first", chunk).withColumn("chunk", F.explode(F.sequence(chunk, last)))

@@ -31,64 +31,99 @@ def family(kind: Column) -> Column:
 def correlate(anomalies: DataFrame, join_minutes: int = 10) -> DataFrame:
     """Adds family, group (``*`` for campaigns of sources and for sessions) and incident_id.
 
-    Anomalies of a key whose gap to the latest before them is longer start a new incident.
+    Anomalies of a key whose gap to the latest before them is longer start a new incident.  Gaps are
+    between times, so incidents are made of a key's distinct times - one row a window, however many
+    anomalies it has - and anomalies then look theirs up by key and time.
     """
     kind = family(F.col("type"))
     group = F.when((kind == "security") & (F.col("entity_type") == "ip") | (F.col("entity_type") == "session"), "*").otherwise(F.col("entity"))
     keyed = anomalies.withColumn("family", kind).withColumn("group", group)
     keys = ["family", "entity_type", "group"]
-    order = Window.partitionBy(*keys).orderBy("window_start", "anomaly_id")
-    last = F.max("window_start").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(last.isNull() | (F.unix_timestamp("window_start") - F.unix_timestamp(last) > 60 * join_minutes), 1).otherwise(0)
-    runs = keyed.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.min("window_start").over(Window.partitionBy(*keys, "_run"))
-    found = runs.withColumn("incident_start", start)
-    return found.withColumn("incident_id", content_id("inc_", [F.col("family"), F.col("entity_type"), F.col("group"), iso(F.col("incident_start"))], 18)).drop("_new", "_run")
+    times = keyed.select(*keys, "window_start").distinct()
+    order = Window.partitionBy(*keys).orderBy("window_start")
+    last = F.lag("window_start").over(order)
+    new = F.when(last.isNull() | (F.unix_timestamp("window_start") - F.unix_timestamp(last) > 60 * join_minutes), F.col("window_start"))
+    starts = times.withColumn("_new", new).withColumn("incident_start", F.max("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    starts = starts.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "window_start")], "incident_start")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "window_start")]
+    found = keyed.join(starts, same).select(*keyed.columns, "incident_start")
+    return found.withColumn("incident_id", content_id("inc_", [F.col("family"), F.col("entity_type"), F.col("group"), iso(F.col("incident_start"))], 18))
+
+
+#: Steps after which the score of an incident doesn't move at an unchanged peak: each leaves three tenths of the distance.
+SETTLED = 40
+ANOMALY_IDS, ENTITIES, TIMELINE = 500, 50, 120
+KEYS = ["incident_id", "family", "entity_type", "group"]
+
+
+def _firsts(rows: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """The distinct values of each incident in order of their first anomaly, at most ``limit``."""
+    first = rows.groupBy("incident_id", column).agg(F.min(F.struct("window_start", "anomaly_id")).alias("_at"))
+    if limit is not None:
+        rank = F.row_number().over(Window.partitionBy("incident_id").orderBy("_at"))
+        first = first.withColumn("_rank", rank).filter(F.col("_rank") <= limit)
+    return first.groupBy("incident_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", column))), lambda x: x[column]).alias(f"_{column}"))
 
 
 def fold_incidents(correlated: DataFrame) -> DataFrame:
     """One row an incident: counts, peak, the score folded in order of time, the worst severity and
     its text, and lists of bounded length.
 
-    Only id, time, score and a few words of an anomaly are gathered for an incident, in order of
-    (window_start, anomaly_id); the score depends on that order.
+    Order is that of (window_start, anomaly_id).  Anomalies are first folded into one row for each
+    incident and window: the ids that may be shown, its first anomaly, and its scores as steps - a
+    new peak with how often it was followed by a lower score, up to ``SETTLED``, since by then the
+    folded score has settled.  Only those rows meet for an incident, as many as it has windows.
     """
     m = lambda name: F.coalesce(F.try_element_at("metrics", F.lit(name)), F.lit(0.0))
-    item = F.struct("window_start", "anomaly_id", "score", "type", "detector", "entity", "severity", "headline", severity_rank(F.col("severity")).alias("rank"))
-    grouped = correlated.groupBy("incident_id", "family", "entity_type", "group").agg(
-        F.count("*").alias("anomaly_count"),
-        F.min("window_start").alias("started_at"),
-        F.max("window_start").alias("last_seen_at"),
-        F.max("score").alias("peak_score"),
-        F.array_sort(F.collect_list(item)).alias("_all"),
-        F.max_by(F.struct("severity", "type", "reason"), F.struct(severity_rank(F.col("severity")), -F.unix_timestamp("window_start"), F.hash("anomaly_id"))).alias("_worst"),
-        F.sum(m("requests")).cast("bigint").alias("impact_requests"),
-        F.max(m("error_rate")).alias("peak_error_rate"),
-        F.max(m("p95_response_time")).alias("peak_p95_ms"),
-        F.max(m("rps")).alias("peak_rps"),
-        F.min_by("ground_truth", F.when(F.col("ground_truth").isNotNull(), F.struct("window_start", "anomaly_id"))).alias("ground_truth"),
-    )
-    first = F.element_at("_all", 1)["score"]
-    start = F.struct(F.lit(0.0).alias("peak"), first.alias("score"))
-
-    def step(a: Column, x: Column) -> Column:
-        peak = F.greatest(a["peak"], x["score"])
-        return F.struct(peak.alias("peak"), F.round(0.7 * peak + 0.3 * F.when(a["score"] == 0, x["score"]).otherwise(a["score"]), 2).alias("score"))
-
-    ids = F.transform("_all", lambda x: x["anomaly_id"])
-    minutes = F.transform("_all", lambda x: F.struct(x["window_start"].alias("at"), x["type"].alias("type"), x["severity"].alias("severity"), x["score"].alias("score"), x["entity"].alias("entity"), x["headline"].alias("reason")))
-    timeline = F.filter(minutes, lambda x, i: (i == 0) | (x["at"] != F.element_at(F.col("_all"), F.greatest(i, F.lit(1)))["window_start"]))
-    tail = lambda a, n: F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n)
+    item = F.struct("anomaly_id", "score", "type", "severity", "entity", "headline")
+
+    def rise(a: Column, x: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        more = F.struct(last["peak"].alias("peak"), F.least(last["times"] + 1, F.lit(SETTLED)).alias("times"))
+        return F.when((F.size(a) > 0) & (x["score"] <= last["peak"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(more))).otherwise(F.concat(a, F.array(F.struct(x["score"].cast("double").alias("peak"), F.lit(1).alias("times")))))
+
+    per_window = correlated.groupBy(*KEYS, "window_start").agg(
+        F.count("*").alias("n"), F.max("score").alias("score"), F.array_sort(F.collect_list(item)).alias("_all"),
+        F.max_by(F.struct("severity", "type", "reason"), F.struct(severity_rank(F.col("severity")), F.hash("anomaly_id"))).alias("_worst"),
+        F.sum(m("requests")).alias("requests"), F.max(m("error_rate")).alias("error_rate"), F.max(m("p95_response_time")).alias("p95"), F.max(m("rps")).alias("rps"),
+        F.min_by("ground_truth", F.when(F.col("ground_truth").isNotNull(), F.col("anomaly_id"))).alias("ground_truth"),
+    )
+    tail = F.slice("_all", F.greatest(F.size("_all") - ANOMALY_IDS + 1, F.lit(1)), ANOMALY_IDS)
+    latest = Window.partitionBy(*KEYS).orderBy(F.desc("window_start"))
+    after = F.coalesce(F.sum("n").over(latest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    one = F.element_at("_all", 1)
+    windows = per_window.select(
+        *KEYS, "window_start", "n", "score", "_worst", "requests", "error_rate", "p95", "rps", "ground_truth",
+        F.aggregate("_all", F.array().cast("array<struct<peak:double,times:int>>"), rise).alias("_steps"),
+        F.when(after < ANOMALY_IDS, F.transform(tail, lambda x: x["anomaly_id"])).alias("_ids"),
+        F.when(F.row_number().over(latest) <= TIMELINE, F.struct(F.col("window_start").alias("at"), one["type"].alias("type"), one["severity"].alias("severity"), one["score"].alias("score"), one["entity"].alias("entity"), one["headline"].alias("reason"))).alias("_shown"),
+    )
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("window_start", c)))), lambda x: x[c])
+    grouped = windows.groupBy(*KEYS).agg(
+        F.sum("n").alias("anomaly_count"), F.min("window_start").alias("started_at"), F.max("window_start").alias("last_seen_at"), F.max("score").alias("peak_score"),
+        F.flatten(in_order("_steps")).alias("_steps"), F.flatten(in_order("_ids")).alias("_ids"), in_order("_shown").alias("timeline"),
+        F.max_by("_worst", F.struct(severity_rank(F.col("_worst.severity")), -F.unix_timestamp("window_start"))).alias("_worst"),
+        F.sum("requests").cast("bigint").alias("impact_requests"), F.max("error_rate").alias("peak_error_rate"), F.max("p95").alias("peak_p95_ms"), F.max("rps").alias("peak_rps"),
+        F.min_by("ground_truth", F.when(F.col("ground_truth").isNotNull(), F.col("window_start"))).alias("ground_truth"),
+    )
+
+    def step(a: Column, score: Column) -> Column:
+        peak = F.greatest(a["peak"], score)
+        return F.struct(peak.alias("peak"), F.round(0.7 * peak + 0.3 * F.when(a["score"] == 0, score).otherwise(a["score"]), 2).alias("score"))
+
+    # a score of its step's peak first, then scores that don't raise it
+    folded = F.aggregate(
+        "_steps", F.struct(F.lit(0.0).alias("peak"), F.element_at("_steps", 1)["peak"].alias("score")),
+        lambda a, s: F.aggregate(F.sequence(F.lit(1), s["times"]), a, lambda b, _: step(b, s["peak"])), lambda a: a["score"],
+    )
+    for column, limit in (("detector", None), ("type", None), ("entity", ENTITIES)):
+        grouped = grouped.join(_firsts(correlated, column, limit), "incident_id", "left")
     return grouped.select(
-        "incident_id", "family", "entity_type", F.col("group").alias("entity"), "anomaly_count", "started_at", "last_seen_at", "peak_score",
-        F.aggregate("_all", start, step, lambda a: a["score"]).alias("score"),
+        "incident_id", "family", "entity_type", F.col("group").alias("entity"), "anomaly_count", "started_at", "last_seen_at", "peak_score", folded.alias("score"),
         F.col("_worst.severity").alias("severity"), F.col("_worst.type").alias("type"), F.col("_worst.reason").alias("summary"),
         F.when(F.col("entity_type") == "global", F.concat("_worst.type", F.lit(" across the platform"))).when(F.col("group") == "*", F.concat("_worst.type", F.lit(" from multiple sources"))).otherwise(F.concat("_worst.type", F.lit(" on "), "group")).alias("title"),
-        tail(ids, 500).alias("anomaly_ids"),
-        F.array_distinct(F.transform("_all", lambda x: x["detector"])).alias("detectors"),
-        F.array_distinct(F.transform("_all", lambda x: x["type"])).alias("types"),
-        F.slice(F.array_distinct(F.transform("_all", lambda x: x["entity"])), 1, 50).alias("entities"),
-        tail(timeline, 120).alias("timeline"),
+        F.slice("_ids", F.greatest(F.size("_ids") - ANOMALY_IDS + 1, F.lit(1)), ANOMALY_IDS).alias("anomaly_ids"),
+        F.col("_detector").alias("detectors"), F.col("_type").alias("types"), F.col("_entity").alias("entities"), "timeline",
         "impact_requests", "peak_error_rate", "peak_p95_ms", "peak_rps",
         F.round((F.unix_timestamp("last_seen_at") - F.unix_timestamp("started_at")) / 60 + 1, 1).alias("duration_minutes"),
         F.lit("open").alias("status"), "ground_truth",
@@ -117,7 +152,7 @@ def fire_alerts(matches: DataFrame) -> DataFrame:
     """Alerts of matches: one an id, and none within the cooldown of one that fired for the same rule and entity.
 
     The strongest match of an id stays.  The cooldown runs on ``detected_at``, so batches can be
-    repeated; per (rule, entity) times are folded in order.
+    repeated; the distinct times of a (rule, entity), one a window at most, are folded in order.
     """
     subject = F.coalesce(F.col("incident_id"), F.col("entity")) if "incident_id" in matches.columns else F.col("entity")
     named = matches.withColumn("alert_id", content_id("alt_", [F.col("rule_id"), subject, iso(F.col("window_start"))], 18))

@@ -207,7 +207,7 @@ def truth(spark, d):
 
 
 def with_h(df: DataFrame, columns: list[str]) -> DataFrame:
-    return D.with_history(df.withColumn("_k", F.lit("all")), columns, ["_k"], 3 * 86_400)
+    return D.with_history(D.chunked(df, 3 * 86_400), columns, ["chunk"], 3 * 86_400).filter("own")
 
 
 # -- sources and enrichment ---------------------------------------------------------------------------
@@ -415,7 +415,7 @@ def _steps() -> DS.Steps:
     return DS.Steps("select * from g").history({"h": "requests"}, "epoch(b.window_start) between epoch(a.window_start) - 259200 and epoch(a.window_start) - 1")
 
 
-Q("e8_seasonal", "window_start:t score:d", lambda s, d: D.with_seasonal_history(g(s, d).withColumn("_k", F.lit("all")), ["requests"], ["_k"], 30 * 86_400).select("window_start", D.seasonal(F.col("s_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", DS.Steps("select * from g").seasonal("x", "requests", 30 * 86_400).end("select window_start, x_s as score from {t} where not x_c"))
+Q("e8_seasonal", "window_start:t score:d", lambda s, d: D.with_seasonal_history(D.chunked(g(s, d), 30 * 86_400), ["requests"], ["chunk"], 30 * 86_400).filter("own").select("window_start", D.seasonal(F.col("s_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", DS.Steps("select * from g").seasonal("x", "requests", 30 * 86_400).end("select window_start, x_s as score from {t} where not x_c"))
 Q("e9_trend", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.trend(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", _steps().trend("x", "h", "requests").end("select window_start, x_s as score from {t} where not x_c"))
 Q("e10_cusum", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", D.cusum(F.col("h_requests"), F.col("requests").cast("double")).alias("r")).filter("not r.cold").select("window_start", "r.score"), "g", f"""{_Z},
   q as (select window_start, list_reduce(list_prepend({{'p': 0.0::double, 'q': 0.0::double}}, list_transform(list_append(h, requests::double), lambda x: {{'p': (x - med) / sigma, 'q': 0.0::double}})), lambda a, x: {{'p': greatest(0.0, a.p + x.p - 0.5), 'q': greatest(0.0, a.q - x.p - 0.5)}}) as c from f where k >= 12)
