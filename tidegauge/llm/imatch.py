@@ -8,17 +8,23 @@ that what is gathered and broadcast is bounded by a parameter.  Terms that share
 together: with far more than ``2**BITS`` distinct terms, terms of a single text stay in the lexicon.
 
 A fingerprint hashes the sorted distinct terms of a text that fall into each of ``SUBSETS`` random
-subsets of the lexicon.  A subset keeps a term with a probability of ``2**-level``; the level
-follows from the number of the text's terms, so that a few of them fall into each subset, and every
-fingerprint holds two neighbouring levels, so that texts of similar length share one.  Two texts'
-likeness is read from the share of subsets on which they agree: texts that differ in d terms agree
-on a subset with probability ``(1 - 2**-level)**d``, which gives d, and with the two counts of
-terms the Jaccard similarity of their terms.
+subsets of the lexicon: a polynomial of the terms in their order, of which 16 bits are kept.  A
+subset keeps a term with a probability of ``2**-level``.  Levels are even; every fingerprint holds
+the two neighbouring ones at which a few of its terms fall into each subset, so that texts up to
+four times as long as each other share one.  Two texts' likeness is read from the share of subsets
+on which they agree: texts that differ in d terms agree on a subset with probability
+``(1 - 2**-level)**d``, which gives d (of two levels, by the inverse of its variance), and with the
+two counts of terms the Jaccard similarity of their terms.  Without a shared level it is 0.
 
 A text with less than ``LEAST_SHARE`` of its distinct terms in the band, as in a large group of near
 copies, would be told by its odd words alone; it is fingerprinted by all its distinct terms, in the
 same subsets.  Between a text on either side of that share the likeness comes out too low.
 
+Other columns than ``doc_id`` and ``text`` are left out of the comparison; ``add_fingerprint`` keeps
+them and replaces one of its output's name.  Rows that repeat an id are documents like any other,
+ties by text; a table of one row is followed by itself, an empty table gives no rows.  A text is
+held whole by one task.
+
 Null text counts as empty.  A text without any term is fingerprinted by the hash of all its
 characters and is like equal texts only.  Equal texts have equal fingerprints.
 """
@@ -45,7 +51,7 @@ LEAST_DOCS, MOST_SHARE = 2, 0.2
 LEAST_SHARE = 1 / 3
 #: Slots of text hashes, by which copies are looked for: what is gathered is at most a number for each.
 TEXT_SLOTS = 1 << 22
-#: About so many terms of a text fall into a subset, at the lower of its two levels at most twice as many.
+#: About so many terms of a text fall into a subset, at the lower of its two levels at most four times as many.
 TERMS_A_SUBSET = 1.5
 SEGMENTS = 64
 _MEMO_SIZE = 300_000
@@ -120,7 +126,8 @@ def band(frequency: np.ndarray, n: int, least: int = LEAST_DOCS, most: float = M
     return (frequency >= least) & (frequency <= most * n)
 
 
-_SEEDS = np.array([h64(str(i).encode(), 77) | 1 for i in range(24)], np.uint64)
+_SEEDS = np.array([h64(str(i).encode(), 77) | 1 for i in range(64)], np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,6 +146,11 @@ def _subset_bits(t: np.ndarray, level: int) -> np.ndarray:
     return kept
 
 
+def lower_level(terms_held: int) -> int:
+    """The denser of a fingerprint's two levels."""
+    return 2 * max(0, math.floor(math.log2(terms_held / TERMS_A_SUBSET) / 2))
+
+
 def fingerprint(text: str, lexicon: np.ndarray, bits: int = BITS, subsets: int = SUBSETS) -> str:
     """``count:level:hashes:hashes``, four hexadecimal digits a subset; ``text:hash`` without terms."""
     found = terms(text)
@@ -146,15 +158,16 @@ def fingerprint(text: str, lexicon: np.ndarray, bits: int = BITS, subsets: int =
     found = np.sort(found if len(banded) < LEAST_SHARE * len(found) else banded)
     if not len(found):
         return "text:" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
-    level = max(0, math.floor(math.log2(len(found) / TERMS_A_SUBSET)))
+    level = lower_level(len(found))
     out = []
     mixed = _mix(found)
-    for at in (level, level + 1):
+    for at in (level, level + 2):
         kept = _subset_bits(found, at)
         chosen = np.flatnonzero(kept & np.uint64((1 << subsets) - 1))  # at higher levels most terms are in no subset
         on = (kept[chosen, None] >> np.arange(subsets, dtype=np.uint64)) & np.uint64(1)
-        # the hash of a subset's terms: their mixed hashes' sum, mixed again
-        hashes = _mix((on * mixed[chosen, None]).sum(axis=0, dtype=np.uint64)) & np.uint64(0xFFFF)
+        # a subset's terms in their order: the sum of each mixed hash times a power of the base by its place
+        powers = np.cumprod(np.full(len(chosen) + 1, _BASE))[np.cumsum(on, axis=0).astype(np.int64)]
+        hashes = _mix((on * mixed[chosen, None] * powers).sum(axis=0, dtype=np.uint64)) & np.uint64(0xFFFF)
         out.append("".join([f"{h:04x}" if some else "----" for h, some in zip(hashes.tolist(), on.any(axis=0).tolist(), strict=True)]))
     return f"{len(found)}:{level}:{out[0]}:{out[1]}"
 
@@ -167,19 +180,19 @@ def likeness(a: str, b: str) -> float:
         return 0.0
     (m, i, *x), (n, j, *y) = a.split(":"), b.split(":")
     m, n, i, j = int(m), int(n), int(i), int(j)
-    agreed = subsets = 0
-    differ = []
-    for level in {i, i + 1} & {j, j + 1}:
-        p, q = x[level - i], y[level - j]
+    whole = weight = 0.0
+    for level in {i, i + 2} & {j, j + 2}:
+        p, q = x[(level - i) // 2], y[(level - j) // 2]
         pairs = [(p[k : k + 4], q[k : k + 4]) for k in range(0, len(p), 4)]
-        agreed, subsets = sum(s == t for s, t in pairs), len(pairs)
+        agreed = sum(s == t for s, t in pairs) / len(pairs)
         if level and agreed:
-            differ.append(math.log(agreed / subsets) / math.log1p(-(2.0**-level)))
-        elif level or agreed < subsets:
-            differ.append(float(m + n))
-    if not differ:
+            rate = 2.0**-level
+            sure = agreed * rate * rate / (1 - agreed + 1 / len(pairs))  # the inverse of the variance, but for a factor
+            whole += sure * math.log(agreed) / math.log1p(-rate)
+            weight += sure
+    if not weight:
         return 0.0
-    d = max(sum(differ) / len(differ), abs(m - n))
+    d = max(whole / weight, abs(m - n))
     return min(1.0, max(0.0, (m + n - d) / (m + n + d)))
 
 
