@@ -309,6 +309,13 @@ def test_urls_by_rule_and_by_links(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_distrust_reaches_hosts_many_links_away(spark):
+    """A chain of hosts, each linking to the next, ends at a blocked one: all of them are blocked."""
+    rows = [(i, f"http://h{i}.net/", f'<a href="//h{i + 1}.net/">x</a>') for i in range(35)] + [(35, "http://h35.net/", '<a href="//bad.com/">x</a>'), (36, "http://bad.com/de/x", None), (37, "http://good.org/", '<a href="//friend.net/">x</a>'), (38, "http://friend.net/", None)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "allow" if i > 36 else "block" for i in range(39)}
+
+
 # -- op6 -------------------------------------------------------------------------------------------
 
 

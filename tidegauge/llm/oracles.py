@@ -81,7 +81,7 @@ def _urls() -> str:
     damping, steps = url_filter.DAMPING, []
     for i in range(1, url_filter.STEPS + 1):
         steps.append(f"""
-    mass{i} as (
+    mass{i} as materialized (
       select host, sum(trust) as trust, sum(distrust) as distrust from (
         select host, trust * {1 - damping} as trust, distrust * {1 - damping} as distrust from mass0
         union all select m.dst, p.trust * {damping} * m.t, p.distrust * {damping} * m.d from mass{i - 1} p join moves m on m.src = p.host)
@@ -101,10 +101,10 @@ def _urls() -> str:
       select host as src, translate(unnest(regexp_extract_all(html, '{link}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst
       from named where host <> ''),
     edges as (select src, dst, cast(count(*) as double) as n from links where src <> dst group by 1, 2),
-    moves as (
+    moves as materialized (
       select src, dst, n / sum(n) over (partition by src) as t, 0.0 as d from edges
       union all select dst, src, 0.0, n / sum(n) over (partition by dst) from edges),
-    mass0 as (
+    mass0 as materialized (
       select host, coalesce(trust / nullif(sum(trust) over (), 0), 0) as trust, coalesce(distrust / nullif(sum(distrust) over (), 0), 0) as distrust from seeds),
     {",".join(steps)},
     standing as (
