@@ -169,36 +169,54 @@ def anomaly_id(kind: Column, entity_type: Column, entity: Column, window_start:
     return content_id("anm_", [kind, entity_type, entity, iso(window_start)], 20)
 
 
-def make_anomalies(df: DataFrame, kind, entity_type: str, entity: Column, results: list[Column], headline: Column, metrics: list[str], keep: Column | None = None, floor: float = 30.0, service: str | None = None) -> DataFrame:
-    """Rows of ``df`` whose fused detectors reach the floor (and ``keep``), as anomalies."""
+def anomaly(df: DataFrame, kind, entity_type: str, entity: Column, results: list[Column], headline: Column, metrics: list[str], keep: Column | None = None, floor: float = 30.0, service: str | None = None) -> Column:
+    """The anomaly struct of a row of ``df`` whose fused detectors reach the floor (and ``keep``), else null.
+
+    Detectors are scored only where ``keep`` holds."""
     kind = kind if isinstance(kind, Column) else F.lit(kind)
-    found = df.withColumn("_results", F.array(*results)).withColumn("_fused", fuse(F.col("_results"))).filter(F.col("_fused.score") >= floor)
-    found = found.filter(keep) if keep is not None else found
     numbers = F.create_map(*[x for m in metrics for x in (F.lit(m), F.round(F.col(m).cast("double"), 4))]) if metrics else F.create_map().cast("map<string,double>")
-    primary = F.element_at(by_score(F.col("_results")), 1)["detector"]
     label = F.col("dominant_attack_label") if "dominant_attack_label" in df.columns else F.lit(None).cast("string")
-    return found.select(
-        anomaly_id(kind, F.lit(entity_type), entity, F.col("window_start")).alias("anomaly_id"),
-        kind.alias("type"),
-        F.lit(entity_type).alias("entity_type"),
-        entity.alias("entity"),
-        (F.col(service) if service else F.lit(None).cast("string")).alias("service"),
-        F.col("_fused.score").alias("score"),
-        F.col("_fused.confidence").alias("confidence"),
-        severity(F.col("_fused.score")).alias("severity"),
-        primary.alias("detector"),
-        F.col("_fused.detectors").alias("detectors"),
-        F.col("_fused.agreement").alias("agreement"),
-        reason_text(headline, F.col("_results")).alias("reason"),
-        headline.alias("headline"),
-        "window_start",
-        "window_end",
-        F.col("window_end").alias("detected_at"),
-        numbers.alias("metrics"),
-        F.filter("_results", lambda r: ~r["cold"]).alias("contributing"),
-        F.lit("open").alias("status"),
-        label.alias("ground_truth"),
-    )
+
+    def made(held: Column) -> Column:
+        def of(fused: Column) -> Column:
+            fields = F.struct(
+                anomaly_id(kind, F.lit(entity_type), entity, F.col("window_start")).alias("anomaly_id"),
+                kind.alias("type"),
+                F.lit(entity_type).alias("entity_type"),
+                entity.alias("entity"),
+                (F.col(service) if service else F.lit(None).cast("string")).alias("service"),
+                fused["score"].alias("score"),
+                fused["confidence"].alias("confidence"),
+                severity(fused["score"]).alias("severity"),
+                F.element_at(by_score(held), 1)["detector"].alias("detector"),
+                fused["detectors"].alias("detectors"),
+                fused["agreement"].alias("agreement"),
+                reason_text(headline, held).alias("reason"),
+                headline.alias("headline"),
+                F.col("window_start").alias("window_start"),
+                F.col("window_end").alias("window_end"),
+                F.col("window_end").alias("detected_at"),
+                numbers.alias("metrics"),
+                F.filter(held, lambda r: ~r["cold"]).alias("contributing"),
+                F.lit("open").alias("status"),
+                label.alias("ground_truth"),
+            )
+            return F.when(fused["score"] >= floor, fields)
+
+        return let(fuse(held), of)
+
+    found = let(F.array(*results), made)
+    return F.when(keep, found) if keep is not None else found
+
+
+def emit(df: DataFrame, *found: str) -> DataFrame:
+    """The anomalies in columns ``found`` of the rows of ``df``, one row each."""
+    return df.select(F.explode(F.array_compact(F.array(*found))).alias("_found")).select("_found.*")
+
+
+def make_anomalies(df: DataFrame, kind, entity_type: str, entity: Column, results: list[Column], headline: Column, metrics: list[str], keep: Column | None = None, floor: float = 30.0, service: str | None = None) -> DataFrame:
+    """Rows of ``df`` whose fused detectors reach the floor (and ``keep``), as anomalies."""
+    return emit(df.withColumn("_a", anomaly(df, kind, entity_type, entity, results, headline, metrics, keep, floor, service)), "_a")
 
 
 def dedupe(anomalies: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ defaults are fixed values of the product.  A detection must be statistically unu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.stats import dedupe, make_anomalies, median, rule, soft_score
+from tidegauge.functions.stats import anomaly, dedupe, emit, make_anomalies, median, rule, soft_score
 from tidegauge.operators import detectors as D
 
 #: Thresholds, with the names that users edit.
@@ -44,15 +45,23 @@ def cube(*scores: Column) -> Column:
     return F.cbrt(reduce(lambda a, b: a * b, [F.greatest(s, F.lit(1e-6)) for s in scores]))
 
 
-def analyze_global(rows: DataFrame, thresholds: dict | None = None, lookback_seconds: int = 3 * DAY, bucket_minutes: int = 15, forest: Column | None = None) -> DataFrame:
+#: Adds the detector struct ``isolation_forest`` to metric rows (``learning.detector``).
+Forest = Callable[[DataFrame], DataFrame]
+
+
+def _with_forest(rows: DataFrame, forest: Forest | None) -> DataFrame:
+    return forest(rows) if forest is not None else rows.withColumn("isolation_forest", D.neutral("isolation_forest"))
+
+
+def analyze_global(rows: DataFrame, thresholds: dict | None = None, lookback_seconds: int = 3 * DAY, bucket_minutes: int = 15, forest: Forest | None = None) -> DataFrame:
     """Traffic spike or drop, concentrated burst, error spike, latency and unusual profile of the platform.
 
-    ``forest``: a detector struct column of ``rows``, if an isolation forest has scored them.
+    One row a window; all kinds are looked for in one pass.
     """
     t = _t(thresholds)
     z, points, alpha = t["zscore_threshold"], t["min_history_points"], t["ewma_alpha"]
     # one series: history is looked up in chunks of time, each with the lookback before it
-    base = D.chunked(rows, lookback_seconds)
+    base = D.chunked(_with_forest(rows, forest), lookback_seconds)
     for c in ("ip_gini", "path_entropy", "bot_ratio", "bytes_per_request"):
         base = base if c in base.columns else base.withColumn(c, F.lit(0.0))
     base = D.with_history(base, ["requests", "error_rate", "server_error_rate", "p95_response_time"], ["chunk"], lookback_seconds)
@@ -72,40 +81,38 @@ def analyze_global(rows: DataFrame, thresholds: dict | None = None, lookback_sec
         "_rows": F.coalesce(median(F.col("h_requests")), requests),
         "_server": F.coalesce(median(F.col("h_server_error_rate")), F.lit(0.0)),
         "_p95": F.coalesce(median(F.col("h_p95_response_time")), p95),
-        "_forest": forest if forest is not None else D.neutral("isolation_forest"),
     })
-    base = base.persist()  # five jobs and their exclusions read it
+    base = base.withColumn("_burst", cube(soft_score(requests / F.greatest(F.col("_rows"), F.lit(1.0)), 2.2, 4.0), soft_score(F.col("ip_gini"), 0.72, 6.0), soft_score(1 - F.col("path_entropy"), 0.55, 5.0)))
     shown = ["requests", "rps", "error_rate", "server_error_rate", "p95_response_time", "p99_response_time", "unique_ips", "unique_sessions", "ip_gini", "path_entropy"]
     shown = [c for c in shown if c in base.columns]
-    entity = F.lit("all-traffic")
-    spikes = make_anomalies(base, "traffic_spike", "global", entity, [F.col(c) for c in ("_up", "_ewma", "_seasonal", "_cusum", "_trend")], F.concat(F.lit("Request volume spike: "), D.number(requests, 0)), shown)
-    # a drop is looked for only where no spike reached the floor, confirmed or not
-    confirmed = base.filter((F.col("requests") > 0) & (~blind | (F.col("_trend.score") >= 0.5))).select("window_start")
-    spike = spikes.join(confirmed, "window_start", "left_semi")
-    calm = base.join(spikes.select("window_start"), "window_start", "left_anti")
-    drop = make_anomalies(calm, "traffic_drop", "global", entity, [F.col("_down"), F.col("_seasonal"), F.col("_trend")], F.concat(F.lit("Traffic dropped to "), D.number(requests, 0)), shown)
-    burst = cube(soft_score(requests / F.greatest(F.col("_rows"), F.lit(1.0)), 2.2, 4.0), soft_score(F.col("ip_gini"), 0.72, 6.0), soft_score(1 - F.col("path_entropy"), 0.55, 5.0))
-    flood = base.filter((F.col("requests") > 0) & (F.size("h_requests") > 0)).withColumn("_burst", burst).filter(F.col("_burst") >= 0.35)
-    flood = flood.withColumn("_rule", rule(F.col("_burst"), F.lit("volume is concentrated in few sources and few routes")))
-    ddos = make_anomalies(flood, "ddos_burst", "global", entity, [F.col("_rule"), F.col("_up"), F.col("_ewma")], F.concat(F.lit("Concentrated burst from "), D.number(F.col("unique_ips"), 0), F.lit(" sources")), shown)
+    entity, known = F.lit("all-traffic"), F.size("h_requests") > 0
+    flood = rule(F.col("_burst"), F.lit("volume is concentrated in few sources and few routes"))
     budget = rule(soft_score(rate, t["error_rate_threshold"], 2.5), F.concat(D.number(rate * 100, 1), F.lit("% of requests failed")))
-    err = make_anomalies(
-        base, "error_spike", "global", entity,
-        [D.robust_z(F.col("h_error_rate"), rate, z, points, "up", "error rate"), D.cusum(F.col("h_error_rate"), rate, 0.5, 4.0, points, "error rate"), D.seasonal(F.col("s_error_rate"), rate, z, label="error rate"), budget],
-        F.concat(F.lit("Error rate at "), D.number(rate * 100, 1), F.lit("%")), shown,
-        keep=F.col("server_error_rate") >= F.greatest(F.col("_server") + SERVER_ERROR_DELTA, F.lit(SERVER_ERROR_FLOOR)),
-    )
     slow = rule(soft_score(p95 / F.greatest(F.col("_p95"), F.lit(1.0)), t["latency_p95_multiplier"], 4.0), F.concat(F.lit("p95 "), D.number(p95, 0), F.lit(" ms vs "), D.number(F.col("_p95"), 0)))
-    lat = make_anomalies(
-        base, "latency_anomaly", "global", entity,
-        [D.robust_z(F.col("h_p95_response_time"), p95, z, points, "up", "p95 latency"), D.ewma(F.col("h_p95_response_time"), p95, alpha, z, points, "p95 latency"), D.seasonal(F.col("s_p95_response_time"), p95, z, label="p95 latency"), slow],
-        F.concat(F.lit("Latency: p95 at "), D.number(p95, 0), F.lit(" ms")), shown, keep=latency_is_material(p95, F.col("_p95")),
-    )
-    found = _union([spike, drop, ddos, err, lat])
-    quiet = base.filter(F.size("h_requests") > 0).join(found.select("window_start"), "window_start", "left_anti")
-    odd = quiet.filter(F.greatest("mahalanobis.score", "_forest.score") >= 0.55)
-    profile = make_anomalies(odd, "multivariate_anomaly", "global", entity, [F.col("mahalanobis"), F.col("_forest")], F.lit("Traffic profile unlike any recent one"), shown)
-    return found.unionByName(profile)
+    found = base.withColumns({
+        "_any_spike": anomaly(base, "traffic_spike", "global", entity, [F.col(c) for c in ("_up", "_ewma", "_seasonal", "_cusum", "_trend")], F.concat(F.lit("Request volume spike: "), D.number(requests, 0)), shown),
+        "_ddos": anomaly(base, "ddos_burst", "global", entity, [flood, F.col("_up"), F.col("_ewma")], F.concat(F.lit("Concentrated burst from "), D.number(F.col("unique_ips"), 0), F.lit(" sources")), shown, (F.col("requests") > 0) & known & (F.col("_burst") >= 0.35)),
+        "_err": anomaly(
+            base, "error_spike", "global", entity,
+            [D.robust_z(F.col("h_error_rate"), rate, z, points, "up", "error rate"), D.cusum(F.col("h_error_rate"), rate, 0.5, 4.0, points, "error rate"), D.seasonal(F.col("s_error_rate"), rate, z, label="error rate"), budget],
+            F.concat(F.lit("Error rate at "), D.number(rate * 100, 1), F.lit("%")), shown,
+            F.col("server_error_rate") >= F.greatest(F.col("_server") + SERVER_ERROR_DELTA, F.lit(SERVER_ERROR_FLOOR)),
+        ),
+        "_lat": anomaly(
+            base, "latency_anomaly", "global", entity,
+            [D.robust_z(F.col("h_p95_response_time"), p95, z, points, "up", "p95 latency"), D.ewma(F.col("h_p95_response_time"), p95, alpha, z, points, "p95 latency"), D.seasonal(F.col("s_p95_response_time"), p95, z, label="p95 latency"), slow],
+            F.concat(F.lit("Latency: p95 at "), D.number(p95, 0), F.lit(" ms")), shown, latency_is_material(p95, F.col("_p95")),
+        ),
+    })
+    # a drop is looked for only where no spike reached the floor, confirmed or not
+    found = found.withColumns({
+        "_spike": F.when((F.col("requests") > 0) & (~blind | (F.col("_trend.score") >= 0.5)), F.col("_any_spike")),
+        "_drop": anomaly(base, "traffic_drop", "global", entity, [F.col("_down"), F.col("_seasonal"), F.col("_trend")], F.concat(F.lit("Traffic dropped to "), D.number(requests, 0)), shown, F.col("_any_spike").isNull()),
+    })
+    quiet = reduce(lambda x, y: x & y, [F.col(c).isNull() for c in ("_spike", "_drop", "_ddos", "_err", "_lat")])
+    odd = quiet & known & (F.greatest("mahalanobis.score", "isolation_forest.score") >= 0.55)
+    found = found.withColumn("_odd", anomaly(base, "multivariate_anomaly", "global", entity, [F.col("mahalanobis"), F.col("isolation_forest")], F.lit("Traffic profile unlike any recent one"), shown, odd))
+    return emit(found, "_spike", "_drop", "_ddos", "_err", "_lat", "_odd")
 
 
 def _with_share(rows: DataFrame) -> DataFrame:
@@ -120,18 +127,18 @@ def analyze_endpoints(rows: DataFrame, thresholds: dict | None = None, lookback_
     z, points, alpha = t["zscore_threshold"], t["min_history_points"], t["ewma_alpha"]
     base = D.with_history(_with_share(rows), ["p95_response_time", "server_error_rate", "_share"], ["endpoint"], lookback_seconds, tie="method").filter(F.col("requests") >= min_requests)
     p95, server, share = F.col("p95_response_time"), F.col("server_error_rate"), F.col("_share")
-    base = base.withColumns({"_p95": F.coalesce(median(F.col("h_p95_response_time")), p95), "_server": F.coalesce(median(F.col("h_server_error_rate")), F.lit(0.0)), "_usual": F.coalesce(median(F.col("h__share")), share)}).persist()
+    base = base.withColumns({"_p95": F.coalesce(median(F.col("h_p95_response_time")), p95), "_server": F.coalesce(median(F.col("h_server_error_rate")), F.lit(0.0)), "_usual": F.coalesce(median(F.col("h__share")), share)})
     shown, entity = ["requests", "error_rate", "p50_response_time", "p95_response_time", "p99_response_time", "apdex", "unique_ips"], F.col("endpoint")
     shown = [c for c in shown if c in rows.columns]
     slow = rule(soft_score(p95 / F.greatest(F.col("_p95"), F.lit(1.0)), t["latency_p95_multiplier"], 4.0), F.concat(F.lit("p95 "), D.number(p95, 0), F.lit(" ms vs "), D.number(F.col("_p95"), 0)))
     service = "service" if "service" in rows.columns else None
-    late = make_anomalies(base, "slow_endpoint", "endpoint", entity, [D.robust_z(F.col("h_p95_response_time"), p95, z, points, "up", "p95"), D.ewma(F.col("h_p95_response_time"), p95, alpha, z, points, "p95"), slow], F.concat(entity, F.lit(" is slow: p95 "), D.number(p95, 0), F.lit(" ms")), shown, latency_is_material(p95, F.col("_p95")), service=service)
+    late = anomaly(base, "slow_endpoint", "endpoint", entity, [D.robust_z(F.col("h_p95_response_time"), p95, z, points, "up", "p95"), D.ewma(F.col("h_p95_response_time"), p95, alpha, z, points, "p95"), slow], F.concat(entity, F.lit(" is slow: p95 "), D.number(p95, 0), F.lit(" ms")), shown, latency_is_material(p95, F.col("_p95")), service=service)
     failing = rule(soft_score(server, max(t["error_rate_threshold"] / 2, 0.02), 2.5), F.concat(D.number(server * 100, 1), F.lit("% failed server-side")))
     material = (F.col("requests") >= rate_min) & (server >= SERVER_ERROR_FLOOR) & (server >= F.col("_server") + SERVER_ERROR_DELTA)
-    errors = make_anomalies(base, "error_spike", "endpoint", entity, [D.robust_z(F.col("h_server_error_rate"), server, z, points, "up", "5xx rate"), D.cusum(F.col("h_server_error_rate"), server, 0.5, 4.0, points, "5xx rate"), failing], F.concat(entity, F.lit(" fails: "), D.number(server * 100, 1), F.lit("% server errors")), shown, material, service=service)
+    errors = anomaly(base, "error_spike", "endpoint", entity, [D.robust_z(F.col("h_server_error_rate"), server, z, points, "up", "5xx rate"), D.cusum(F.col("h_server_error_rate"), server, 0.5, 4.0, points, "5xx rate"), failing], F.concat(entity, F.lit(" fails: "), D.number(server * 100, 1), F.lit("% server errors")), shown, material, service=service)
     large = (F.col("requests") >= rate_min) & (share >= F.greatest(F.col("_usual") * 1.5, F.col("_usual") + 0.03))
-    unusual = make_anomalies(base, "traffic_spike", "endpoint", entity, [D.robust_z(F.col("h__share"), share, z + 0.5, points, "up", "share of traffic")], F.concat(F.lit("Unusual share of traffic on "), entity), shown, large, service=service)
-    return dedupe(_union([late, errors, unusual]))
+    unusual = anomaly(base, "traffic_spike", "endpoint", entity, [D.robust_z(F.col("h__share"), share, z + 0.5, points, "up", "share of traffic")], F.concat(F.lit("Unusual share of traffic on "), entity), shown, large, service=service)
+    return dedupe(emit(base.withColumns({"_late": late, "_errors": errors, "_unusual": unusual}), "_late", "_errors", "_unusual"))
 
 
 def ip_population(rows: DataFrame, top_n: int = 400) -> DataFrame:
@@ -140,30 +147,31 @@ def ip_population(rows: DataFrame, top_n: int = 400) -> DataFrame:
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= top_n).drop("_rank")
 
 
-def analyze_ips(rows: DataFrame, thresholds: dict | None = None, top_n: int = 400, forest: Column | None = None, scrape_requests: int = 60, min_volume: float = 30.0) -> DataFrame:
-    """Flooding, scanning, credential stuffing, scraping, and behaviour that no rule explains."""
+def analyze_ips(rows: DataFrame, thresholds: dict | None = None, top_n: int = 400, forest: Forest | None = None, scrape_requests: int = 60, min_volume: float = 30.0) -> DataFrame:
+    """Flooding, scanning, credential stuffing, scraping, and behaviour that no rule explains; all in one pass."""
     t = _t(thresholds)
-    people = D.with_mahalanobis(ip_population(rows, top_n), IP_FEATURES, ["window_start"], 20, t["zscore_threshold"])
-    middle = people.groupBy("window_start").agg(F.percentile("requests", 0.5).alias("_middle"))
+    people = D.with_mahalanobis(_with_forest(ip_population(rows, top_n), forest), IP_FEATURES, ["window_start"], 20, t["zscore_threshold"], extra={"_middle": F.percentile("requests", 0.5)})
     seconds = F.greatest(F.unix_timestamp("window_end") - F.unix_timestamp("window_start"), F.lit(1))
-    base = people.join(middle, "window_start").filter(F.col("requests") >= 5).withColumn("_rps", F.col("requests") / seconds)
-    base = base.withColumn("_forest", forest if forest is not None else D.neutral("isolation_forest")).persist()
+    base = people.filter(F.col("requests") >= 5).withColumn("_rps", F.col("requests") / seconds)
     entity, shown = F.col("ip"), ["requests", "unique_paths", "unique_user_agents", "error_ratio", "not_found_ratio", "auth_fail_count", "avg_response_time", "bytes_sent", "path_entropy", "burstiness"]
-    models = [F.col("_forest"), F.col("mahalanobis")]
-    limit = t["ip_rps_threshold"]
-    flood = soft_score(F.col("_rps"), limit)
+    models, limit = [F.col("isolation_forest"), F.col("mahalanobis")], t["ip_rps_threshold"]
+    base = base.withColumns({
+        "_flood": soft_score(F.col("_rps"), limit),
+        "_scanning": cube(soft_score(F.col("unique_paths").cast("double"), t["scan_unique_paths"]), soft_score(F.col("not_found_ratio"), 0.35), soft_score(F.col("path_entropy"), 0.6, 4.0)),
+    })
     kind = F.when(F.col("_rps") >= 2 * limit, "ddos_burst").otherwise("suspicious_ip")
-    volume = make_anomalies(base.filter(flood >= 0.4), kind, "ip", entity, [rule(flood, F.concat(D.number(F.col("_rps"), 1), F.lit(" requests a second"))), *models], F.concat(entity, F.lit(" floods the platform")), shown)
-    scanning = cube(soft_score(F.col("unique_paths").cast("double"), t["scan_unique_paths"]), soft_score(F.col("not_found_ratio"), 0.35), soft_score(F.col("path_entropy"), 0.6, 4.0))
-    scan = make_anomalies(base.filter(scanning >= 0.35), "endpoint_scan", "ip", entity, [rule(scanning, F.lit("many routes, many of them not found")), *models], F.concat(entity, F.lit(" enumerates endpoints")), shown)
     fails = F.col("auth_fail_count").cast("double")
-    auth = make_anomalies(base.filter(fails >= max(t["auth_fail_threshold"] / 2, 3)), "auth_abuse", "ip", entity, [rule(soft_score(fails, t["auth_fail_threshold"], 2.5), F.concat(D.number(fails, 0), F.lit(" failed logins"))), F.col("_forest")], F.concat(F.lit("Credential stuffing from "), entity), shown)
     bulk = F.least(F.lit(0.95), soft_score(F.col("requests").cast("double"), 120.0) * 0.7 + 0.3)
-    scrape = make_anomalies(base.filter((F.col("requests") >= scrape_requests) & (F.col("path_entropy") <= 0.35) & (F.col("unique_paths") <= 6)), "data_scraping", "ip", entity, [rule(bulk, F.lit("steady volume on few routes")), *models], F.concat(F.lit("Bulk extraction from "), entity), shown)
-    known = _union([volume, scan, auth, scrape])
-    rest = base.filter((F.col("requests") >= F.greatest(F.lit(min_volume), 3 * F.col("_middle"))) & (F.greatest("_forest.score", "mahalanobis.score") >= 0.85))
-    rest = rest.join(known.select(F.col("entity").alias("ip"), "window_start"), ["ip", "window_start"], "left_anti")
-    return known.unionByName(make_anomalies(rest, "suspicious_ip", "ip", entity, models, F.concat(entity, F.lit(" behaves unlike other sources")), shown))
+    found = base.withColumns({
+        "_volume": anomaly(base, kind, "ip", entity, [rule(F.col("_flood"), F.concat(D.number(F.col("_rps"), 1), F.lit(" requests a second"))), *models], F.concat(entity, F.lit(" floods the platform")), shown, F.col("_flood") >= 0.4),
+        "_scan": anomaly(base, "endpoint_scan", "ip", entity, [rule(F.col("_scanning"), F.lit("many routes, many of them not found")), *models], F.concat(entity, F.lit(" enumerates endpoints")), shown, F.col("_scanning") >= 0.35),
+        "_auth": anomaly(base, "auth_abuse", "ip", entity, [rule(soft_score(fails, t["auth_fail_threshold"], 2.5), F.concat(D.number(fails, 0), F.lit(" failed logins"))), models[0]], F.concat(F.lit("Credential stuffing from "), entity), shown, fails >= max(t["auth_fail_threshold"] / 2, 3)),
+        "_scrape": anomaly(base, "data_scraping", "ip", entity, [rule(bulk, F.lit("steady volume on few routes")), *models], F.concat(F.lit("Bulk extraction from "), entity), shown, (F.col("requests") >= scrape_requests) & (F.col("path_entropy") <= 0.35) & (F.col("unique_paths") <= 6)),
+    })
+    unknown = reduce(lambda x, y: x & y, [F.col(c).isNull() for c in ("_volume", "_scan", "_auth", "_scrape")])
+    rest = unknown & (F.col("requests") >= F.greatest(F.lit(min_volume), 3 * F.col("_middle"))) & (F.greatest("isolation_forest.score", "mahalanobis.score") >= 0.85)
+    found = found.withColumn("_odd", anomaly(base, "suspicious_ip", "ip", entity, models, F.concat(entity, F.lit(" behaves unlike other sources")), shown, rest))
+    return emit(found, "_volume", "_scan", "_auth", "_scrape", "_odd")
 
 
 def analyze_geo(rows: DataFrame, thresholds: dict | None = None, lookback_seconds: int = 2 * DAY, min_requests: int = GEO_MIN_REQUESTS) -> DataFrame:
@@ -194,7 +202,10 @@ def closed_unscored(rows: DataFrame, scored: DataFrame, keys: list[str], now, wa
 
 
 def rescore(tables: dict[str, DataFrame], thresholds: dict | None = None, **gates) -> DataFrame:
-    """All anomalies of stored metrics: a range is recomputed and replaced as a whole."""
+    """All anomalies of stored metrics: a range is recomputed and replaced as a whole.
+
+    ``gates``: further arguments by table, a trained forest among them (``metrics_global={"forest": ...}``).
+    """
     jobs = {"metrics_global": analyze_global, "metrics_endpoint": analyze_endpoints, "metrics_ip": analyze_ips, "metrics_geo": analyze_geo, "sessions": analyze_sessions}
     return dedupe(_union([job(tables[name], thresholds, **gates.get(name, {})) for name, job in jobs.items() if name in tables]))
 

@@ -185,10 +185,11 @@ def _distance(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iter
         yield pd.DataFrame({"distance": distances, "sigmas": sigmas})
 
 
-def with_mahalanobis(df: DataFrame, features: list[str], by: list[str], min_points: int = 20, threshold: float = 3.5, over: Window | None = None) -> DataFrame:
+def with_mahalanobis(df: DataFrame, features: list[str], by: list[str], min_points: int = 20, threshold: float = 3.5, over: Window | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """Adds the detector struct ``mahalanobis``: distance of a row's features from a population.
 
     The population is the group ``by`` of each row, or a window frame ``over`` of earlier rows.
+    ``extra``: more aggregates of a group that its rows get.
     Medians and covariances are aggregates; only the inverse of a small matrix is made in Python.
     """
     value = {f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features}
@@ -198,7 +199,7 @@ def with_mahalanobis(df: DataFrame, features: list[str], by: list[str], min_poin
     stats = [F.count("*").alias("_n"), *[F.percentile(c, 0.5).alias(f"_m{c}") for c in cols]]
     stats += [F.covar_samp(cols[min(i, j)], cols[max(i, j)]).alias(f"_c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
     if over is None:
-        rows = filled.join(filled.groupBy(*by).agg(*stats), by)
+        rows = filled.join(filled.groupBy(*by).agg(*stats, *[c.alias(name) for name, c in (extra or {}).items()]), by)
     else:
         named = [F.count("*").over(over).alias("_n"), *[F.percentile(c, 0.5).over(over).alias(f"_m{c}") for c in cols]]
         named += [F.covar_samp(cols[i], cols[j]).over(over).alias(f"_c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,9 +95,11 @@ def train_forest(rows: DataFrame, features: list[str], contamination: float = 0.
     center = [quarters[f][1] if n else 0.0 for f in features]
     scale = [(quarters[f][2] - quarters[f][0]) or 1.0 if n else 1.0 for f in features]
     scaled = data.select(*[((F.col(f) - c) / s).alias(f) for f, c, s in zip(features, center, scale, strict=True)])
-    # every row draws a number for each tree; a tree keeps about its subsample
-    drawn = scaled.withColumn("_u", F.rand(seed)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("_r", F.rand(seed + 1)).filter(F.col("_r") < min(1.0, 1.3 * subsample / max(n, 1))).drop("_u")
+    # every row draws the trees that it goes to before it is copied; a tree keeps about its subsample
+    chance = min(1.0, 1.3 * subsample / max(n, 1))
+    draw = lambda t: F.pmod(F.xxhash64("_u", t), F.lit(1 << 30)) / (1 << 30)
+    drawn = scaled.withColumn("_u", F.rand(seed)).withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < chance)))
+    drawn = drawn.withColumn("_r", draw(F.col("tree"))).drop("_u")
 
     def grow(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed * 100_003 + int(keys[0]))
@@ -152,6 +154,11 @@ def forest_detector(rows: DataFrame, forest: DataFrame, meta: dict) -> DataFrame
     return scored.withColumn("isolation_forest", result("isolation_forest", value, value >= 0.6, said, {"decision": F.round(decision, 4)}, F.lit(True))).drop("_raw")
 
 
+def detector(forest: DataFrame, meta: dict) -> Callable[[DataFrame], DataFrame]:
+    """The forest as the detection jobs take it."""
+    return lambda rows: forest_detector(rows, forest, meta)
+
+
 def traffic_profiles(rows: DataFrame, clusters: int = 5, seed: int = 42) -> DataFrame:
     """Clusters of hours, named by their volume."""
     hourly = rows.groupBy(F.date_trunc("hour", "window_start").alias("hour")).agg(

@@ -487,7 +487,7 @@ Q("g12_split_clean", "window_start:t", lambda s, d: L.split_clean(g(s, d)), "g",
 def _forest(s, d):
     rows = g(s, d)
     forest, meta = L.train_forest(rows, ["rps", "error_rate", "p95_response_time", "unique_ips", "bytes_per_request", "bot_ratio"])
-    return L.forest_detector(rows, forest, meta).select("window_start", "isolation_forest.score", "isolation_forest.triggered")
+    return L.detector(forest, meta)(rows).select("window_start", "isolation_forest.score", "isolation_forest.triggered")
 
 
 # random trees and clusters have no SQL form: tests hold them against planted outliers and known centres
