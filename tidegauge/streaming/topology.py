@@ -77,6 +77,18 @@ def merge(existing: DataFrame, updates: DataFrame, keys: list[str], order: str |
     return joined.select(*[pick(c) for c in names])
 
 
+def _materialized(df: DataFrame) -> DataFrame:
+    """``df`` from files in the shared checkpoint folder: the dates that it was read from are about to be
+    overwritten, so nothing may be computed from them again, whatever executors are lost."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("upserts need spark.checkpoint.dir, a folder that all executors share")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], time: str = "window_start", order: str | None = None) -> None:
     """Idempotent keyed write to a table partitioned by date; only the dates of the updates are rewritten."""
     dated = updates.withColumn("date", F.to_date(time)).persist()
@@ -92,10 +104,8 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
             merged = latest_by_key(dated, keys, order)
         else:
             merged = merge(old, dated, keys, order)
-        merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-        merged.count()
+        merged = _materialized(merged)
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-        merged.unpersist()
     finally:
         dated.unpersist()
 
