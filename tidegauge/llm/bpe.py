@@ -13,7 +13,9 @@ neighbour - and recomputes their paths to the root, which is logarithmic in the
 of one width class are merged side by side, one NumPy operation for a step of all of them, in
 trees of eight children to a node; matches beyond the largest class take a binary tree.
 
-Null text counts as empty (no ids).  Ids keep the order of the text; repeated rows stay repeated.
+Null text counts as empty (no ids), null ids as none (no bytes).  Ids keep the order of the text;
+repeated rows stay repeated, a text of any length is one task's.  Columns named like an output are
+replaced by it, all others stay; an empty table gives no rows.
 """
 
 from __future__ import annotations

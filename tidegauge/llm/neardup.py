@@ -29,6 +29,8 @@ linked if the Jaccard similarity of their sets is at least 0.75; components of l
 Null text counts as empty.  Documents without words have no set and are linked with nothing.  Rows
 that repeat a doc_id stand for one document, that of the smallest text; each row comes out with its
 own set size.  Rows with a null doc_id take no part in linking and come out with a null component.
+Columns other than ``doc_id`` and ``text`` are left out, whatever they are called; a text of any
+length is one row of one task; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@
    sorting a length in one task: a piece counts its equals within its own task, and a window over
    the counts of (length, task) adds where that task begins.
 
-Null text counts as empty: its only token is the end id.  Repeated rows are packed each on their
-own; a null doc_id is kept.  An empty table gives no sequences.
+Null text counts as empty: its only token is the end id.  A text of any length is cut into pieces by
+one task, which holds its ids.  Repeated rows are packed each on their own; a null doc_id is kept.
+Other columns than ``doc_id`` and ``text`` are left out, whatever they are called.  An empty table
+gives no sequences.
 """
 
 from __future__ import annotations
@@ -177,8 +179,8 @@ def nnls(columns: list[tuple[int, ...]], counts: np.ndarray, steps: int = STEPS)
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, triples: int = TRIPLES) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, number of such sequences), covering the histogram exactly.
 
-    The fit is rounded in several ways - to the nearest count, down, and down from smaller shares
-    of it, which leaves more to the residual packing - and the plan of fewest sequences stays.
+    The fit is rounded in several ways - to the nearest count, down, and down from somewhat smaller
+    shares of it, which leaves more to the residual packing - and the plan of fewest sequences stays.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -190,7 +192,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, triples: int = TRI
         return full
     tried = patterns(lengths, capacity, triples)
     fitted = nnls(tried, counts.astype(float))
-    plans = [_rounded(tried, np.floor(fitted * share + up).astype(np.int64), counts.copy(), capacity) for share, up in ((1, 0.5), (1, 0), (0.9, 0), (0.5, 0), (0.1, 0))]
+    plans = [_rounded(tried, np.floor(fitted * share + up).astype(np.int64), counts.copy(), capacity) for share, up in ((1, 0.5), (1, 0), (0.9, 0), (0.8, 0))]
     return full + min(plans, key=lambda bins: sum(n for _, n in bins))
 
 

@@ -8,9 +8,11 @@ its share, and the weights of all learners are averaged, a round after another.
 array of ``2**bits`` doubles, so what goes to the driver and back is bounded by that parameter, and
 training rows by ``max_rows``: the labelled rows of least key hash, which are taken whole.
 
-Null text counts as empty; an empty text has no features and gets the score of the bias.  Without
-training rows every score is 0.5.  Repeated rows train and score as often as they are there; a
-null key or label never trains.
+Null text counts as empty; an empty text has no features and gets the score of the bias.  Texts are
+read whole.  Without training rows every score is 0.5.  Repeated rows train and score as often as
+they are there; a null key or label never trains.  Other columns stay when scoring, one with the
+name of the output is replaced; training looks at key, text and label only.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
