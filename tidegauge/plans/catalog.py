@@ -7,6 +7,8 @@ rounded to four digits, whole numbers as longs.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -26,7 +28,7 @@ from tidegauge.operators import reports as R
 from tidegauge.operators import series as X
 from tidegauge.operators.enrich import enrich
 from tidegauge.plans import detection_sql as DS
-from tidegauge.sources.events import ACCESS_LOG_SQL, access_log, load_metrics, prepare_events, sample_events
+from tidegauge.sources.events import ACCESS_LOG_SQL, access_log, load_metrics, parse_events, prepare_events, read_events_stream, sample_events
 from tidegauge.streaming import topology as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +214,19 @@ def with_h(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # -- sources and enrichment ---------------------------------------------------------------------------
 
+
+
+def _streamed(spark, d):
+    """The log as JSON lines in the shared folder, read again as a stream until nothing is left."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+    rows = access_log(spark, d).select("event_id", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "status", "endpoint")
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/in")
+    events = parse_events(read_events_stream(spark, "text", {"path": f"{folder}/in"})).select("event_id", "event_time", "status", "endpoint")
+    events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{folder}/out")
+
+
+Q("a1_read_events_stream", "event_id:s event_time:t status:l endpoint:s", _streamed, "e", "select event_id, event_time, status, endpoint from e")
 Q("a2_parse_events", "event_id:s event_time:t status:l endpoint:s", lambda s, d: _parsed(s, d), "e", "select event_id, event_time, status, endpoint from e where status <> 304")
 
 
@@ -219,8 +234,6 @@ def _parsed(spark, d):
     """Events as JSON messages, some of them broken, parsed again."""
     rows = access_log(spark, d)
     text = F.to_json(F.struct("event_id", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.when(F.col("status") != 304, F.col("status")).alias("status"), "endpoint"))
-    from tidegauge.sources.events import parse_events
-
     return parse_events(rows.select(text.cast("binary").alias("value"), F.col("event_time").alias("timestamp"), F.lit(0).alias("partition"), F.lit(0).alias("offset")))
 
 
@@ -490,7 +503,24 @@ def _forest(s, d):
     return L.detector(forest, meta)(rows).select("window_start", "isolation_forest.score", "isolation_forest.triggered")
 
 
-# random trees and clusters have no SQL form: tests hold them against planted outliers and known centres
+def _planted(spark, d):
+    """The window that a forest isolates first, after one unlike all others was put in."""
+    features = ["rps", "error_rate", "p95_response_time", "unique_ips", "bytes_per_request", "bot_ratio"]
+    rows = g(spark, d)
+    odd = rows.orderBy("window_start").limit(1).withColumns({"window_start": F.lit("2024-02-01 00:00:00").cast("timestamp"), **{f: F.lit(40.0) * (1 + F.col(f).cast("double")) for f in features}})
+    rows = rows.withColumns({f: F.col(f).cast("double") for f in features}).unionByName(odd)
+    forest, meta = L.train_forest(rows, features)
+    return L.detector(forest, meta)(rows).orderBy(F.desc("isolation_forest.score"), "window_start").limit(1).select("window_start", F.col("isolation_forest.triggered").alias("triggered"))
+
+
+def _three_levels(spark, d):
+    rows = g(spark, d).withColumns({"requests": 10_000 * F.floor(F.hour("window_start") / 8) + 100, "error_rate": F.lit(0.01), "p95_response_time": F.lit(300.0), "unique_ips": F.lit(9), "bot_ratio": F.lit(0.1)})
+    return L.traffic_profiles(rows, clusters=3)
+
+
+Q("g13_e12_planted_outlier", "window_start:t triggered:b", _planted, "", "select timestamp '2024-02-01 00:00:00' as window_start, true as triggered")
+Q("g14_profiles_of_three_levels", "name:s hours:l avg_requests:d", _three_levels, "g", "select case hour(window_start) // 8 when 0 then 'quiet' when 1 then 'off-peak' else 'steady' end as name, count(*) as hours, avg(10000 * (hour(window_start) // 8) + 100) as avg_requests from g group by 1")
+# trees and clusters of the log itself have no SQL form
 Q("g13_e12_isolation_forest", "window_start:t score:d triggered:b", _forest)
 Q("g14_traffic_profiles", "name:s hours:l avg_requests:d avg_error_rate:d avg_p95:d", lambda s, d: L.traffic_profiles(g(s, d)))
 Q("g15_seasonal_baseline", "day_type:s bucket:l metric:s median:d p25:d p75:d p95:d samples:l", lambda s, d: L.seasonal_baseline(g(s, d)), "g", "select day_type, bucket, metric, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.25) as p25, quantile_cont(value, 0.75) as p75, quantile_cont(value, 0.95) as p95, count(value) as samples from (select case when isodow(window_start) >= 6 then 'weekend' else 'weekday' end as day_type, hour(window_start) * 4 as bucket, unnest([{'metric': 'requests', 'value': requests::double}, {'metric': 'error_rate', 'value': error_rate}, {'metric': 'p95_response_time', 'value': p95_response_time}, {'metric': 'unique_ips', 'value': unique_ips::double}], recursive := true) from g) group by 1, 2, 3")
