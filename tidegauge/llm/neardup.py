@@ -175,7 +175,9 @@ def _mapped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def thin(df: DataFrame) -> DataFrame:
-    """``df``, a table of ids, in fewer partitions, so that the next shuffle has fewer and larger parts."""
+    """``df``, a table of ids, in fewer partitions, so that the next shuffle has fewer and larger parts.
+
+    What stands before it up to the last shuffle runs in as few tasks, so it follows cheap steps only."""
     return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // THINNER))
 
 
@@ -254,7 +256,7 @@ def _meetings(rows: DataFrame, keys: list[str], work) -> DataFrame:
         if held is not None and len(held):
             yield work(held, np.arange(len(held)) == 0)
 
-    return thin(met.mapInPandas(run, "a bigint, b bigint")).distinct()
+    return met.mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def _bits(rows: pd.DataFrame) -> np.ndarray:
@@ -368,7 +370,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         whole = not brief or fresh.filter("a is null").isEmpty()
         fresh = fresh.filter("a is not null")
         if not fresh.isEmpty():
-            new = checkpoint(thin(confirm(fresh, known)))
+            new = checkpoint(confirm(fresh, known))
             if not new.isEmpty():  # the components so far and the new links between them
                 found = checkpoint(thin(components(found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").union(new))))
             tried = tried.union(fresh)
