@@ -104,7 +104,7 @@ def test_long_texts_take_linear_time(spark, text):
     long = text(rng)
     began = time.time()
     (spans,) = scanned(spark, [long])
-    assert time.time() - began < 15
+    assert time.time() - began < 60  # minutes, if any step were quadratic
     assert bool(spans) == (long[:2] != "zz")
 
 
