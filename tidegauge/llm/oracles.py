@@ -6,7 +6,7 @@ hold them against brute force.
 
 from __future__ import annotations
 
-from tidegauge.llm import chat_format, topk_search, url_filter
+from tidegauge.llm import chat_format, decontaminate, prefix_trie, spelling, topk_search, url_filter
 
 
 def _chat() -> str:
@@ -115,10 +115,115 @@ def _urls() -> str:
     """
 
 
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a string of code points below U+0800, byte by byte."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    coded = f"flatten(list_transform(string_split({text}, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)] else [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] end))"
+    return f"xor(list_reduce(list_transform({coded}, lambda b: cast(b as bigint)), lambda c, b: xor(c // 256, {table}[xor(c % 256, b) + 1]), cast(4294967295 as bigint)), 4294967295)"
+
+
+def _spelling() -> str:
+    folded = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    with recursive runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents),
+    counted as (select doc_id, {folded} as run, count(*) as times from runs group by 1, 2),
+    hashed as (select run, times, {_crc32("concat(doc_id, ':', run)")} as h from counted where length(run) >= {spelling.LETTERS}),
+    misspelt as (
+      select case when h % {spelling.MISSPELT_EVERY} = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times from hashed),
+    words as materialized (
+      select word, cast(sum(times) as bigint) as n from misspelt where length(word) >= {spelling.LETTERS} group by 1 having sum(times) >= {spelling.OCCURRENCES}),
+    cut as (
+      select word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: {{'at': i, 'rest': substr(word, 1, i - 1) || substr(word, i + 1)}}), recursive := true) from words),
+    shorter as (select distinct c.word as a, c.n as a_n, w.word as b, w.n as b_n from cut c join words w on w.word = c.rest),
+    near as (
+      select x.word as a, x.n as a_n, y.word as b, y.n as b_n from cut x join cut y on x.rest = y.rest and x."at" = y."at" and x.word <> y.word
+      union all select a, a_n, b, b_n from shorter
+      union all select b, b_n, a, a_n from shorter),
+    stood as (
+      select w.word, w.n, count(x.b) as n_near, first(x.b order by x.b_n desc, x.b) as best, first(x.b_n order by x.b_n desc, x.b) as best_n
+      from words w left join near x on x.a = w.word group by 1, 2),
+    formed as materialized (
+      select word, n, n_near, case when best_n >= {spelling.FORM_TIMES} * n then best end as form, case when best_n >= {spelling.FORM_TIMES} * n then best_n end as form_n from stood),
+    chain as (
+      select word, word as at_word, form from formed
+      union all select c.word, f.word, f.form from chain c join formed f on f.word = c.form)
+    select f.word, f.form, c.at_word as root, f.n, f.n_near, f.form_n from formed f join chain c on c.word = f.word and c.form is null
+    """
+
+
+def _contamination() -> str:
+    span = decontaminate.SPAN
+
+    def worded(name: str, key: str) -> str:
+        lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"select {key}, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from {name}"
+
+    def cut(length: str, key: str) -> str:
+        return f"select {key}, unnest(list_transform(range(1, len(w) - {length} + 2), lambda i: {{'at': i, 'span': {length}, 'words': array_to_string(w[i:i + {length} - 1], ' ')}}), recursive := true)"
+
+    return f"""
+    with docs as ({worded("(select row_number() over () as row, doc_id, text from documents)", "row, doc_id")}),
+    items as ({worded("benchmark", "item_id")}),
+    held as materialized (
+      select distinct item_id, span, words from ({cut(f"least({span}, len(w))", "item_id")} from items where len(w) > 0)),
+    spans as (select distinct span as n from held),
+    met as (
+      select d.row, d."at", d.span, d.words from ({cut("n", "row")} from docs, spans where len(w) >= n) d
+      where (d.span, d.words) in (select span, words from held)),
+    inside as (select row, count(*) as n_hit from (select distinct row, unnest(range("at", "at" + span)) as word from met) group by 1),
+    listed as (
+      select row, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+      from (select distinct m.row, cast(h.item_id as varchar) as item_id from met m join held h on h.span = m.span and h.words = m.words where h.item_id is not null) group by 1)
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+      coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join inside using (row) left join listed using (row)
+    """
+
+
+def _trie() -> str:
+    shared, family = prefix_trie.SHARED, prefix_trie.FAMILY
+    return f"""
+    with said as (
+      select conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest, strlen(coalesce(text, '')) as n_bytes
+      from conversations where conv_id is not null),
+    ranked as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, digest) as rank from said),
+    convs as (
+      select conv_id, count(*) as n, {_crc32("cast(conv_id as varchar)")} % {shared} as h, conv_id - conv_id % {family} as base_id from said group by conv_id),
+    turns as (
+      select c.conv_id, r.rank as pos, r.digest, r.n_bytes from convs c join ranked r on r.conv_id = c.base_id and r.rank <= c.h
+      union all
+      select c.conv_id, r.rank - c.h + least(c.h, coalesce(b.n, 0)), r.digest, r.n_bytes
+      from convs c join ranked r on r.conv_id = c.conv_id and r.rank > c.h left join convs b on b.conv_id = c.base_id),
+    members as materialized (
+      select conv_id, pos as depth, md5(string_agg(digest, ',') over (partition by conv_id order by pos)) as id, n_bytes from turns
+      union all select conv_id, 0, 'root', 0 from convs),
+    last as (select conv_id, max(depth) as depth from members group by conv_id),
+    nodes as materialized (select id, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(n_bytes) as n_bytes from members group by id, depth),
+    above as (
+      select n.id, n.depth, m.id as parent from nodes n join members m on m.conv_id = n.conv_id and m.depth = n.depth - 1),
+    kids as (select parent as id, count(*) as n_children from above group by 1),
+    totals as (
+      select m.id, m.depth, count(*) filter (k.id is null) as n_leaves, sum((n.n_convs - 1) * n.n_bytes) as saved_tokens
+      from nodes n left join kids k on k.id = n.id join members m on m.conv_id = n.conv_id and m.depth <= n.depth group by 1, 2),
+    ends as (select m.id, string_agg(m.conv_id, ',' order by m.conv_id) as ids from members m join last l on l.conv_id = m.conv_id and l.depth = m.depth group by 1)
+    select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children, t.n_leaves,
+      cast(t.saved_tokens as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+    from nodes n left join above a on a.id = n.id left join nodes p on p.id = a.parent left join kids k on k.id = n.id
+      join totals t on t.id = n.id left join ends e on e.id = n.id
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": _chat(),
         "op2_exact_top_k": _top_k(),
         "op5_url_filter": _urls(),
         "op6_minhash_near_dedup": _near_duplicates(),
+        "op11_spelling_variants": _spelling(),
+        "op12_benchmark_decontamination": _contamination(),
+        "op13_prefix_trie": _trie(),
     }
