@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import anomaly, dedupe, emit, make_anomalies, median, rule, soft_score
 from tidegauge.operators import detectors as D
+from tidegauge.operators.sliding import with_past
 
 #: Thresholds, with the names that users edit.
 THRESHOLDS = {"zscore_threshold": 3.5, "ewma_alpha": 0.25, "error_rate_threshold": 0.08, "latency_p95_multiplier": 2.5, "ip_rps_threshold": 25.0, "scan_unique_paths": 30.0, "auth_fail_threshold": 15.0, "min_history_points": 12}
@@ -60,32 +61,33 @@ def analyze_global(rows: DataFrame, thresholds: dict | None = None, lookback_sec
     """
     t = _t(thresholds)
     z, points, alpha = t["zscore_threshold"], t["min_history_points"], t["ewma_alpha"]
-    # one series: history is looked up in chunks of time, each with the lookback before it
-    base = D.chunked(_with_forest(rows, forest), lookback_seconds)
+    base = _with_forest(rows, forest)
     for c in ("ip_gini", "path_entropy", "bot_ratio", "bytes_per_request"):
         base = base if c in base.columns else base.withColumn(c, F.lit(0.0))
-    base = D.with_history(base, ["requests", "error_rate", "server_error_rate", "p95_response_time"], ["chunk"], lookback_seconds)
-    base = D.with_seasonal_history(base, ["requests", "error_rate", "p95_response_time"], ["chunk"], lookback_seconds, bucket_minutes)
-    past = Window.partitionBy("chunk").orderBy(F.unix_timestamp("window_start")).rangeBetween(-lookback_seconds, -1)
-    base = D.with_mahalanobis(base, GLOBAL_FEATURES, ["chunk"], 2 * points, z, over=past).filter("own").drop("chunk", "own")
+    # one series: chunks of its numbers are read in order once, rows get a few statistics of their past
+    wanted = {"requests": ("stats", "ewma", "cusum", "trend", "seasonal"), "error_rate": ("stats", "cusum", "seasonal"), "server_error_rate": ("stats",), "p95_response_time": ("stats", "ewma", "seasonal")}
+    base = with_past(base, wanted, lookback_seconds, GLOBAL_FEATURES, alpha=alpha, bucket_minutes=bucket_minutes)
+    base = base.withColumn("mahalanobis", D.mahalanobis_of(F.col("p_mahalanobis"), GLOBAL_FEATURES, 2 * points, z))
+    volume, failures, server, latency = (F.col(f"p_{c}") for c in wanted)
+    usual = lambda p, v, label: D.seasonal_of(F.struct(p["s_n"].cast("int").alias("n"), p["s_median"].alias("median"), p["s_sigma"].alias("sigma")), v, z, label=label)
     requests, rate, p95 = F.col("requests").cast("double"), F.col("error_rate"), F.col("p95_response_time")
-    base = base.withColumn("_seasonal", D.seasonal(F.col("s_requests"), requests, z, label="request volume"))
+    base = base.withColumn("_seasonal", usual(volume, requests, "request volume"))
     blind = F.col("_seasonal.cold")
     base = base.withColumn("_zt", F.when(blind, z * COLD_START_PENALTY).otherwise(z)).withColumn("_ct", F.when(blind, 5.0 * COLD_CUSUM_PENALTY).otherwise(5.0))
     base = base.withColumns({
-        "_up": D.robust_z(F.col("h_requests"), requests, F.col("_zt"), points, "up", "request volume"),
-        "_down": D.robust_z(F.col("h_requests"), requests, F.col("_zt"), points, "down", "request volume"),
-        "_ewma": D.ewma(F.col("h_requests"), requests, alpha, F.col("_zt"), points, "request volume"),
-        "_cusum": D.cusum(F.col("h_requests"), requests, 0.5, F.col("_ct"), points, "request volume"),
-        "_trend": D.trend(F.col("h_requests"), requests, z, points, label="request volume"),
-        "_rows": F.coalesce(median(F.col("h_requests")), requests),
-        "_server": F.coalesce(median(F.col("h_server_error_rate")), F.lit(0.0)),
-        "_p95": F.coalesce(median(F.col("h_p95_response_time")), p95),
+        "_up": D.robust_z_of(volume, requests, F.col("_zt"), points, "up", "request volume"),
+        "_down": D.robust_z_of(volume, requests, F.col("_zt"), points, "down", "request volume"),
+        "_ewma": D.ewma_of(volume, volume["n"], requests, F.col("_zt"), points, "request volume"),
+        "_cusum": D.cusum_of(volume, requests, 0.5, F.col("_ct"), points, "request volume"),
+        "_trend": D.trend_of(volume, volume["n"], requests, z, points, "request volume"),
+        "_rows": F.when(volume["n"] > 0, volume["median"]).otherwise(requests),
+        "_server": F.when(server["n"] > 0, server["median"]).otherwise(0.0),
+        "_p95": F.when(latency["n"] > 0, latency["median"]).otherwise(p95),
     })
     base = base.withColumn("_burst", cube(soft_score(requests / F.greatest(F.col("_rows"), F.lit(1.0)), 2.2, 4.0), soft_score(F.col("ip_gini"), 0.72, 6.0), soft_score(1 - F.col("path_entropy"), 0.55, 5.0)))
     shown = ["requests", "rps", "error_rate", "server_error_rate", "p95_response_time", "p99_response_time", "unique_ips", "unique_sessions", "ip_gini", "path_entropy"]
     shown = [c for c in shown if c in base.columns]
-    entity, known = F.lit("all-traffic"), F.size("h_requests") > 0
+    entity, known = F.lit("all-traffic"), volume["n"] > 0
     flood = rule(F.col("_burst"), F.lit("volume is concentrated in few sources and few routes"))
     budget = rule(soft_score(rate, t["error_rate_threshold"], 2.5), F.concat(D.number(rate * 100, 1), F.lit("% of requests failed")))
     slow = rule(soft_score(p95 / F.greatest(F.col("_p95"), F.lit(1.0)), t["latency_p95_multiplier"], 4.0), F.concat(F.lit("p95 "), D.number(p95, 0), F.lit(" ms vs "), D.number(F.col("_p95"), 0)))
@@ -94,13 +96,13 @@ def analyze_global(rows: DataFrame, thresholds: dict | None = None, lookback_sec
         "_ddos": anomaly(base, "ddos_burst", "global", entity, [flood, F.col("_up"), F.col("_ewma")], F.concat(F.lit("Concentrated burst from "), D.number(F.col("unique_ips"), 0), F.lit(" sources")), shown, (F.col("requests") > 0) & known & (F.col("_burst") >= 0.35)),
         "_err": anomaly(
             base, "error_spike", "global", entity,
-            [D.robust_z(F.col("h_error_rate"), rate, z, points, "up", "error rate"), D.cusum(F.col("h_error_rate"), rate, 0.5, 4.0, points, "error rate"), D.seasonal(F.col("s_error_rate"), rate, z, label="error rate"), budget],
+            [D.robust_z_of(failures, rate, z, points, "up", "error rate"), D.cusum_of(failures, rate, 0.5, 4.0, points, "error rate"), usual(failures, rate, "error rate"), budget],
             F.concat(F.lit("Error rate at "), D.number(rate * 100, 1), F.lit("%")), shown,
             F.col("server_error_rate") >= F.greatest(F.col("_server") + SERVER_ERROR_DELTA, F.lit(SERVER_ERROR_FLOOR)),
         ),
         "_lat": anomaly(
             base, "latency_anomaly", "global", entity,
-            [D.robust_z(F.col("h_p95_response_time"), p95, z, points, "up", "p95 latency"), D.ewma(F.col("h_p95_response_time"), p95, alpha, z, points, "p95 latency"), D.seasonal(F.col("s_p95_response_time"), p95, z, label="p95 latency"), slow],
+            [D.robust_z_of(latency, p95, z, points, "up", "p95 latency"), D.ewma_of(latency, latency["n"], p95, z, points, "p95 latency"), usual(latency, p95, "p95 latency"), slow],
             F.concat(F.lit("Latency: p95 at "), D.number(p95, 0), F.lit(" ms")), shown, latency_is_material(p95, F.col("_p95")),
         ),
     })

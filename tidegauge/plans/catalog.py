@@ -27,6 +27,7 @@ from tidegauge.operators import metrics as M
 from tidegauge.operators import reports as R
 from tidegauge.operators import series as X
 from tidegauge.operators.enrich import enrich
+from tidegauge.operators.sliding import with_past
 from tidegauge.plans import detection_sql as DS
 from tidegauge.sources.events import ACCESS_LOG_SQL, access_log, load_metrics, parse_events, prepare_events, read_events_stream, sample_events
 from tidegauge.streaming import topology as ST
@@ -434,6 +435,25 @@ Q("e10_cusum", "window_start:t score:d", lambda s, d: with_h(g(s, d), ["requests
   q as (select window_start, list_reduce(list_prepend({{'p': 0.0::double, 'q': 0.0::double}}, list_transform(list_append(h, requests::double), lambda x: {{'p': (x - med) / sigma, 'q': 0.0::double}})), lambda a, x: {{'p': greatest(0.0, a.p + x.p - 0.5), 'q': greatest(0.0, a.q - x.p - 0.5)}}) as c from f where k >= 12)
   select window_start, {_SOFT.format('least(greatest(c.p, c.q), 90)', '5.0', '3')} as score from q""")
 Q("e11_mahalanobis", "window_start:t ip:s score:d", lambda s, d: D.with_mahalanobis(i(s, d), A.IP_FEATURES, ["window_start"]).select("window_start", "ip", "mahalanobis.score"), "ix", DS.Steps("select * from ix").mahalanobis("x", A.IP_FEATURES, "partition by window_start", 20).end("select window_start, ip, x_s as score from {t}"))
+
+
+def _past(s, d) -> DataFrame:
+    """The hourly series with the numbers of each window's past, from one sorted pass."""
+    return with_past(g(s, d), {"requests": ("stats", "ewma", "cusum", "trend", "seasonal")}, 3 * 86_400)
+
+
+def _passed(name: str, held_to: str, columns: str, scored: Callable[[DataFrame], DataFrame]) -> None:
+    """The sliding form of a detector, held to the SQL of its array form."""
+    Q(name, columns, lambda s, d: scored(_past(s, d)), "g", "select 1")
+    ORACLES[name] = ORACLES[held_to]
+
+
+_PAST = lambda: (F.col("p_requests"), F.col("requests").cast("double"))
+_passed("e1_sliding_stats", "e1_robust_stats", "window_start:t n:l median:d mad:d sigma:d", lambda df: df.filter("p_requests.n > 0").select("window_start", *[F.col(f"p_requests.{c}") for c in ("n", "median", "mad", "sigma")]))
+_passed("e7_sliding_ewma", "e7_ewma", "window_start:t score:d", lambda df: df.filter("p_requests.n >= 12").select("window_start", D.ewma_of(_PAST()[0], _PAST()[0]["n"], _PAST()[1])["score"].alias("score")))
+_passed("e9_sliding_trend", "e9_trend", "window_start:t score:d", lambda df: df.filter("p_requests.n >= 12").select("window_start", D.trend_of(_PAST()[0], _PAST()[0]["n"], _PAST()[1])["score"].alias("score")))
+_passed("e10_sliding_cusum", "e10_cusum", "window_start:t score:d", lambda df: df.filter("p_requests.n >= 12").select("window_start", D.cusum_of(*_PAST())["score"].alias("score")))
+Q("e11_sliding_mahalanobis", "window_start:t score:d", lambda s, d: with_past(gk(s, d), {}, 3 * 86_400, A.GLOBAL_FEATURES).select("window_start", D.mahalanobis_of(F.col("p_mahalanobis"), A.GLOBAL_FEATURES, 24)["score"].alias("score")), "gk", DS.Steps("select * from gk").mahalanobis("x", A.GLOBAL_FEATURES, "order by epoch(window_start) range between 259200 preceding and 1 preceding", 24).end("select window_start, x_s as score from {t}"))
 Q("e14_fuse", "window_start:t score:d agreement:l confidence:d", lambda s, d: with_h(g(s, d), ["requests"]).select("window_start", S.fuse(F.array(D.robust_z(F.col("h_requests"), F.col("requests").cast("double")), S.rule(F.col("error_rate"), F.lit("rate")))).alias("f")).select("window_start", "f.score", "f.agreement", "f.confidence"), "g", _steps().stats("p", "h").robust_z("z", "p", "requests", way="both").rule("r", "error_rate").fused([("z", "robust_zscore"), ("r", "rule")]).end("select window_start, score, agreement, confidence from {t}"))
 Q("e13_rule", "window_start:t score:d triggered:b", lambda s, d: g(s, d).select("window_start", S.rule(3 * F.col("error_rate") - 0.2, F.lit("errors")).alias("r")).select("window_start", "r.score", "r.triggered"), "g", "select window_start, greatest(least(3 * error_rate - 0.2, 1), 0) as score, 3 * error_rate - 0.2 >= 0.5 as triggered from g")
 
