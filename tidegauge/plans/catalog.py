@@ -489,7 +489,22 @@ Q("f19_rescore", "anomaly_id:s type:s entity_type:s score:d", anomalies, "gk n i
 
 Q("g1_correlate", "anomaly_id:s family:s group:s incident_id:s", correlated, "co", 'select *, grp as "group" from co')
 ORACLES["g1_correlate"] = ORACLES["g1_correlate"].replace("cast(group as varchar) as group", 'cast("group" as varchar) as "group"')
-Q("g2_fold_incidents", "incident_id:s anomaly_count:l started_at:t last_seen_at:t peak_score:d impact_requests:l duration_minutes:d", incidents, "co", "select incident_id, count(*) as anomaly_count, min(window_start) as started_at, max(window_start) as last_seen_at, max(score) as peak_score, sum(requests) as impact_requests, round((epoch(max(window_start)) - epoch(min(window_start))) / 60 + 1, 1) as duration_minutes from co group by 1")
+_STEP = "{'peak': greatest(a.peak, x.peak), 'score': cast(round(cast(cast(0.7 * greatest(a.peak, x.peak) + 0.3 * a.score as varchar) as decimal(30, 20)), 2) as double)}"
+_FIRSTS = "(select string_agg({0}, ',' order by first_at) from (select {0}, min((window_start, anomaly_id)) as first_at from co c where c.incident_id = i.incident_id group by 1))"
+Q("g2_fold_incidents", "incident_id:s anomaly_count:l started_at:t last_seen_at:t peak_score:d score:d severity:s type:s types:s entities:s ids:s n_shown:l impact_requests:l duration_minutes:d",
+  lambda s, d: incidents(s, d).withColumns({"types": F.array_join("types", ","), "entities": F.array_join("entities", ","), "ids": F.array_join("anomaly_ids", ","), "n_shown": F.size("timeline")}), "co", f"""
+  with i as (
+    select incident_id, count(*) as anomaly_count, min(window_start) as started_at, max(window_start) as last_seen_at, max(score) as peak_score, sum(requests) as impact_requests,
+      least(count(distinct window_start), {G.TIMELINE}) as n_shown,
+      list_reduce(list_transform(list(score order by window_start, anomaly_id), lambda x: {{'peak': x, 'score': cast(round(cast(cast(0.7 * x + 0.3 * x as varchar) as decimal(30, 20)), 2) as double)}}), lambda a, x: {_STEP}) as f, max({_RANK}) as worst, list(anomaly_id order by window_start, anomaly_id) as ids
+    from co group by 1)
+  select incident_id, anomaly_count, started_at, last_seen_at, peak_score,
+    f.score as score,
+    ['info', 'low', 'medium', 'high', 'critical'][worst + 1] as severity,
+    (select arg_min(type, (window_start, anomaly_id)) from co c where c.incident_id = i.incident_id and {_RANK} = i.worst) as type,
+    {_FIRSTS.format("type")} as types, array_to_string(string_split({_FIRSTS.format("entity")}, ',')[1:{G.ENTITIES}], ',') as entities,
+    array_to_string(ids[-{G.ANOMALY_IDS}:], ',') as ids, n_shown, impact_requests, round((epoch(last_seen_at) - epoch(started_at)) / 60 + 1, 1) as duration_minutes
+  from i""")
 Q("g3_auto_resolve", "status:s n:l", lambda s, d: G.auto_resolve(incidents(s, d), NOW).groupBy("status").agg(F.count("*").alias("n")), "co", f"select case when b < timestamp '{NOW}' - interval 15 minutes then 'resolved' else 'open' end as status, count(*) as n from (select incident_id, max(window_start) as b from co group by 1) group by 1")
 Q("g4_match_rules", "anomaly_id:s rule_id:s", lambda s, d: G.match_rules(simple_anomalies(s, d), G.rules_table(s)), "an", f"select anomaly_id, rule_id from (select anomaly_id, unnest(list_filter([case when {_RANK} >= 4 then 'rule-critical-any' end, case when type = 'error_spike' and {_RANK} >= 3 then 'rule-error-spike' end, case when type in ('ddos_burst', 'suspicious_ip') and {_RANK} >= 3 then 'rule-ddos' end, case when type in ('auth_abuse', 'endpoint_scan') and {_RANK} >= 2 then 'rule-auth-abuse' end], lambda x: x is not null)) as rule_id from an)")
 Q("g5_fire_alerts", "alert_id:s rule_id:s entity:s severity:s score:d fired_at:t", alerts, "an", _ALERTS)
