@@ -252,10 +252,9 @@ def test_nnls_against_exhaustive_grid():
 def test_packing_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
 
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(50, None), (51, "ab " * 400), (51, "ab " * 400), (None, "no id")]
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(50, None), (51, "ab " * 400), (51, "ab " * 400), (None, "no id"), (52, "abc <|endoftext|> def"), (53, "<|endoftext|><|endoftext|>\n <|endoftext| >")]
     out = packing.pack_documents(documents(spark, rows), JSON, capacity=64).collect()
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     wanted = defaultdict(int)
     for i, t in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]

@@ -186,7 +186,6 @@ def test_the_library_sees_matches_as_it_sees_texts():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     rng = random.Random(44)
     bits = [" ", "\n", "  ", "\n\n", "\t", "a", "Word", "é", "Don't", "'s", "'", "x.", "!!", "***", "12", "漢字", "½", "<|endoftext|>", "\x85", "　", "ß", "ª", "\r\n"]
     rows = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]

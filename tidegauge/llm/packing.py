@@ -63,8 +63,8 @@ def library_tokenizer(path: str) -> PieceMemo:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         encode = tokenizer.encode_batch_fast
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         (line_feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
         solid = re.compile(r" ?\S+").fullmatch
 
@@ -72,7 +72,7 @@ def library_tokenizer(path: str) -> PieceMemo:
             """Pieces without inner blanks go to the library many at a time, a line feed between
             them: it is a match of its own there, and no such piece holds its token."""
             found: dict[str, bytes] = {}
-            joined = [p for p in missing if solid(p)]
+            joined = [p for p in missing if solid(p) and p not in special]
             parts = [joined[i : i + 64] for i in range(0, len(joined), 64)]
             for part, x in zip(parts, encode(["\n".join(part) for part in parts], add_special_tokens=False), strict=True):
                 ids = np.array(x.ids, "<u4")
@@ -84,7 +84,15 @@ def library_tokenizer(path: str) -> PieceMemo:
                 found[p] = np.array(x.ids, "<u4").tobytes()
             return [found[p] for p in missing]
 
-        _LOADED[path] = PieceMemo(encode_pieces, matches, WORDS)
+        # the library takes the string of an added token out of a text first, and what is between them as a text each
+        apart = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
+
+        def cut(text: str) -> list[str]:
+            if apart is None or not any(s in text for s in special):
+                return matches(text)
+            return [p for part in apart(text) for p in ([part] if part in special else matches(part))]
+
+        _LOADED[path] = PieceMemo(encode_pieces, cut, WORDS)
     return _LOADED[path]
 
 
