@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the folder of ``checkpoint``, read again.
+
+    Unlike a checkpoint it forgets the filters and equalities that the optimizer has derived so far, which multiply
+    in loops of self-joins, and it knows its size, so that small rounds join by broadcast.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def h64(data: bytes, seed: int = 0) -> int:
     """One 64-bit hash that is the same in every process."""
     return xxhash.xxh3_64_intdigest(data, seed)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import checkpoint
+from tidegauge.llm.common import written
 
 CHUNK_BITS, RUN_BITS = 10, 12
 CHUNK, RUN = 1 << CHUNK_BITS, 1 << RUN_BITS
@@ -53,17 +53,17 @@ def _before(value: Column, order: str) -> Column:
 
 def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables: (conv_id, length) of every rebuilt conversation; its turns as (conv_id, length, pos from 1, digest, n_bytes)."""
-    turns = checkpoint(_turns(conversations))
+    turns = written(_turns(conversations))
     chunks = turns.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"))
     shared = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(SHARED))
     own = chunks.groupBy("conv_id").agg(F.sum("n").alias("n_own")).withColumns({"shared": shared, "base_id": F.col("conv_id") - F.col("conv_id") % FAMILY})
     sizes = own.select(F.col("conv_id").alias("base_id"), F.col("n_own").alias("n_base"))
     taken = F.least("shared", F.coalesce("n_base", F.lit(0)))
-    whole = checkpoint(own.join(sizes, "base_id", "left").select("conv_id", "base_id", "shared", taken.alias("taken"), (taken + F.greatest(F.col("n_own") - F.col("shared"), F.lit(0))).alias("length")))
+    whole = written(own.join(sizes, "base_id", "left").select("conv_id", "base_id", "shared", taken.alias("taken"), (taken + F.greatest(F.col("n_own") - F.col("shared"), F.lit(0))).alias("length")))
 
     placed = chunks.withColumn("ahead", _before(F.col("n"), "chunk")).select("conv_id", "chunk", "ahead").join(whole.select("conv_id", "shared", "taken", "length"), "conv_id")
     nth = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), "digest"))
-    ranked = checkpoint(turns.withColumn("nth", nth).join(placed, ["conv_id", "chunk"]).select("conv_id", "shared", "taken", "length", (F.col("ahead") + F.col("nth")).alias("rank"), "digest", "n_bytes"))
+    ranked = written(turns.withColumn("nth", nth).join(placed, ["conv_id", "chunk"]).select("conv_id", "shared", "taken", "length", (F.col("ahead") + F.col("nth")).alias("rank"), "digest", "n_bytes"))
     kept = ranked.filter("rank > shared").select("conv_id", "length", (F.col("rank") - F.col("shared") + F.col("taken")).alias("pos"), "digest", "n_bytes")
     first = ranked.filter(F.col("rank") < SHARED).select(F.col("conv_id").alias("base_id"), F.col("rank").alias("pos"), "digest", "n_bytes")
     lent = whole.select("conv_id", "length", "base_id", "taken").join(first, "base_id").filter("pos <= taken").select("conv_id", "length", "pos", "digest", "n_bytes")
@@ -79,7 +79,7 @@ def prefixes(whole: DataFrame, turns: DataFrame) -> DataFrame:
     low, high = F.lit(0xFFFFFFFF), lambda c: F.shiftrightunsigned(c, 32)
     h, g = F.xxhash64(F.lit(1), "pos", "digest"), F.xxhash64(F.lit(2), "pos", "digest")
     terms = dict(zip(_SUMS, (h.bitwiseAND(low), high(h), g.bitwiseAND(low), high(g)), strict=True))
-    rows = checkpoint(turns.select("conv_id", "length", "pos", "n_bytes", F.shiftright("pos", CHUNK_BITS).alias("chunk"), *[t.alias(s) for s, t in terms.items()]))
+    rows = written(turns.select("conv_id", "length", "pos", "n_bytes", F.shiftright("pos", CHUNK_BITS).alias("chunk"), *[t.alias(s) for s, t in terms.items()]))
     sums = rows.groupBy("conv_id", "chunk").agg(*[F.sum(s).alias(s) for s in _SUMS])
     ahead = sums.select("conv_id", "chunk", *[_before(F.col(s), "chunk").alias("ahead_" + s) for s in _SUMS])
     so_far = Window.partitionBy("conv_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -114,17 +114,24 @@ def ends(found: DataFrame) -> DataFrame:
     return runs.repartition("id").sortWithinPartitions("id", "run").mapInPandas(digest, "id binary, ends_sha256 string")
 
 
-def _chains(live: DataFrame, single: DataFrame, values: list[str]) -> DataFrame:
+def _doubled(hops: DataFrame, values: list[str]) -> DataFrame:
+    """Every pointer, and the sum along it, goes on by the pointer of where it stands, if that has one."""
+    ahead = hops.select(F.col("id").alias("to"), F.col("to").alias("further"), *[F.col(v).alias("_" + v) for v in values])
+    return hops.join(ahead, "to", "left").select("id", "top", F.coalesce("further", "to").alias("to"), *[(F.col(v) + F.coalesce("_" + v, F.lit(0))).alias(v) for v in values], F.col("further").isNotNull().alias("moved"))
+
+
+def _chains(live: DataFrame, values: list[str]) -> DataFrame:
     """(id, to, values, top) of all nodes with a single child: the end of the chain below and the sum down to it;
     ``top`` if no such node is above."""
-    child = live.select(F.col("id").alias("only"), *[F.col("add_" + v).alias("_" + v) for v in values])
-    hops = single.join(child, "only").select("id", F.col("only").alias("to"), *[(F.col(v) + F.col("_" + v)).alias(v) for v in values])
+    single = live.filter("kids = 1 and parent is not null").select("id", *values)
+    child = live.select(F.col("parent").alias("id"), F.col("id").alias("to"), *[F.col("add_" + v).alias("_" + v) for v in values])
+    hops = single.join(child, "id").select("id", "to", *[(F.col(v) + F.col("_" + v)).alias(v) for v in values])
     below = hops.select(F.col("to").alias("id"), F.lit(False).alias("top"))
-    hops = checkpoint(hops.join(below, "id", "left").withColumn("top", F.coalesce("top", F.lit(True))).withColumn("moved", F.lit(True)))
-    while not hops.filter("moved").isEmpty():
-        ahead = hops.select(F.col("id").alias("to"), F.col("to").alias("further"), *[F.col(v).alias("_" + v) for v in values])
-        hops = checkpoint(hops.join(ahead, "to", "left").select("id", "top", F.coalesce("further", "to").alias("to"), *[(F.col(v) + F.coalesce("_" + v, F.lit(0))).alias(v) for v in values], F.col("further").isNotNull().alias("moved")))
-    return hops.drop("moved")
+    hops = written(hops.join(below, "id", "left").withColumn("top", F.coalesce("top", F.lit(True))))
+    while True:
+        hops = written(_doubled(_doubled(hops, values), values))
+        if hops.filter("moved").isEmpty():
+            return hops.drop("moved")
 
 
 def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
@@ -132,31 +139,27 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
 
     ``nodes`` is a forest: parents are nodes or null.  Values are whole numbers.
     """
-    live = checkpoint(nodes.select("id", "parent", *values, *[F.lit(0).cast("bigint").alias("add_" + v) for v in values]))
-    known, chains = None, []
-    while True:
-        kids = live.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("kids"), F.min("id").alias("only")).withColumnRenamed("parent", "id")
-        live = checkpoint(live.join(kids, "id", "left").withColumn("kids", F.coalesce("kids", F.lit(0))))
-        single = live.filter("kids = 1 and parent is not null")
-        if not single.isEmpty():
-            chain = _chains(live, single, values)
+    kids = nodes.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("kids")).withColumnRenamed("parent", "id")
+    live = nodes.join(kids, "id", "left").select("id", "parent", *values, *[F.lit(0).cast("bigint").alias("add_" + v) for v in values], F.coalesce("kids", F.lit(0)).alias("kids"))
+    live, known, chains = written(live), None, []
+    while not live.isEmpty():
+        if not live.filter("kids = 1 and parent is not null").isEmpty():
+            chain = _chains(live, values)
             chains.append(chain.drop("top"))
-            # a chain's end takes the place of its top, with the chain's sum on the edge above
+            # a chain's end takes the place of its top; the sum of the chain, its end's own edge included, is on the edge above
             tops = chain.filter("top").join(live.select("id", F.col("parent").alias("over"), *[F.col("add_" + v).alias("_" + v) for v in values]), "id")
             moved = tops.select(F.col("to").alias("id"), "over", *[(F.col(v) + F.col("_" + v)).alias("_" + v) for v in values])
-            # the end's own edge is within the chain's sum already
-            edge = {"add_" + v: F.when(F.col("over").isNull(), F.col("add_" + v)).otherwise(F.col("_" + v)) for v in values}
-            live = live.filter("kids <> 1 or parent is null").join(moved, "id", "left").withColumns({"parent": F.coalesce("over", "parent"), **edge}).drop("over", *["_" + v for v in values])
-            live = checkpoint(live)
+            edge = {"add_" + v: F.coalesce("_" + v, "add_" + v) for v in values}
+            live = written(live.filter("kids <> 1 or parent is null").join(moved, "id", "left").withColumns({"parent": F.coalesce("over", "parent"), **edge}).drop("over", *["_" + v for v in values]))
         raked = live.filter("kids = 0").select("id", *values)
         known = raked if known is None else known.unionByName(raked)
-        gains = live.filter("kids = 0 and parent is not null").groupBy("parent").agg(*[F.sum(F.col(v) + F.col("add_" + v)).alias("_" + v) for v in values]).withColumnRenamed("parent", "id")
-        live = live.filter("kids > 0").join(gains, "id", "left").select("id", "parent", *[(F.col(v) + F.coalesce("_" + v, F.lit(0))).alias(v) for v in values], *["add_" + v for v in values])
-        live = checkpoint(live)
-        if live.isEmpty():
-            break
+        gains = live.filter("kids = 0 and parent is not null").groupBy("parent").agg(F.count("*").alias("gone"), *[F.sum(F.col(v) + F.col("add_" + v)).alias("_" + v) for v in values]).withColumnRenamed("parent", "id")
+        sums = [(F.col(v) + F.coalesce("_" + v, F.lit(0))).alias(v) for v in values]
+        live = written(live.filter("kids > 0").join(gains, "id", "left").select("id", "parent", *sums, *["add_" + v for v in values], (F.col("kids") - F.coalesce("gone", F.lit(0))).alias("kids")))
+    if known is None:
+        return nodes.select("id", *values)
     for chain in reversed(chains):
-        known = checkpoint(known)
+        known = written(known)
         below = known.select(F.col("id").alias("to"), *[F.col(v).alias("_" + v) for v in values])
         known = known.unionByName(chain.join(below, "to").select("id", *[(F.col(v) + F.col("_" + v)).alias(v) for v in values]))
     return known
@@ -165,10 +168,10 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
 def trie(conversations: DataFrame) -> DataFrame:
     """The nodes of the rebuilt conversations' trie: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens and ends_sha256."""
-    found = checkpoint(prefixes(*rebuilt(conversations)))
+    found = written(prefixes(*rebuilt(conversations)))
     nodes = found.groupBy("id").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), *[F.first(c).alias(c) for c in ("parent", "depth", "n_bytes")])
     children = nodes.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("n_children")).withColumnRenamed("parent", "id")
-    nodes = checkpoint(nodes.join(children, "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
+    nodes = written(nodes.join(children, "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
     own = nodes.select("id", "parent", (F.col("n_children") == 0).cast("bigint").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("n_bytes")).alias("saved_tokens"))
     above = nodes.select(F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     out = nodes.join(subtree_totals(own, ["n_leaves", "saved_tokens"]), "id").join(ends(found), "id", "left").join(above, "parent", "left")
