@@ -1,12 +1,15 @@
 """Streams: equal to batch, late and broken input, upserts, detection of closed windows."""
 
 import json
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tidegauge.operators import analyzers as A
+from tidegauge.operators import filters as B
 from tidegauge.operators import metrics as M
+from tidegauge.operators import reports as R
 from tidegauge.operators.enrich import enrich
 from tidegauge.sources.events import parse_events, read_events_stream
 from tidegauge.streaming import topology as ST
@@ -81,3 +84,27 @@ def test_closed_windows_are_scored_against_stored_history(spark, tmp_path):
 def test_sanitize_and_payload(spark):
     df = spark.createDataFrame([(1, float("nan"), [1.0, float("inf")]), (2, 2.0, None)], "i int, x double, a array<double>")
     assert [tuple(r) for r in ST.sanitize(df).orderBy("i").collect()] == [(1, None, [1.0, None]), (2, 2.0, None)]
+
+
+def test_a_client_is_shown_forty_events_a_second(spark, tmp_path):
+    src = tmp_path / "in"
+    lines = [message(i, i // 2500, (200, 500)[i % 2], ip=None if i % 3 else "1.1.1.1") for i in range(10_000)]
+    for at in range(0, 10_000, 2_000):  # seconds are spread over batches
+        write(src, f"{at:05d}.json", lines[at : at + 2_000])
+    stream = ST.live_events(read_events_stream(spark, "text", {"path": str(src), "maxFilesPerTrigger": "1"})).select("event_id", "event_time", "status", "ip", "path", "response_time_ms")
+    shown = B.capped_tail(B.tail_filter(stream, only_errors=True), ["a", "b"], 40)
+    shown.writeStream.outputMode("append").format("memory").queryName("tail").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(200)
+    rows = spark.table("tail").collect()
+    counts = Counter((r["client"], r["event_time"]) for r in rows)
+    assert counts == {(c, T0 + timedelta(seconds=s)): 40 for c in "ab" for s in range(4)}
+    assert {r["status"] for r in rows} == {500} and len({(r["client"], r["event_id"]) for r in rows}) == 320
+    first = [int(r["event_id"][1:]) for r in rows if r["client"] == "a" and r["event_time"] == T0]
+    assert sorted(first) == list(range(1, 81, 2))  # in order of arrival
+
+
+def test_exact_sample_is_the_same_under_any_partitioning(spark):
+    rows = spark.range(30_000).select(F.format_string("e%d", "id").alias("event_id"))
+    some = {r[0] for r in R.exact_sample(rows.repartition(3), 700).collect()}
+    assert len(some) == 700 and some == {r[0] for r in R.exact_sample(rows.repartition(13), 700).collect()}
+    assert R.exact_sample(rows, 50_000).count() == 30_000 and R.exact_sample(rows.limit(0), 5).count() == 0
+    assert abs(sum(int(e[1:]) for e in some) / 700 - 15_000) < 1_500

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegauge.functions.stats import severity_rank
 
@@ -121,6 +124,33 @@ def tail_filter(stream: DataFrame, only_errors: bool = False, min_status: int |
     return stream
 
 
+def capped_tail(stream: DataFrame, clients: list[str], per_second: int = 40, time: str = "event_time") -> DataFrame:
+    """The events that each of ``clients`` is shown: at most ``per_second`` of every second of ``time``, in order of arrival.
+
+    ``stream`` has a watermark on ``time``.  State is one count for each client and open second, however fast events
+    come; it goes when the watermark passes the second.
+    """
+    names = F.explode(F.array(*[F.lit(c) for c in clients]))
+    keyed = stream.withColumn("client", names).withColumn("_second", F.unix_timestamp(time))
+    columns = [c for c in keyed.columns if c != "_second"]
+
+    def cap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.getOption[0] if state.exists else 0
+        for batch in batches:
+            kept = batch[columns].iloc[: max(0, per_second - seen)]
+            seen += len(kept)
+            if len(kept):
+                yield kept
+        state.update((seen,))
+        state.setTimeoutTimestamp(max((int(key[1]) + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+
+    schema = keyed.select(*columns).schema
+    return keyed.groupBy("client", "_second").applyInPandasWithState(cap, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def anomaly_feed(anomalies: DataFrame, start=None, end=None, severity: str | None = None, types=(), entity: str | None = None, status: str | None = None, min_score: float | None = None, detector: str | None = None, sort: str = "window_start", descending: bool = True, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """One page of anomalies, and how many there are in all (one row)."""
     df = in_range(anomalies, start, end) if start is not None else anomalies

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import severity_rank
 from tidegauge.operators.series import bucket, kpi_deltas, kpi_totals, timeseries
-from tidegauge.sources.events import sample_events
 
 COUNT_CAP = 200_000
 SORTS = {"timestamp": "event_time", "latency": "response_time_ms", "status": "status", "bytes": "bytes_sent"}
@@ -154,10 +153,27 @@ def geo_timeseries(geo_rows: DataFrame, countries: list[str] | None = None, seco
     return rows.groupBy(bucket(max(300, seconds)).alias("t")).pivot("country", countries).agg(F.sum("requests")).fillna(0)
 
 
+#: Slots of the histogram by which the smallest hashes of a table are found.
+SAMPLE_SLOTS = 1 << 16
+
+
+def exact_sample(df: DataFrame, n: int, seed: int = 7, key: str = "event_id") -> DataFrame:
+    """Exactly ``n`` rows of ``df`` (all, if there are no more): those of the smallest hashes of ``key``.
+
+    The same rows come out under any partitioning.  A histogram of the hashes, a table of at most ``SAMPLE_SLOTS`` rows, tells
+    how many slots hold ``n`` rows; only rows of those slots, ``n`` and some of the last slot, are put in order.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    placed = df.withColumn("_hash", digest).withColumn("_slot", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
+    slots = placed.groupBy("_slot").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = slots.withColumn("_before", before).filter(F.col("_before") < n).select("_slot")
+    return placed.join(F.broadcast(wanted), "_slot", "left_semi").orderBy("_hash", key).limit(n).drop("_hash", "_slot")
+
+
 def geo_points(events: DataFrame, n: int = 20_000, limit: int = 400, seed: int = 7) -> DataFrame:
-    """Cities of a sample of about ``n`` events (all, if there are no more), weighted by the largest."""
-    total = events.count()
-    sample = sample_events(events, n / total, seed, "event_id") if total > n else events
+    """Cities of a sample of ``n`` events (all, if there are no more), weighted by the largest."""
+    sample = exact_sample(events, n, seed)
     grouped = sample.groupBy("country", "city").agg(
         F.count("*").alias("requests"), F.avg(F.col("is_error").cast("double")).alias("error_rate"), F.avg("response_time_ms").alias("avg_response_time"),
         F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.bool_or(F.col("attack_label").isNotNull()).alias("hostile"),

@@ -360,6 +360,9 @@ Q("d19_session_trail", "event_id:s event_time:t", lambda s, d: R.session_trail(s
 Q("d20_geo_summary", "country:s requests:l unique_ips:l error_rate:d country_name:s share:d", lambda s, d: R.geo_summary(c(s, d), simple_anomalies(s, d)), "c", "select country, sum(requests) as requests, max(unique_ips) as unique_ips, sum(error_rate * requests) / sum(requests) as error_rate, arg_max(country_name, window_start) as country_name, round(sum(requests) / (select sum(requests) from c), 5) as share from c group by 1")
 Q("d21_geo_timeseries", "t:t C1:l C2:l", lambda s, d: R.geo_timeseries(c(s, d), ["C1", "C2"], 86_400), "c", "select window_start as t, coalesce(sum(requests) filter (country = 'C1'), 0) as \"C1\", coalesce(sum(requests) filter (country = 'C2'), 0) as \"C2\" from c where country in ('C1', 'C2') group by 1")
 Q("d22_geo_points", "country:s city:s requests:l error_rate:d weight:d hostile:b", lambda s, d: R.geo_points(log(s, d), 10_000_000), "e", "select *, requests / max(requests) over () as weight from (select country, city, count(*) as requests, avg(is_error::int) as error_rate, bool_or(attack_label is not null) as hostile from e group by 1, 2) order by requests desc, country, city limit 400")
+_SAMPLED = "(select * from e order by md5('7:' || event_id), event_id limit 5000)"
+Q("d22_exact_sample", "event_id:s", lambda s, d: R.exact_sample(log(s, d), 5000), "e", f"select event_id from {_SAMPLED}")
+Q("d22_sampled_points", "country:s city:s requests:l error_rate:d weight:d hostile:b", lambda s, d: R.geo_points(log(s, d), 5000), "e", f"select *, requests / max(requests) over () as weight from (select country, city, count(*) as requests, avg(is_error::int) as error_rate, bool_or(attack_label is not null) as hostile from {_SAMPLED} group by 1, 2) order by requests desc, country, city limit 400")
 Q("d23_ip_table", "ip:s requests:l errors:l unique_paths:l threat_score:d anomalies:l", lambda s, d: R.ip_table(i(s, d), simple_anomalies(s, d), limit=50), "i an", "select a.*, coalesce(threat_score, 0) as threat_score, coalesce(anomalies, 0) as anomalies from (select ip, sum(requests) as requests, sum(errors) as errors, max(unique_paths) as unique_paths from i group by 1) a left join (select entity, max(score) as threat_score, count(*) as anomalies from an where entity_type = 'ip' group by 1) t on t.entity = a.ip order by requests desc, ip limit 50")
 Q("d24_ip_profile", "window_start:t requests:l", lambda s, d: R.ip_profile(i(s, d), simple_anomalies(s, d), log(s, d), "10.0.0.5")["series"], "i", "select window_start, requests from i where ip = '10.0.0.5' order by window_start desc limit 120")
 Q("d25_attackers", "entity:s score:d anomalies:l", lambda s, d: R.security_summary(simple_anomalies(s, d))["attackers"], "an", "select entity, max(score) as score, count(*) as anomalies from an where entity_type = 'ip' group by 1 order by 2 desc, 1 limit 15")
