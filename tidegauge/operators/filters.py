@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidegauge.functions.stats import severity_rank
 
 #: Fields that a search may name, by what it may call them.
-FIELDS = {f: f for f in "status method path endpoint ip service country city session_id user_id user_agent host region referrer asn org device browser os cache_status is_bot response_time_ms bytes_sent protocol tls_version request_id event_id".split()}
+FIELDS = {f: f for f in ["status", "method", "path", "endpoint", "ip", "service", "country", "city", "session_id", "user_id", "user_agent", "host", "region", "referrer", "asn", "org", "device", "browser", "os", "cache_status", "is_bot", "response_time_ms", "bytes_sent", "protocol", "tls_version", "request_id", "event_id"]}
 ALIASES = {"rt": "response_time_ms", "latency": "response_time_ms", "response_time": "response_time_ms", "bytes": "bytes_sent", "size": "bytes_sent", "code": "status", "url": "path", "route": "endpoint", "ua": "user_agent", "agent": "user_agent", "session": "session_id", "user": "user_id", "bot": "is_bot", "cache": "cache_status", "verb": "method"}
 NUMERIC = frozenset(["status", "response_time_ms", "bytes_sent"])
 TEXT_FIELDS = ("path", "user_agent", "ip", "endpoint", "session_id")

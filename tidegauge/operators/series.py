@@ -11,7 +11,7 @@ from tidegauge.functions.stats import severity_rank
 METRICS = {
     "requests": ("sum", "requests"), "rps": ("rate", "requests"), "error_rate": ("ratio", ("errors_4xx", "errors_5xx")), "server_error_rate": ("ratio", ("errors_5xx",)),
     "errors_4xx": ("sum", "errors_4xx"), "errors_5xx": ("sum", "errors_5xx"), "bytes_sent": ("sum", "bytes_sent"),
-    **{m: ("avg", m) for m in "p50_response_time p90_response_time p95_response_time p99_response_time avg_response_time unique_ips unique_sessions apdex bot_ratio cache_hit_rate ip_gini path_entropy".split()},
+    **{m: ("avg", m) for m in ["p50_response_time", "p90_response_time", "p95_response_time", "p99_response_time", "avg_response_time", "unique_ips", "unique_sessions", "apdex", "bot_ratio", "cache_hit_rate", "ip_gini", "path_entropy"]},
 }
 LADDER = (60, 300, 600, 900, 1800, 3600, 7200, 10800, 21600)
 STATUS_CLASSES = ("2xx", "3xx", "4xx", "5xx")

@@ -13,11 +13,7 @@ from pyspark.sql import types as T
 _S, _D, _L, _I, _B = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType(), T.BooleanType()
 _NUMBERS = {"schema_version": _I, "status": _I, "bytes_sent": _L, "bytes_received": _L, "response_time_ms": _D, "upstream_time_ms": _D, "lat": _D, "lon": _D, "is_bot": _B}
 #: The columns of an event, in order.
-EVENT_COLUMNS = (
-    "event_id schema_version timestamp ingest_ts service region host ip method path endpoint query protocol status bytes_sent bytes_received "
-    "response_time_ms upstream_time_ms referrer user_agent user_id session_id request_id country country_name city lat lon asn org device browser os "
-    "is_bot cache_status tls_version attack_label"
-).split()
+EVENT_COLUMNS = ["event_id", "schema_version", "timestamp", "ingest_ts", "service", "region", "host", "ip", "method", "path", "endpoint", "query", "protocol", "status", "bytes_sent", "bytes_received", "response_time_ms", "upstream_time_ms", "referrer", "user_agent", "user_id", "session_id", "request_id", "country", "country_name", "city", "lat", "lon", "asn", "org", "device", "browser", "os", "is_bot", "cache_status", "tls_version", "attack_label"]
 EVENT_SCHEMA = T.StructType([T.StructField(c, _NUMBERS.get(c, _S)) for c in EVENT_COLUMNS])
 
 #: Values that stand for what a batch of events lacks.

@@ -21,10 +21,7 @@ from tidegauge.sources.events import parse_events
 
 WATERMARK = "2 minutes"
 TECHNICAL = ("kafka_ts", "kafka_partition", "kafka_offset", "status_class", "is_client_error", "apdex_weight", "ingest_latency_ms", "is_slow")
-PAYLOAD = tuple(
-    "event_id event_time service region host ip method path endpoint status status_class bytes_sent response_time_ms upstream_time_ms user_agent user_id session_id "
-    "country country_name city lat lon asn org device browser os is_bot is_error cache_status attack_label".split()
-)
+PAYLOAD = ("event_id", "event_time", "service", "region", "host", "ip", "method", "path", "endpoint", "status", "status_class", "bytes_sent", "response_time_ms", "upstream_time_ms", "user_agent", "user_id", "session_id", "country", "country_name", "city", "lat", "lon", "asn", "org", "device", "browser", "os", "is_bot", "is_error", "cache_status", "attack_label")
 #: Keys of each table, and days for which its rows are kept.
 KEYS = {
     "metrics_global": ["window_start"], "metrics_endpoint": ["window_start", "endpoint", "method"], "metrics_ip": ["window_start", "ip"], "metrics_status": ["window_start", "status_class"],
