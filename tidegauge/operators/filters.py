@@ -125,7 +125,8 @@ def tail_filter(stream: DataFrame, only_errors: bool = False, min_status: int |
 
 
 def capped_tail(stream: DataFrame, clients: list[str], per_second: int = 40, time: str = "event_time") -> DataFrame:
-    """The events that each of ``clients`` is shown: at most ``per_second`` of every second of ``time``, in order of arrival.
+    """The events that each of ``clients`` is shown: at most ``per_second`` of every second of ``time``: those of its
+    earliest batches, any of a batch that holds more.
 
     ``stream`` has a watermark on ``time``.  State is one count for each client and open second, however fast events
     come; it goes when the watermark passes the second.
