@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 OFFSETS = "map<string,map<string,bigint>>"
 PROGRESS = (
     "struct<id:string,name:string,batchId:bigint,timestamp:string,numInputRows:bigint,inputRowsPerSecond:double,processedRowsPerSecond:double,"
-    "durationMs:map<string,bigint>,stateOperators:array<struct<numRowsTotal:bigint,memoryUsedBytes:bigint>>,sources:array<struct<description:string,endOffset:string,latestOffset:string>>>"
+    "durationMs:map<string,bigint>,observedMetrics:map<string,map<string,double>>,stateOperators:array<struct<numRowsTotal:bigint,memoryUsedBytes:bigint>>,sources:array<struct<description:string,endOffset:string,latestOffset:string>>>"
 )
 
 

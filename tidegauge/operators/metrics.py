@@ -54,12 +54,12 @@ def burstiness(requests: Column, span: Column, seconds: Column) -> Column:
     return F.when((requests < 3) | (span <= 0), 1.0).otherwise(F.least(seconds / F.greatest(span, F.lit(1.0)), seconds))
 
 
-def _bounds(df: DataFrame) -> DataFrame:
+def bounds(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c != "window"]
     return df.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *rest)
 
 
-def _seconds() -> Column:
+def window_seconds() -> Column:
     return (F.unix_timestamp("window_end") - F.unix_timestamp("window_start")).cast("double")
 
 
@@ -87,7 +87,7 @@ def global_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False)
         *codes,
         *methods,
     )
-    out = _bounds(grouped)
+    out = bounds(grouped)
 
     def sparse(names: list[tuple[str, str]]) -> Column:
         entries = F.array(*[F.struct(F.lit(key).alias("key"), F.col(c).alias("value")) for key, c in names])
@@ -96,7 +96,7 @@ def global_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False)
     out = out.withColumns({
         "status_counts": sparse([(str(c), f"status_{c}") for c in STATUS_CODES]),
         "method_counts": sparse([(m, f"method_{m}") for m in METHODS]),
-        "rps": F.col("requests") / _seconds(),
+        "rps": F.col("requests") / window_seconds(),
         "error_rate": (F.col("errors_4xx") + F.col("errors_5xx")) / F.col("requests"),
         "server_error_rate": share("errors_5xx"),
         "success_rate": 1 - (F.col("errors_4xx") + F.col("errors_5xx")) / F.col("requests"),
@@ -109,13 +109,13 @@ def global_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False)
 
 def code_counts(df: DataFrame, window: str = "1 minute", column: str = "status") -> DataFrame:
     """Every code or method seen in a window with its count, as a map."""
-    counts = _bounds(df.groupBy(F.window("event_time", window).alias("window"), F.col(column).cast("string").alias("key")).agg(F.count("*").alias("value")))
+    counts = bounds(df.groupBy(F.window("event_time", window).alias("window"), F.col(column).cast("string").alias("key")).agg(F.count("*").alias("value")))
     return counts.groupBy("window_start", "window_end").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(f"{column}_counts"))
 
 
 def status_metrics(df: DataFrame, window: str = "1 minute", top: int = 5) -> DataFrame:
     """Window x status class: requests, codes, mean latency and the busiest endpoints."""
-    by_endpoint = _bounds(df.groupBy(F.window("event_time", window).alias("window"), "status_class", "status", "endpoint").agg(F.count("*").alias("n"), F.sum("response_time_ms").alias("latency")))
+    by_endpoint = bounds(df.groupBy(F.window("event_time", window).alias("window"), "status_class", "status", "endpoint").agg(F.count("*").alias("n"), F.sum("response_time_ms").alias("latency")))
     keys = ["window_start", "window_end", "status_class"]
     by_code = by_endpoint.groupBy(*keys, "status").agg(F.sum("n").alias("n"), F.sum("latency").alias("latency"))
     codes = by_code.groupBy(*keys).agg(
@@ -153,11 +153,11 @@ def endpoint_metrics(df: DataFrame, window: str = "1 minute", exact: bool = Fals
         total("is_cache_hit").alias("cache_hits"),
         label() if exact else stream_label(),
     )
-    return _bounds(grouped).withColumns({
+    return bounds(grouped).withColumns({
         "errors": F.col("errors_4xx") + F.col("errors_5xx"),
         "error_rate": (F.col("errors_4xx") + F.col("errors_5xx")) / F.col("requests"),
         "server_error_rate": share("errors_5xx"),
-        "rps": F.col("requests") / _seconds(),
+        "rps": F.col("requests") / window_seconds(),
         "cache_hit_rate": share("cache_hits"),
     })
 
@@ -183,7 +183,7 @@ def ip_endpoint_metrics(df: DataFrame, window: str = "1 minute") -> DataFrame:
         F.min("org").alias("org"),
         stream_label(),
     )
-    return _bounds(grouped)
+    return bounds(grouped)
 
 
 def entropy_of(counts: Column) -> Column:
@@ -225,7 +225,7 @@ def ip_metrics(df: DataFrame, window: str = "1 minute", exact: bool = True, min_
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("requests"), "endpoint"))
     top = routes.select(*keys, "endpoint", "requests").withColumn("_rank", rank).filter(F.col("_rank") <= paths)
     top = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "endpoint"))), lambda x: x["endpoint"]).alias("sample_paths"))
-    people = _bounds(
+    people = bounds(
         df.groupBy(F.window("event_time", window).alias("window"), "ip").agg(distinct("user_agent", exact).alias("unique_user_agents"), distinct("session_id", exact).alias("unique_sessions"), label() if exact else stream_label())
     )
     span = (F.col("last_seen").cast("double") - F.col("first_seen").cast("double")).alias("span")
@@ -235,8 +235,8 @@ def ip_metrics(df: DataFrame, window: str = "1 minute", exact: bool = True, min_
         "error_ratio": share("errors"),
         "not_found_ratio": share("not_found"),
         "bytes_per_request": share("bytes_sent"),
-        "burstiness": burstiness(F.col("requests"), span, _seconds()),
-        "rps": F.col("requests") / _seconds(),
+        "burstiness": burstiness(F.col("requests"), span, window_seconds()),
+        "rps": F.col("requests") / window_seconds(),
     }).drop("_n_log_n")
 
 
@@ -247,7 +247,7 @@ def concentration(df: DataFrame, window: str = "1 minute") -> DataFrame:
     of a window: its rows are the distinct counts.
     """
     keys = ["window_start", "window_end"]
-    routes = _bounds(df.groupBy(F.window("event_time", window).alias("window"), "ip", "endpoint").agg(F.count("*").alias("n")))
+    routes = bounds(df.groupBy(F.window("event_time", window).alias("window"), "ip", "endpoint").agg(F.count("*").alias("n")))
     per_ip = routes.groupBy(*keys, "ip").agg(F.sum("n").alias("n"))
     histogram = per_ip.groupBy(*keys, "n").agg(F.count("*").alias("ips"))
     w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
@@ -270,7 +270,7 @@ def global_with_concentration(df: DataFrame, window: str = "1 minute", exact: bo
 
 def geo_metrics(df: DataFrame, window: str = "5 minutes", exact: bool = False, cities: int = 4) -> DataFrame:
     """Window x country; an exact batch also lists the busiest cities."""
-    grouped = _bounds(
+    grouped = bounds(
         df.groupBy(F.window("event_time", window).alias("window"), "country").agg(
             F.count("*").alias("requests"),
             distinct("ip", exact).alias("unique_ips"),
@@ -288,7 +288,7 @@ def geo_metrics(df: DataFrame, window: str = "5 minutes", exact: bool = False, c
     if not exact:
         return grouped
     keys = ["window_start", "window_end", "country"]
-    counts = _bounds(df.groupBy(F.window("event_time", window).alias("window"), "country", "city").agg(F.count("*").alias("n")))
+    counts = bounds(df.groupBy(F.window("event_time", window).alias("window"), "country", "city").agg(F.count("*").alias("n")))
     ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "city"))).filter(F.col("_rank") <= cities)
     tops = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "city", "n"))), lambda x: F.struct(x["city"].alias("city"), x["n"].alias("requests"))).alias("top_cities"))
     return grouped.join(tops, keys)
@@ -305,7 +305,7 @@ def service_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False
         distinct("host", exact).alias("unique_hosts"),
         label() if exact else stream_label(),
     )
-    return _bounds(grouped).withColumns({"error_rate": share("errors"), "server_error_rate": share("errors_5xx"), "rps": F.col("requests") / _seconds()})
+    return bounds(grouped).withColumns({"error_rate": share("errors"), "server_error_rate": share("errors_5xx"), "rps": F.col("requests") / window_seconds()})
 
 
 def session_metrics(df: DataFrame, gap: str = "15 minutes") -> DataFrame:

@@ -30,6 +30,8 @@ from tidegauge.operators.enrich import enrich
 from tidegauge.operators.sliding import with_past
 from tidegauge.plans import detection_sql as DS
 from tidegauge.sources.events import ACCESS_LOG_SQL, access_log, load_metrics, parse_events, prepare_events, read_events_stream, sample_events
+from tidegauge.streaming import chained as C
+from tidegauge.streaming import progress as P
 from tidegauge.streaming import topology as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,6 +229,33 @@ def _streamed(spark, d):
     return spark.read.schema(events.schema).parquet(f"{folder}/out")
 
 
+def _live(spark, d, family: Callable[[DataFrame], DataFrame], name: str | None = None) -> DataFrame:
+    """What a family emits for the whole log as a stream; an event thirty days after the last closes all its windows."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+    rows = access_log(spark, d)
+    closing = rows.agg((F.max("event_time") + F.expr("interval 30 days")).alias("event_time")).select("event_time", F.lit("closing").alias("event_id"), F.lit(200).alias("status"), F.lit("/").alias("endpoint"), F.lit("closing").alias("session_id"))
+    lines = rows.unionByName(closing, allowMissingColumns=True).withColumn("timestamp", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).drop("event_time")
+    lines.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/in")
+    out = family(ST.live_events(read_events_stream(spark, "text", {"path": f"{folder}/in"})))
+    writer = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True)
+    (writer.queryName(name) if name else writer).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def _observed(spark, d) -> DataFrame:
+    """Progress of a stream over the whole log, kept by the listener and read back."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='stream-')}/progress-{uuid.uuid4().hex}"
+    name = f"observed-{uuid.uuid4().hex}"
+    kept = P.ProgressLog(spark, folder, names={name})
+    spark.streams.addListener(kept)
+    try:
+        _live(spark, d, lambda e: P.observed(e, anomalies=F.col("is_error")).select("event_id"), name)
+        kept.wait(name, 120)
+    finally:
+        spark.streams.removeListener(kept)
+    return P.read_progress(spark, folder)
+
+
 Q("a1_read_events_stream", "event_id:s event_time:t status:l endpoint:s", _streamed, "e", "select event_id, event_time, status, endpoint from e")
 Q("a2_parse_events", "event_id:s event_time:t status:l endpoint:s", lambda s, d: _parsed(s, d), "e", "select event_id, event_time, status, endpoint from e where status <> 304")
 
@@ -285,14 +314,22 @@ Q("c3_status_metrics", "window_start:t status_class:s requests:l avg_response_ti
   join (select window_start, status_class, string_agg(status || ':' || n, ',' order by cast(status as varchar)) as codes from (select date_trunc('hour', event_time) as window_start, status_class, status, count(*) as n from e group by 1, 2, 3) group by 1, 2) x on x.window_start = s.window_start and x.status_class = s.status_class
   join (select window_start, status_class, string_agg(endpoint || ':' || n, ',' order by r) as top from (select *, row_number() over (partition by window_start, status_class order by n desc, endpoint) as r from (select date_trunc('hour', event_time) as window_start, status_class, endpoint, count(*) as n from e group by 1, 2, 3)) where r <= 5 group by 1, 2) y on y.window_start = s.window_start and y.status_class = s.status_class""")
 Q("c3_status_from_global", "window_start:t status_class:s requests:l", lambda s, d: M.status_classes_of(g(s, d)), "s", "select * from s")
+Q("c3_status_live", "window_start:t status_class:s requests:l avg_response_time:d codes:l top:s", lambda s, d: _live(s, d, lambda e: C.status_metrics(e, HOUR)).withColumn("codes", F.size("codes")).withColumn("top", F.concat_ws(",", F.transform("top_endpoints", lambda x: F.concat_ws(":", x["endpoint"], x["requests"])))), "s e", """
+  select s.*, codes, top from s
+  join (select date_trunc('hour', event_time) as window_start, status_class, count(distinct status) as codes from e group by 1, 2) x on x.window_start = s.window_start and x.status_class = s.status_class
+  join (select window_start, status_class, string_agg(endpoint || ':' || n, ',' order by r) as top from (select *, row_number() over (partition by window_start, status_class order by n desc, endpoint) as r from (select date_trunc('hour', event_time) as window_start, status_class, endpoint, count(*) as n from e group by 1, 2, 3)) where r <= 5 group by 1, 2) y on y.window_start = s.window_start and y.status_class = s.status_class""")
 Q("c4_endpoint_metrics", "window_start:t endpoint:s method:s requests:l errors:l errors_5xx:l p50_response_time:d p95_response_time:d p99_response_time:d apdex:d unique_ips:l error_rate:d server_error_rate:d", n, "n", "select * from n")
 Q("c5_ip_endpoint_metrics", "window_start:t ip:s endpoint:s requests:l errors:l not_found:l auth_fails:l bytes_sent:l avg_response_time:d", lambda s, d: M.ip_endpoint_metrics(log(s, d), DAY), "ie", "select * from ie")
 Q("c6_ip_metrics", "window_start:t ip:s requests:l errors:l not_found:l auth_fail_count:l bytes_sent:l avg_response_time:d unique_paths:l unique_user_agents:l unique_sessions:l", i, "i", "select * from i")
 Q("c6_ip_entropy", "window_start:t ip:s path_entropy:d", i, "ie", "select window_start, ip, case when count(*) < 2 then 0 else -sum(requests / total * log2(requests / total)) / log2(count(*)) end as path_entropy from (select *, sum(requests) over (partition by window_start, ip) as total from ie) group by 1, 2")
 Q("c7_concentration", "window_start:t n_ips:l ip_gini:d top_ip:s top_ip_share:d path_entropy:d", lambda s, d: M.concentration(log(s, d), HOUR), "k", "select * from k")
+_PATHS = "select window_start, ip, string_agg(endpoint, ',' order by r) as paths from (select *, row_number() over (partition by window_start, ip order by requests desc, endpoint) as r from ie) where r <= 10 group by 1, 2"
+Q("c6_ip_live", "window_start:t ip:s requests:l errors:l not_found:l auth_fail_count:l bytes_sent:l avg_response_time:d unique_paths:l unique_user_agents:l unique_sessions:l path_entropy:d burstiness:d paths:s", lambda s, d: _live(s, d, lambda e: C.ip_metrics(e, DAY)).withColumn("paths", F.concat_ws(",", "sample_paths")), "ix", f"select ix.*, paths from ix join ({_PATHS}) p on p.window_start = ix.window_start and p.ip = ix.ip")
+Q("c7_concentration_live", "window_start:t n_ips:l ip_gini:d top_ip:s top_ip_share:d path_entropy:d", lambda s, d: _live(s, d, lambda e: C.concentration(e, HOUR)), "k", "select * from k")
 Q("c8_geo_metrics", "window_start:t country:s requests:l unique_ips:l unique_sessions:l error_rate:d avg_response_time:d p95_response_time:d bytes_sent:l country_name:s lat:d lon:d", c, "c", "select * from c")
 Q("c9_service_metrics", "window_start:t service:s requests:l errors:l errors_5xx:l p95_response_time:d p99_response_time:d apdex:d unique_hosts:l error_rate:d server_error_rate:d", v, "v", "select * from v")
 Q("c10_session_metrics", "session_id:s session_start:t session_end:t requests:l error_count:l bytes_sent:l entry_endpoint:s exit_endpoint:s converted:b duration_seconds:d is_bot:b", ss, "ss", "select * from ss")
+Q("c10_sessions_live", "session_id:s session_start:t session_end:t requests:l error_count:l bytes_sent:l entry_endpoint:s exit_endpoint:s converted:b duration_seconds:d is_bot:b", lambda s, d: _live(s, d, lambda e: M.session_metrics(e, GAP)), "ss", "select * from ss")
 _LABELS = "case status when 404 then 'endpoint_scan' when 401 then 'credential_stuffing' when 500 then 'error_spike' end"
 Q("c12_dominant_label", "window_start:t dominant_attack_label:s", lambda s, d: M.global_metrics(log(s, d).withColumn("attack_label", F.expr(_LABELS)), DAY, exact=True), "e", f"""select w as window_start, label as dominant_attack_label from (select distinct date_trunc('day', event_time) as w from e) left join
   (select * from (select *, row_number() over (partition by x order by n desc, label) as r from (select date_trunc('day', event_time) as x, {_LABELS} as label, count(*) as n from e group by 1, 2) where label is not null) where r = 1) on x = w""")
@@ -582,6 +619,7 @@ def _batches(s, d):
 
 
 Q("h3_batch_rollup", "query:s batches:l rows:l anomalies:l avg_duration_ms:d max_duration_ms:d", lambda s, d: H.batch_rollup(_batches(s, d), NOW, 14_400)[0], "v", f"select service as query, count(*) as batches, sum(requests) as rows, sum(errors) as anomalies, round(avg(p95_response_time), 1) as avg_duration_ms, max(p95_response_time) as max_duration_ms from v where window_start >= timestamp '{NOW}' - interval 10 days group by 1")
+Q("h3_live_batches", "rows:l anomalies:l timed:b", lambda s, d: P.batches(_observed(s, d)).agg(F.sum("rows").alias("rows"), F.sum("anomalies").alias("anomalies"), F.bool_and(F.col("duration_ms") > 0).alias("timed")), "e", "select count(*) + 1 as rows, count(*) filter (is_error) as anomalies, true as timed from e")
 Q("h4_freshness", "newest:t age_seconds:l status:s", lambda s, d: H.freshness(g(s, d), "2024-02-01 00:00:00"), "g", "select newest, age_seconds, case when age_seconds < 180 then 'healthy' when age_seconds < 600 then 'degraded' else 'stalled' end as status from (select max(window_start) as newest, 1706745600 - epoch(max(window_start)) as age_seconds from g)")
 Q("h5_throughput", "requests:l windows:l rps:d", lambda s, d: H.throughput(g(s, d), NOW, 1440), "g", f"select sum(requests) as requests, count(*) as windows, sum(requests) / 86400.0 as rps from g where window_start > timestamp '{NOW}' - interval 1 day and window_start <= timestamp '{NOW}'")
 Q("h6_component_status", "component:s status:s", lambda s, d: H.component_status(v(s, d).select(F.col("service").alias("component"), F.col("window_start").alias("ts"), F.when(F.col("errors") > 0, "degraded").otherwise("healthy").alias("status")), "2024-01-31 00:00:00", 7200)[0], "v", "select service as component, case when 1706659200 - epoch(max(window_start)) > 7200 then 'down' else arg_max(case when errors > 0 then 'degraded' else 'healthy' end, window_start) end as status from v group by 1")

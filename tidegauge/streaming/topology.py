@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegauge.operators import metrics as M
 from tidegauge.operators.enrich import enrich
 from tidegauge.sources.events import parse_events
+from tidegauge.streaming import chained as C
 
 WATERMARK = "2 minutes"
 TECHNICAL = ("kafka_ts", "kafka_partition", "kafka_offset", "status_class", "is_client_error", "apdex_weight", "ingest_latency_ms", "is_slow")
@@ -134,14 +135,22 @@ def apply_retention(df: DataFrame, table: str, now) -> DataFrame:
     return df.filter(young | (F.col("status") != "resolved")) if table == "incidents" else df.filter(young)
 
 
-def families(events: DataFrame, metric_window: str = "1 minute", geo_window: str = "5 minutes") -> dict[str, DataFrame]:
-    """The streaming forms of the metric families: one aggregation each."""
+#: Families that are emitted once, when their window or session is closed: update mode doesn't take them.
+APPEND_ONLY = ("metrics_ip", "metrics_status", "concentration", "sessions")
+
+
+def families(events: DataFrame, metric_window: str = "1 minute", geo_window: str = "5 minutes", gap: str = "15 minutes") -> dict[str, DataFrame]:
+    """The streaming forms of the metric families: one aggregation each, or a chain of them (``APPEND_ONLY``)."""
     return {
         "metrics_global": M.global_metrics(events, metric_window),
         "metrics_endpoint": M.endpoint_metrics(events, metric_window),
         "ip_endpoint": M.ip_endpoint_metrics(events, metric_window),
         "metrics_geo": M.geo_metrics(events, geo_window),
         "metrics_service": M.service_metrics(events, metric_window),
+        "metrics_ip": C.ip_metrics(events, metric_window),
+        "metrics_status": C.status_metrics(events, metric_window),
+        "concentration": C.concentration(events, metric_window),
+        "sessions": M.session_metrics(events, gap),
     }
 
 
