@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.sketches import sketch_columns
+
 #: Codes and methods that a stream counts.
 STATUS_CODES = (200, 201, 204, 206, 301, 302, 304, 400, 401, 403, 404, 409, 422, 429, 500, 502, 503, 504)
 METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
@@ -63,8 +65,11 @@ def window_seconds() -> Column:
     return (F.unix_timestamp("window_end") - F.unix_timestamp("window_start")).cast("double")
 
 
-def global_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False) -> DataFrame:
-    """One row a window: volume, errors, bytes, latency, apdex, distinct counts, and the ratios of them."""
+def global_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False, sketches: bool = False) -> DataFrame:
+    """One row a window: volume, errors, bytes, latency, apdex, distinct counts, and the ratios of them.
+
+    ``sketches``: rows keep what percentiles and distinct counts of ranges are merged from.
+    """
     codes = [F.count_if(F.col("status") == c).cast("bigint").alias(f"status_{c}") for c in STATUS_CODES]
     methods = [F.count_if(F.col("method") == m).cast("bigint").alias(f"method_{m}") for m in METHODS]
     grouped = df.groupBy(F.window("event_time", window).alias("window")).agg(
@@ -86,6 +91,7 @@ def global_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False)
         label() if exact else stream_label(),
         *codes,
         *methods,
+        *(sketch_columns() if sketches else []),
     )
     out = bounds(grouped)
 
@@ -134,7 +140,7 @@ def status_classes_of(global_rows: DataFrame) -> DataFrame:
     return keyed.groupBy("window_start", "window_end", "status_class").agg(F.sum("n").alias("requests"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("codes"))
 
 
-def endpoint_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False) -> DataFrame:
+def endpoint_metrics(df: DataFrame, window: str = "1 minute", exact: bool = False, sketches: bool = False) -> DataFrame:
     """Window x endpoint x method; a stream groups by service too, a batch names the most frequent one."""
     keys = ["endpoint", "method"] + ([] if exact else ["service"])
     service = [F.mode("service", deterministic=True).alias("service")] if exact else []
@@ -152,6 +158,7 @@ def endpoint_metrics(df: DataFrame, window: str = "1 minute", exact: bool = Fals
         distinct("session_id", exact).alias("unique_sessions"),
         total("is_cache_hit").alias("cache_hits"),
         label() if exact else stream_label(),
+        *(sketch_columns() if sketches else []),
     )
     return bounds(grouped).withColumns({
         "errors": F.col("errors_4xx") + F.col("errors_5xx"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import severity_rank
 from tidegauge.operators.series import bucket, kpi_deltas, kpi_totals, timeseries
+from tidegauge.operators.sketches import range_metric
 
 COUNT_CAP = 200_000
 SORTS = {"timestamp": "event_time", "latency": "response_time_ms", "status": "status", "bytes": "bytes_sent"}
@@ -52,18 +53,22 @@ def overview(global_rows: DataFrame, anomalies: DataFrame, incidents: DataFrame,
 
 
 def endpoint_table(rows: DataFrame, sort: str = "requests", limit: int | None = 50, service: str | None = None, search: str | None = None) -> DataFrame:
-    """Endpoints of a range: sums, mean percentiles, share of traffic and latency budget."""
+    """Endpoints of a range: sums, percentiles, share of traffic and latency budget.
+
+    Percentiles and distinct addresses are those of the range where rows keep sketches, else the mean and
+    the largest of the windows.
+    """
     rows = rows.filter(F.col("service") == service) if service else rows
     rows = rows.filter(F.lower("endpoint").contains(search.lower())) if search else rows
     grouped = rows.groupBy("endpoint", "method").agg(
         F.sum("requests").alias("requests"),
         F.sum("errors").alias("errors"),
         F.sum("errors_5xx").alias("errors_5xx"),
-        *[F.round(F.avg(f"p{p}_response_time"), 2).alias(f"p{p}_response_time") for p in (50, 95, 99)],
+        *[F.round(F.avg(c) if range_metric(rows, c) is None else range_metric(rows, c), 2).alias(c) for c in ("p50_response_time", "p95_response_time", "p99_response_time")],
         F.round(F.avg("avg_response_time"), 2).alias("avg_response_time"),
         F.round(F.avg("apdex"), 4).alias("apdex"),
         F.sum("bytes_sent").alias("bytes_sent"),
-        F.max("unique_ips").alias("unique_ips"),
+        (F.max("unique_ips") if range_metric(rows, "unique_ips") is None else range_metric(rows, "unique_ips")).cast("bigint").alias("unique_ips"),
     )
     total = grouped.agg(F.sum("requests").alias("_all"))  # one row
     out = grouped.crossJoin(F.broadcast(total)).withColumns({

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import severity_rank
+from tidegauge.operators.sketches import range_metric
 
 #: How each metric is made of its windows.
 METRICS = {
@@ -44,11 +45,18 @@ def metric(name: str, seconds: int) -> Column:
     return F.coalesce(F.avg(source), F.lit(0.0)).alias(name)
 
 
+def _or(merged: Column | None, mean: Column) -> Column:
+    return mean if merged is None else F.coalesce(merged, F.lit(0.0))
+
+
 def timeseries(df: DataFrame, metrics: list[str] | None = None, bucket_s: int | str = 60) -> DataFrame:
-    """One wide row a bucket; "auto" picks the bucket from the span of the rows."""
+    """One wide row a bucket; "auto" picks the bucket from the span of the rows.
+
+    Percentiles and distinct counts are those of the bucket where rows keep sketches, else means over its windows.
+    """
     seconds = bucket_seconds(_span(df)) if bucket_s == "auto" else int(bucket_s)
     metrics = [m for m in (metrics or list(METRICS)) if m in METRICS and (METRICS[m][0] != "avg" or m in df.columns)]
-    return df.groupBy(bucket(seconds).alias("t")).agg(*[F.round(metric(m, seconds), 4).alias(m) for m in metrics])
+    return df.groupBy(bucket(seconds).alias("t")).agg(*[F.round(_or(range_metric(df, m), metric(m, seconds)), 4).alias(m) for m in metrics])
 
 
 def drop_open_bucket(df: DataFrame, seconds: int, now, time: str = "t") -> DataFrame:
@@ -56,14 +64,14 @@ def drop_open_bucket(df: DataFrame, seconds: int, now, time: str = "t") -> DataF
     return df.filter(F.unix_timestamp(time) + seconds <= F.unix_timestamp(F.lit(now).cast("timestamp")))
 
 
-def _kpis(seconds: Column, pick: Column | None = None) -> dict[str, Column]:
+def _kpis(df: DataFrame, seconds: Column, pick: Column | None = None) -> dict[str, Column]:
     def of(c: str) -> Column:
         return F.when(pick, F.col(c)) if pick is not None else F.col(c)
 
     requests, errors = F.coalesce(F.sum(of("requests")), F.lit(0)), F.coalesce(F.sum(of("errors_4xx")) + F.sum(of("errors_5xx")), F.lit(0))
     server = F.coalesce(F.sum(of("errors_5xx")), F.lit(0))
     rate = lambda x: F.coalesce(F.try_divide(x, requests), F.lit(0.0))
-    means = {f"{m}": F.round(F.coalesce(F.avg(of(m)), F.lit(0.0)), d) for m, d in (("p50_response_time", 1), ("p95_response_time", 1), ("p99_response_time", 1), ("avg_response_time", 1), ("unique_ips", 0), ("unique_sessions", 0), ("bot_ratio", 4), ("cache_hit_rate", 4))}
+    means = {m: F.round(_or(range_metric(df, m, pick), F.coalesce(F.avg(of(m)), F.lit(0.0))), d) for m, d in (("p50_response_time", 1), ("p95_response_time", 1), ("p99_response_time", 1), ("avg_response_time", 1), ("unique_ips", 0), ("unique_sessions", 0), ("bot_ratio", 4), ("cache_hit_rate", 4))}
     return {
         "requests": requests, "rps": F.round(requests / seconds, 4), "peak_rps": F.round(F.coalesce(F.max(of("rps")), F.lit(0.0)), 4), "errors": errors,
         "errors_4xx": F.coalesce(F.sum(of("errors_4xx")), F.lit(0)), "errors_5xx": server, "error_rate": F.round(rate(errors), 5), "server_error_rate": F.round(rate(server), 5),
@@ -73,10 +81,10 @@ def _kpis(seconds: Column, pick: Column | None = None) -> dict[str, Column]:
 
 
 def kpi_totals(df: DataFrame, start, end) -> DataFrame:
-    """One row of totals over a closed range."""
+    """One row of totals over a closed range; percentiles and distinct counts as in ``timeseries``."""
     low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     seconds = F.greatest(F.unix_timestamp(high) - F.unix_timestamp(low), F.lit(1))
-    return df.filter(F.col("window_start").between(low, high)).agg(*[c.alias(n) for n, c in _kpis(seconds).items()])
+    return df.filter(F.col("window_start").between(low, high)).agg(*[c.alias(n) for n, c in _kpis(df, seconds).items()])
 
 
 def kpi_deltas(df: DataFrame, start, end, metrics=("requests", "errors", "error_rate", "p95_response_time", "apdex", "unique_ips")) -> DataFrame:
@@ -85,7 +93,7 @@ def kpi_deltas(df: DataFrame, start, end, metrics=("requests", "errors", "error_
     length = F.unix_timestamp(high) - F.unix_timestamp(low)
     epoch = F.unix_timestamp("window_start")
     rows = df.filter(epoch.between(F.unix_timestamp(low) - length, F.unix_timestamp(high))).withColumn("_now", F.col("window_start") >= low)
-    now, before = _kpis(length, F.col("_now")), _kpis(length, ~F.col("_now"))
+    now, before = _kpis(df, length, F.col("_now")), _kpis(df, length, ~F.col("_now"))
     both = rows.agg(*[now[m].cast("double").alias(f"n_{m}") for m in metrics], *[before[m].cast("double").alias(f"b_{m}") for m in metrics])
     return both.select(*[F.round(F.when(F.col(f"b_{m}") != 0, (F.col(f"n_{m}") - F.col(f"b_{m}")) / F.col(f"b_{m}") * 100), 2).alias(f"{m}_delta") for m in metrics])
 

@@ -26,6 +26,7 @@ from tidegauge.operators import learning as L
 from tidegauge.operators import metrics as M
 from tidegauge.operators import reports as R
 from tidegauge.operators import series as X
+from tidegauge.operators import sketches as K
 from tidegauge.operators.enrich import enrich
 from tidegauge.operators.sliding import with_past
 from tidegauge.plans import detection_sql as DS
@@ -364,6 +365,28 @@ Q("c16_burstiness", "window_start:t ip:s burstiness:d", i, "e", "select date_tru
 
 Q("d1_timeseries", "t:t requests:d rps:d error_rate:d server_error_rate:d errors_4xx:d errors_5xx:d p95_response_time:d avg_response_time:d bytes_sent:d apdex:d unique_ips:d bot_ratio:d cache_hit_rate:d", lambda s, d: X.timeseries(g(s, d), bucket_s=21_600), "g", """select time_bucket(interval 6 hours, window_start) as t, sum(requests) as requests, sum(requests) / 21600.0 as rps, sum(errors_4xx + errors_5xx) / sum(requests) as error_rate, sum(errors_5xx) / sum(requests) as server_error_rate,
   sum(errors_4xx) as errors_4xx, sum(errors_5xx) as errors_5xx, avg(p95_response_time) as p95_response_time, avg(avg_response_time) as avg_response_time, sum(bytes_sent) as bytes_sent, avg(apdex) as apdex, avg(unique_ips) as unique_ips, avg(bot_ratio) as bot_ratio, avg(cache_hit_rate) as cache_hit_rate from g group by 1""")
+
+
+def _within(estimates: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's requests; whether the ranks of its merged percentiles and its distinct counts are within the stated bounds."""
+    points = [p for p in K.POINTS if f"p{round(p * 100)}_response_time" in estimates.columns]
+    ranks = K.rank_errors(estimates, events, keys, points)
+    known = [n for n in K.IDENTITIES if n in estimates.columns]
+    exact = events.groupBy(*keys).agg(*[F.count_distinct(K.IDENTITIES[n]).alias(f"_{n}") for n in known])
+    joined = estimates.join(ranks, keys).join(exact, keys)
+    # values are rounded to two digits or more: a rank may move by one event for each value in that step
+    ranks_hold = reduce(lambda a, b: a & b, [F.col(f"p{round(p * 100)}_rank_error") <= K.RANK_ERROR + 2 / F.col("requests") for p in points])
+    counts_hold = reduce(lambda a, b: a & b, [F.abs(F.col(n) - F.col(f"_{n}")) <= F.greatest(F.lit(1), 3 * K.DISTINCT_ERROR * F.col(f"_{n}")) for n in known])
+    return joined.select(*keys, F.col("requests").cast("bigint").alias("requests"), ranks_hold.alias("ranks_hold"), counts_hold.alias("counts_hold"))
+
+
+def _sketched_rows(spark, d) -> DataFrame:
+    return M.global_metrics(log(spark, d), HOUR, sketches=True)
+
+
+Q("d1_range_percentiles", "t:t requests:l ranks_hold:b counts_hold:b", lambda s, d: _within(X.timeseries(_sketched_rows(s, d), bucket_s=21_600), log(s, d).withColumn("t", X.bucket(21_600, "event_time")), ["t"]), "e", "select time_bucket(interval 6 hours, event_time) as t, count(*) as requests, true as ranks_hold, true as counts_hold from e group by 1")
+Q("d3_range_totals", "requests:l ranks_hold:b counts_hold:b", lambda s, d: _within(K.range_totals(K.sketched_metrics(log(s, d), HOUR), START, END).withColumn("all", F.lit(1)), log(s, d).filter(F.date_trunc("hour", "event_time").between(START, END)).withColumn("all", F.lit(1)), ["all"]), "e", f"select count(*) as requests, true as ranks_hold, true as counts_hold from e where date_trunc('hour', event_time) between timestamp '{START}' and timestamp '{END}'")
+Q("d14_range_percentiles", "endpoint:s method:s requests:l ranks_hold:b counts_hold:b", lambda s, d: _within(R.endpoint_table(M.endpoint_metrics(log(s, d), DAY, sketches=True), limit=None), log(s, d), ["endpoint", "method"]), "e", "select endpoint, method, count(*) as requests, true as ranks_hold, true as counts_hold from e group by 1, 2")
 Q("d2_auto_timeseries", "t:t requests:d", lambda s, d: X.timeseries(g(s, d), ["requests"], "auto"), "g", "select time_bucket(interval 2 hours, window_start) as t, sum(requests) as requests from g group by 1")
 _KPI = "sum(requests) as requests, sum(requests) / 864000.0 as rps, max(rps) as peak_rps, sum(errors_4xx + errors_5xx) as errors, sum(errors_4xx + errors_5xx) / sum(requests) as error_rate, 1 - sum(errors_5xx) / sum(requests) as availability, avg(p95_response_time) as p95, avg(apdex) as apdex, count(*) as windows"
 Q("d3_kpi_totals", "requests:l rps:d peak_rps:d errors:l error_rate:d availability:d apdex:d windows:l", lambda s, d: X.kpi_totals(g(s, d), START, END), "g", f"select {_KPI} from g where window_start between timestamp '{START}' and timestamp '{END}'")
