@@ -11,7 +11,11 @@ on.  Then prefixes start at most twice as many turns before their last one, so t
 with the turns and not with their square, and a long conversation goes out in segments as it is
 read.  Before turns are left out, the last turn's output is rendered with and without them; where
 the two differ, whole prefixes go on (or, if turns have been left out before, ``ValueError`` says
-that the context is too short).  Without a context every prefix is whole, and a conversation's
+that the context is too short).  That test sees the turn at hand only.  So the operator also
+renders the whole conversation each time that its turns have doubled, and when its first segment (a
+million characters) or its end goes out, and raises ``ValueError`` where that isn't what was put
+together: three whole renderings' worth of work at most, still linear.  Segments after the first
+rely on the declared context and the test of the turn at hand.  Without a context every prefix is whole, and a conversation's
 messages and its output are held by one task.
 
 Templates here mark turns with control strings and escape those strings, and the escape character,
@@ -81,18 +85,23 @@ _TURN = re.compile(r"<\|turn\|>(.*?)<\|body\|>(.*?)<\|end\|>", re.S)
 class Rendering:
     """One conversation as it is rendered, turn by turn."""
 
-    def __init__(self, template: Template, context: int | None):
+    def __init__(self, template: Template, context: int | None, check: bool = False):
         self._template, self._context = template, context
         self._window: list[Message] = []
         self._before = ""  # the output of the window
         self._parts: list[str] = []  # the output since ``start``
         self._length = 0
+        # the whole conversation, to check the output against, until a first part has gone out
+        self._all: list[Message] | None = [] if check and context is not None else None
+        self._due = 4 * max(1, context or 0)
         self.start, self.turns = 0, 0  # what has gone out: characters; turns so far
         self.spans: list[tuple[int, int]] = []  # of turns since ``start``, from there
         self.rewrites: list[int] = []
 
     def add(self, message: Message) -> None:
         """Renders the prefix that ends with ``message`` and compares it with the one before."""
+        if self._all is not None:
+            self._all.append(message)
         now = self._template([*self._window, message])
         at = len(self._before)
         if not now.startswith(self._before):
@@ -117,6 +126,14 @@ class Rendering:
         self.turns += 1
         if self._context is not None and len(self._window) >= 2 * max(1, self._context):
             self._leave_out(added)
+        if self.turns >= self._due:
+            self._due *= 2
+            self._check()
+
+    def _check(self) -> None:
+        """Whether the template says of the whole conversation what was put together from its windows."""
+        if self._all is not None and not self.whole_prefixes() and self._template(self._all) != "".join(self._parts):
+            raise ValueError("the template looks further back than its context")
 
     def _leave_out(self, added: str) -> None:
         kept = self._window[-max(1, self._context) :]
@@ -137,15 +154,17 @@ class Rendering:
 
     def take(self) -> str:
         """The output since ``start``, which moves on; spans begin anew."""
+        self._check()
+        self._all = None
         text = "".join(self._parts)
         self.start += self._length
         self._parts, self._length, self.spans, self.rewrites = [], 0, [], []
         return text
 
 
-def render(messages: list[Message], template: Template, context: int | None = None) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The whole output, each turn's span in it, and the turns that rewrote earlier output."""
-    made = Rendering(template, context)
+def render(messages: list[Message], template: Template, context: int | None = None, check: bool = False) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """The whole output, each turn's span in it, and the turns that rewrote earlier output; ``check``: as the operator does."""
+    made = Rendering(template, context, check)
     for message in messages:
         made.add(message)
     spans, rewrites = made.spans, made.rewrites
@@ -197,7 +216,7 @@ def format_conversations(df: DataFrame, template: str | tuple[Template, int | No
                     if held is not None:
                         size += held.waiting()
                         out.append(row(key, number, held))
-                    held, key, number = Rendering(made, context), own, 0
+                    held, key, number = Rendering(made, context, check=True), own, 0
                 held.add((said, what))
                 if held.waiting() >= segment and not held.whole_prefixes():
                     size += held.waiting()
