@@ -279,6 +279,20 @@ def _merged(spark, d):
     return ST.merge(rows, updates, ["window_start", "status_class"], "version").fillna(0, ["extra"])
 
 
+def _upserted(spark, d):
+    """The table that ``upsert`` leaves in the shared folder after the rows, their updates, and the updates once more."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/upserted-{uuid.uuid4().hex}"
+    rows = M.status_metrics(log(spark, d), HOUR).select("window_start", "status_class", "requests")
+    late = rows.filter(f"status_class = '4xx' and window_start >= '{START}'").select("window_start", "status_class", (F.col("requests") + 1).alias("requests"), F.lit(7).alias("extra"))
+    for part in (rows.withColumn("extra", F.lit(0)), late, late):
+        ST.upsert(spark, path, part, ["window_start", "status_class"])
+    return spark.read.parquet(path)
+
+
+Q("a4_upsert", "window_start:t status_class:s requests:l extra:l", _upserted, "s", f"select window_start, status_class, case when status_class = '4xx' and window_start >= timestamp '{START}' then requests + 1 else requests end as requests, case when status_class = '4xx' and window_start >= timestamp '{START}' then 7 else 0 end as extra from s")
 Q("a5_raw_events", "event_id:s event_time:t status:l", lambda s, d: ST.raw_events(log(s, d).union(log(s, d))), "e", "select event_id, event_time, status from e")
 Q("a6_enriched_payload", "key:s status:l endpoint:s", lambda s, d: ST.enriched_payload(log(s, d)).select("key", F.get_json_object("value", "$.status").cast("int").alias("status"), F.get_json_object("value", "$.endpoint").alias("endpoint")), "e", "select ip as key, status, endpoint from e")
 Q("a7_anomaly_payload", "severity:s n:l", lambda s, d: ST.anomaly_payload(simple_anomalies(s, d))[1], "an", "select severity, count(*) as n from an group by 1")
@@ -461,6 +475,27 @@ def _incident_metrics(spark, d):
     return R.incident_detail(found, simple_anomalies(spark, d), alerts(spark, d), g(spark, d), top[0] if top else "")["metrics"]
 
 
+# tables of the reports that stand beside those above
+
+_RANGE = f"window_start between timestamp '{START}' and timestamp '{END}'"
+
+
+def _overview(s, d):
+    return R.overview(g(s, d), simple_anomalies(s, d), incidents(s, d), alerts(s, d), START, END)
+
+
+Q("d13_overview_series", "t:t requests:d error_rate:d p95_response_time:d", lambda s, d: _overview(s, d)["series"], "g", f"select time_bucket(interval 30 minutes, window_start) as t, sum(requests) as requests, sum(errors_4xx + errors_5xx) / sum(requests) as error_rate, avg(p95_response_time) as p95_response_time from g where {_RANGE} group by 1")
+Q("d16_endpoint_summary", "endpoint:s method:s requests:l errors:l apdex:d", lambda s, d: R.endpoint_detail(n(s, d), simple_anomalies(s, d), log(s, d), "/api/v1/search")["summary"], "n", "select endpoint, method, sum(requests) as requests, sum(errors) as errors, round(avg(apdex), 4) as apdex from n where endpoint = '/api/v1/search' group by 1, 2")
+Q("d18_session_page", "session_id:s session_start:t requests:l", lambda s, d: R.session_analytics(ss(s, d), 50, 20)["page"], "ss", "select session_id, session_start, requests from ss order by ss.session_start desc, session_id limit 50 offset 20")
+for _end in ("entry", "exit"):
+    Q(f"d18_session_{_end}", f"{_end}_endpoint:s sessions:l", lambda s, d, e=_end: R.session_analytics(ss(s, d))[e], "ss", f"select {_end}_endpoint, count(*) as sessions from ss group by 1 order by 2 desc, 1 limit 10")
+Q("d24_ip_paths", "endpoint:s windows:l", lambda s, d: R.ip_profile(i(s, d), simple_anomalies(s, d), log(s, d), "10.0.0.5")["paths"], "ie", "select endpoint, count(*) as windows from ie where ip = '10.0.0.5' group by 1 order by 2 desc, 1 limit 15")
+Q("d24_ip_logs", "event_id:s event_time:t", lambda s, d: R.ip_profile(i(s, d), simple_anomalies(s, d), log(s, d), "10.0.0.5")["logs"], "e", "select event_id, event_time from e where ip = '10.0.0.5' order by e.event_time desc, event_id limit 60")
+Q("d25_severe", "severe_ip_anomalies:l", lambda s, d: R.security_summary(simple_anomalies(s, d))["severe"], "an", "select count(*) as severe_ip_anomalies from an where entity_type = 'ip' and severity in ('high', 'critical')")
+Q("d26_anomaly_by_severity", "severity:s n:l", lambda s, d: R.anomaly_summary(simple_anomalies(s, d))["by_severity"], "an", "select severity, count(*) as n from an group by 1")
+Q("d26_anomaly_entities", "entity_type:s entity:s n:l max_score:d", lambda s, d: R.anomaly_summary(simple_anomalies(s, d))["entities"], "an", "select entity_type, entity, count(*) as n, max(score) as max_score from an group by 1, 2 order by 3 desc, 4 desc, 1, 2 limit 12")
+Q("d29_live_incidents", "n:l", lambda s, d: R.live_snapshot(g(s, d), simple_anomalies(s, d), incidents(s, d), NOW, START)["open_incidents"], "co", "select count(distinct incident_id) as n from co")
+Q("d29_live_recent", "window_start:t requests:l", lambda s, d: R.live_snapshot(g(s, d), simple_anomalies(s, d), incidents(s, d), "2024-01-25 12:05:00", START)["recent"], "g", "select window_start, requests from g where window_start between timestamp '2024-01-25 12:00:00' and timestamp '2024-01-25 12:05:00'")
 Q("d29_live_snapshot", "window_start:t requests:l", lambda s, d: R.live_snapshot(g(s, d), simple_anomalies(s, d), incidents(s, d), NOW, START)["latest"], "g", f"select window_start, requests from g where window_start <= timestamp '{NOW}' order by window_start desc limit 1")
 Q("d30_anomaly_bands", "start:t end:t severity:s windows:l", lambda s, d: X.anomaly_bands(simple_anomalies(s, d).filter("entity_type = 'global'")), "an", f"""select min(window_start) as start, max(window_end) as "end", arg_max(severity, r) as severity, count(*) as windows from (
   select *, sum(fresh) over (order by window_start) as run from (select *, {_RANK} as r, case when window_start <= max(window_end) over (order by window_start rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from an where entity_type = 'global')) group by run""")

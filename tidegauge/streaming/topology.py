@@ -88,14 +88,20 @@ def _materialized(df: DataFrame) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], time: str = "window_start", order: str | None = None) -> None:
-    """Idempotent keyed write to a table partitioned by date; only the dates of the updates are rewritten."""
-    dated = updates.withColumn("date", F.to_date(time)).persist()
+    """Idempotent keyed write to a table partitioned by date and hour; only the hours of the updates are read and rewritten.
+
+    ``time`` is one of the keys, so a key never changes its hour.  Rows without a time are kept in a part of their own.
+    """
+    dated = updates.withColumns({"date": F.to_date(time), "hour": F.hour(time)}).persist()
     try:
-        days = [r[0] for r in dated.select("date").distinct().collect()]
-        if not days:
+        touched: dict = {}  # one entry an hour of the batch
+        for day, hour in dated.select("date", "hour").distinct().collect():
+            touched.setdefault(day, []).append(hour)
+        if not touched:
             return
+        parts = [F.col("date").isNull() if day is None else (F.col("date") == F.lit(day)) & F.col("hour").isin(hours) for day, hours in touched.items()]
         try:
-            old = spark.read.parquet(path).filter(F.col("date").isin(days))
+            old = spark.read.parquet(path).filter(reduce(lambda a, b: a | b, parts))
         except Exception as e:  # a table that isn't there yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
@@ -103,7 +109,8 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
         else:
             merged = merge(old, dated, keys, order)
         merged = _materialized(merged)
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        # one file an hour, several of a large one
+        merged.hint("rebalance", "date", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "hour").parquet(path)
     finally:
         dated.unpersist()
 
@@ -172,7 +179,7 @@ def detection_sink(spark: SparkSession, history_path: str, anomalies_path: str,
         low = batch.agg(F.min("window_start")).first()[0]
         rows = spark.read.parquet(history_path)
         span = F.lit(low) - F.expr(f"interval {lookback}")
-        recent = rows.filter((F.col("window_start") >= span) & (F.col("date") >= span.cast("date"))).drop("date")
+        recent = rows.filter((F.col("window_start") >= span) & (F.col("date") >= span.cast("date"))).drop("date", "hour")
         found = analyze(recent).join(batch.select("window_start").distinct(), "window_start", "left_semi")
         upsert(spark, anomalies_path, found, ["anomaly_id"])
 
