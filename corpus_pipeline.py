@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import neardup, packing, quality, secret_scan
-from tidegauge.llm.common import small_batches, table
+from tidegauge.llm.common import checkpoint, small_batches, table
 from tidegauge.llm.queries import quality_model, tokenizer_file
 from tidegauge.session import ship_package
 
@@ -44,9 +44,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     _ready(spark)
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(*COLUMNS), F.lit(1 << 61))
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), stand_in))
-    kept = neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    found = neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    # a key that isn't kept, or stands in several rows, has to be looked up; all other rows stay where they are
+    loose = checkpoint(neardup.thin(found.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 or not kept")))
+    asked, alone = neardup.mapped(keyed, loose, "_key")
     row = F.min(F.struct("text", *[c for c in COLUMNS if c != "text"])).alias("_row")
-    return keyed.join(kept, "_key", "left_semi").groupBy("_key").agg(row).select(*[F.col(f"_row.{c}").alias(c) for c in COLUMNS])
+    repeated = asked.join(loose.filter("kept"), "_key", "left_semi").groupBy("_key").agg(row).select(*[F.col(f"_row.{c}").alias(c) for c in COLUMNS])
+    return alone.unionByName(asked.join(loose, "_key", "left_anti")).select(*COLUMNS).unionByName(repeated)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -551,6 +551,27 @@ def test_scores_are_sparse_dot_products():
 # -- pipeline --------------------------------------------------------------------------------------
 
 
+def test_near_dedup_leaves_other_texts_in_place(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(61)
+    rows = [(i, " ".join(rng.randbytes(6).hex() for _ in range(800))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def shuffled() -> int:
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = shuffled()
+    P.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).write.parquet(f"{tmp_path}/kept")
+    kept = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/kept").collect()]
+    assert sorted(kept) == rows[:300]
+    assert shuffled() - before < sum(len(t) for _, t in rows) / 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

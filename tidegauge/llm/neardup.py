@@ -154,12 +154,13 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*keep, sign(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("_s")).select(*keep, "_s.*")
 
 
-def _mapped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be in ``wanted``: of a map of fixed size that marks the ids' hashes.
+def mapped(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose key may be in ``wanted``, and those whose key isn't: of a map of fixed
+    size that marks the keys' hashes.
 
     It keeps the other texts out of the shuffle of the exact join that follows.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    slot = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
     marks = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     table = np.zeros((MAP_BITS // 32768 + 1, 4096), np.uint8)
     for bucket, bits in marks.collect():
@@ -171,7 +172,8 @@ def _mapped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         at = position.to_numpy()
         return pd.Series((shared.value[bucket.to_numpy() * 4096 + at // 8] >> (at % 8)) & 1 == 1)
 
-    return docs.filter(marked(F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)))
+    asked = marked(F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot))
+    return docs.filter(asked), docs.filter(~asked)
 
 
 def thin(df: DataFrame) -> DataFrame:
@@ -189,7 +191,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     def whole_set(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingles(t).tobytes())
 
-    sets = _mapped(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", whole_set(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("found"))
+    sets = mapped(docs, wanted)[0].join(wanted, "doc_id", "left_semi").select("doc_id", whole_set(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("found"))
     sets = checkpoint(sets)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y")), "b")
 
