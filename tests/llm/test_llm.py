@@ -210,6 +210,23 @@ def test_large_groups_of_copies_keep_their_fingerprints(spark):
     assert imatch.fingerprint("only words that nobody else has", lexicon).startswith("6:") and imatch.fingerprint(" ", lexicon).startswith("text:")
 
 
+def test_terms_are_those_of_whole_words():
+    odd = "Aa\x1cb\x1db\x1e\x1fc\x85d\xa0é\u2003É\u3000\u200bz ΑΣ ß\u2028İ \ud800x\x0bq\x00r"
+    for text in (odd, odd * 3, "", " \n\t", "plain words of ASCII\x1conly", "caf\xe9 without wide blanks\x1eé"):
+        wanted = sorted({imatch.h64(w.encode("utf-8", "surrogatepass")) for w in text.lower().split()})
+        assert sorted(imatch.terms(text).tolist()) == wanted
+
+
+def test_levels_share_their_draws(monkeypatch):
+    drawn = []
+    real = imatch._subset_bits
+    monkeypatch.setattr(imatch, "_subset_bits", lambda t, level, *above: drawn.append(len(t) * (level - sum(above))) or real(t, level, *above))
+    for n in (3, 40, 400, 4000):
+        drawn.clear()
+        made = imatch.fingerprint(" ".join(f"w{i}" for i in range(n)), np.ones(1 << imatch.BITS, bool))
+        assert made.startswith(f"{n}:") and sum(drawn) <= n * (imatch.lower_level(n) + 2)
+
+
 def test_likeness_follows_shared_terms():
     lexicon = np.ones(1 << imatch.BITS, bool)
     rng = random.Random(6)

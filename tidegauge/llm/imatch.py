@@ -33,10 +33,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,18 +56,25 @@ TEXT_SLOTS = 1 << 22
 #: About so many terms of a text fall into a subset, at the lower of its two levels at most four times as many.
 TERMS_A_SUBSET = 1.5
 SEGMENTS = 64
-_MEMO_SIZE = 300_000
+#: Words whose hashes are remembered: those of a document and its neighbours, few enough to stay in a core's cache.
+_MEMO_SIZE = 16_000
+#: ASCII blanks of str.split that bytes.split doesn't know.
+_BLANKS = bytes.maketrans(b"\x1c\x1d\x1e\x1f", b"    ")
+_WIDE_BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-_memo: dict[str, int] = {}
+_memo: dict[bytes, int] = {}
 
 
 def terms(text: str) -> np.ndarray:
-    """Hashes of the distinct terms."""
+    """Hashes (``h64``) of the distinct terms."""
     if len(_memo) > _MEMO_SIZE:
         _memo.clear()
-    words = set(text.lower().split())
-    for w in words.difference(_memo):
-        _memo[w] = h64(w.encode("utf-8", "surrogatepass"))
+    low = text.lower()
+    if not low.isascii() and _WIDE_BLANKS.search(low):
+        low = " ".join(low.split())
+    words = set(low.encode("utf-8", "surrogatepass").translate(_BLANKS).split())
+    new = words.difference(_memo)
+    _memo.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
@@ -128,6 +137,7 @@ def band(frequency: np.ndarray, n: int, least: int = LEAST_DOCS, most: float = M
 
 _SEEDS = np.array([h64(str(i).encode(), 77) | 1 for i in range(64)], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(64, _BASE))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -136,13 +146,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _subset_bits(t: np.ndarray, level: int) -> np.ndarray:
-    """For each term a word whose bit k says whether subset k keeps it: bits are on with chance 2**-level."""
-    kept = np.full(len(t), ~np.uint64(0))
-    for i in range(level):
-        x = (t ^ (t >> np.uint64(29))) * _SEEDS[i]
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        kept &= x ^ (x >> np.uint64(31))
+def _subset_bits(t: np.ndarray, level: int, above: int = 0) -> np.ndarray:
+    """For each term a word whose bit k says whether subset k keeps it: bits are on with chance 2**-level.
+
+    With ``above``, only the draws after the first so many, to be joined to the bits of that level."""
+    kept, high = np.full(len(t), ~np.uint64(0)), t ^ (t >> np.uint64(29))
+    for i in range(above, level):
+        x = high * _SEEDS[i]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(31)
+        kept &= x
     return kept
 
 
@@ -151,6 +165,25 @@ def lower_level(terms_held: int) -> int:
     return 2 * max(0, math.floor(math.log2(terms_held / TERMS_A_SUBSET) / 2))
 
 
+def _subset_hashes(found: np.ndarray, kept: np.ndarray, subsets: int) -> list[str]:
+    """Four hexadecimal digits for each subset of the sorted terms, dashes for an empty one; a text for each column of ``kept``."""
+    columns = kept.shape[1]
+    on = np.unpackbits(kept.astype("<u8").view(np.uint8), axis=1, bitorder="little").reshape(len(found), columns, 64)[:, :, :subsets].reshape(len(found), -1)
+    subset, term = np.divmod(np.flatnonzero(np.ascontiguousarray(on.T).view(bool)), max(1, len(found)))  # by subset, its terms in their order
+    counts = np.bincount(subset, minlength=columns * subsets)
+    starts, some = np.cumsum(counts) - counts, counts > 0
+    sums = np.zeros(columns * subsets, np.uint64)
+    if len(term):
+        # the sum of each mixed hash times a power of the base by its place
+        most = int(counts.max())
+        powers = _POWERS if most < len(_POWERS) else np.cumprod(np.full(most + 1, _BASE))
+        sums[some] = np.add.reduceat(_mix(found)[term] * powers[np.arange(1, len(term) + 1) - starts[subset]], starts[some])
+    digits = (_mix(sums) & np.uint64(0xFFFF)).astype(">u2").tobytes().hex()
+    if not some.all():
+        digits = "".join([digits[4 * k : 4 * k + 4] if x else "----" for k, x in enumerate(some.tolist())])
+    return [digits[4 * subsets * i : 4 * subsets * (i + 1)] for i in range(columns)]
+
+
 def fingerprint(text: str, lexicon: np.ndarray, bits: int = BITS, subsets: int = SUBSETS) -> str:
     """``count:level:hashes:hashes``, four hexadecimal digits a subset; ``text:hash`` without terms."""
     found = terms(text)
@@ -159,16 +192,10 @@ def fingerprint(text: str, lexicon: np.ndarray, bits: int = BITS, subsets: int =
     if not len(found):
         return "text:" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
     level = lower_level(len(found))
-    out = []
-    mixed = _mix(found)
-    for at in (level, level + 2):
-        kept = _subset_bits(found, at)
-        chosen = np.flatnonzero(kept & np.uint64((1 << subsets) - 1))  # at higher levels most terms are in no subset
-        on = (kept[chosen, None] >> np.arange(subsets, dtype=np.uint64)) & np.uint64(1)
-        # a subset's terms in their order: the sum of each mixed hash times a power of the base by its place
-        powers = np.cumprod(np.full(len(chosen) + 1, _BASE))[np.cumsum(on, axis=0).astype(np.int64)]
-        hashes = _mix((on * mixed[chosen, None] * powers).sum(axis=0, dtype=np.uint64)) & np.uint64(0xFFFF)
-        out.append("".join([f"{h:04x}" if some else "----" for h, some in zip(hashes.tolist(), on.any(axis=0).tolist(), strict=True)]))
+    kept = _subset_bits(found, level) & np.uint64((1 << subsets) - 1)
+    chosen = np.flatnonzero(kept)  # at higher levels most terms are in no subset
+    held, kept = found[chosen], kept[chosen]
+    out = _subset_hashes(held, np.stack([kept, kept & _subset_bits(held, level + 2, level)], axis=1), subsets)
     return f"{len(found)}:{level}:{out[0]}:{out[1]}"
 
 
