@@ -28,3 +28,11 @@ def test_an_unknown_anomaly_has_no_logs(detail_of):
     for anomaly_id in ("b", ""):
         logs = detail_of(anomaly_id)["logs"]
         assert logs.columns == ["event_id", "event_time", "ip"] and logs.count() == 0
+
+
+def test_an_unknown_anomaly_has_no_windows(detail_of):
+    assert [(r["window_start"], r["ip"]) for r in detail_of("a")["windows"].collect()] == [(T0, "x"), (T0 + timedelta(hours=1), "x")]
+    assert [r["requests"] for r in detail_of("b")["windows"].collect()] == [2, 2, 2]
+    for kind, columns in (("ip", ["window_start", "ip", "requests"]), ("global", ["window_start", "requests"])):
+        windows = detail_of("", kind=kind)["windows"]
+        assert windows.columns == columns and windows.count() == 0

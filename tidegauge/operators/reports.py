@@ -236,20 +236,25 @@ def anomaly_summary(anomalies: DataFrame, seconds: int = 3600, top: int = 12) ->
     }
 
 
-def anomaly_detail(anomalies: DataFrame, incidents: DataFrame, families: dict[str, DataFrame], events: DataFrame, anomaly_id: str) -> dict[str, DataFrame]:
-    """An anomaly with its incident, the last windows of its own metric family, and logs of an address; no logs of others or of an unknown anomaly."""
+def anomaly_detail(anomalies: DataFrame, incidents: DataFrame, families: dict[str, DataFrame], events: DataFrame, anomaly_id: str, kind: str = "global") -> dict[str, DataFrame]:
+    """An anomaly with its incident, the last windows of its own metric family, and logs of an address.
+
+    There are no logs of others; an unknown anomaly has neither logs nor windows, these in the columns of the family of ``kind``.
+    """
     one = anomalies.filter(F.col("anomaly_id") == anomaly_id).limit(1)
     row = one.select("entity_type", "entity", "window_start").first()
-    own = F.col("ip") == row["entity"] if row is not None and row["entity_type"] == "ip" else F.lit(False)
-    out = {"anomaly": one, "incident": incidents.filter(F.array_contains("anomaly_ids", anomaly_id))}
-    out["logs"] = events.filter(own).orderBy(F.desc("event_time"), "event_id").limit(25)
-    if row is None:
-        return out
-    table = families[{"ip": "metrics_ip", "endpoint": "metrics_endpoint", "country": "metrics_geo"}.get(row["entity_type"], "metrics_global")]
-    if row["entity_type"] in ("ip", "endpoint", "country"):
-        table = table.filter(F.col(row["entity_type"]) == row["entity"])
-    out["windows"] = table.filter(F.col("window_start") <= F.lit(row["window_start"])).orderBy(F.desc("window_start")).limit(90).orderBy("window_start")
-    return out
+    kind = kind if row is None else row["entity_type"]
+    own = F.col("ip") == row["entity"] if row is not None and kind == "ip" else F.lit(False)
+    table = families[{"ip": "metrics_ip", "endpoint": "metrics_endpoint", "country": "metrics_geo"}.get(kind, "metrics_global")]
+    past = F.lit(False) if row is None else F.col("window_start") <= F.lit(row["window_start"])
+    if row is not None and kind in ("ip", "endpoint", "country"):
+        past = past & (F.col(kind) == row["entity"])
+    return {
+        "anomaly": one,
+        "incident": incidents.filter(F.array_contains("anomaly_ids", anomaly_id)),
+        "windows": table.filter(past).orderBy(F.desc("window_start")).limit(90).orderBy("window_start"),
+        "logs": events.filter(own).orderBy(F.desc("event_time"), "event_id").limit(25),
+    }
 
 
 def incident_detail(incidents: DataFrame, anomalies: DataFrame, alerts: DataFrame, global_rows: DataFrame, incident_id: str) -> dict[str, DataFrame]:
