@@ -4,7 +4,7 @@ The mean of windows' percentiles is no percentile of the range, and a sum of dis
 again who comes back.  A window's KLL sketch of latencies and HLL sketches of identities are columns of
 its row; a rollup over any range, bucket or coarser key merges them, without events.  A merged KLL
 sketch answers with a value whose rank is within ``RANK_ERROR`` of the asked one, an HLL sketch within
-three standard errors of ``DISTINCT_ERROR``, whatever the number of windows.
+three times ``DISTINCT_ERROR``, whatever the number of windows.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 KLL_K = 400
 #: Single-sided rank error of a KLL sketch of that size with 99 % confidence, a little rounded up.
 RANK_ERROR = 0.0075
-LG_HLL = 12
-#: Standard error of a HLL sketch of 2^12 registers.
+LG_HLL = 14
+#: Stated error of a distinct count.  The standard error of 2^14 registers (16 KB a sketch at most) is half of it, so that three
+#: stated errors hold in any number of ranges; three standard errors of its own are passed by some ranges among many.
 DISTINCT_ERROR = 0.0163
 POINTS = (0.5, 0.9, 0.95, 0.99)
 #: Identities counted, by the name that their count has.
