@@ -9,6 +9,7 @@ from tidegauge.operators import metrics as M
 from tidegauge.operators import reports as R
 from tidegauge.operators.enrich import enrich
 from tidegauge.plans import catalog
+from tidegauge.streaming import chained as C
 
 T0 = datetime(2026, 3, 2)
 ANOMALY = "anomaly_id string, entity_type string, entity string, window_start timestamp"
@@ -71,3 +72,29 @@ def test_a_percentile_out_of_bounds_is_shown_as_it_is(spark, tmp_path, monkeypat
     monkeypatch.setattr(M, "global_metrics", lambda *a, **k: family(*a, **k).withColumns({"p50_response_time": F.lit(5_100.0), "unique_users": F.lit(900)}))
     got = catalog.QUERIES["c13_c14_sketches"](spark, str(tmp_path)).first()
     assert (got["p50_response_time"], got["p95_response_time"], got["unique_users"], got["unique_sessions"]) == (5_100.0, 9_490.0, 900, 1_000)
+
+
+def test_addresses_on_streams_count_sessions_exactly(spark):
+    # sets of 2,000 sessions whose sketches are off by some
+    sets = numbered_sets(spark, (2099, 1774, 920, 1534), 2_000)
+    texts = {c: F.lit(None).cast("string") for c in ("country", "asn", "org", "attack_label")}
+    flags = {c: F.lit(False) for c in ("is_error", "is_not_found", "is_auth_fail", "is_bot")}
+    events = sets.select(F.lit(T0).alias("event_time"), F.col("salt").cast("string").alias("ip"), F.col("key").alias("session_id"), F.concat(F.lit("ua"), "key").alias("user_agent"), F.concat(F.lit("/"), F.substring("key", -1, 1)).alias("endpoint"))
+    rows = C.ip_metrics(events.withColumns({**flags, **texts, "bytes_sent": F.lit(1), "response_time_ms": F.lit(2.0)}), "5 minutes").collect()
+    assert [(r["requests"], r["bytes_sent"], r["avg_response_time"], r["unique_paths"], r["unique_user_agents"], r["unique_sessions"]) for r in rows] == [(2_000, 2_000, 2.0, 10, 2_000, 2_000)] * 4
+
+
+def test_a_log_in_many_files_loses_no_events_on_its_way_through_a_stream(spark, tmp_path):
+    rows = [(n, T0 + timedelta(hours=n), 5, "click", 1.0, '{"k": 1}') for n in range(480)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    table.repartitionByRange(20, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    conf = {"spark.sql.files.maxPartitionBytes": "1024", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = catalog.QUERIES["c6_ip_live"](spark, str(tmp_path)).select("requests").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r["requests"] for r in got] == [24] * 20

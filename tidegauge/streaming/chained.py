@@ -1,9 +1,9 @@
 """Metric families that need several aggregations, as chains of stateful aggregations in append mode.
 
 Each level groups by the window of the level before, so a window's groups leave a level together when
-the watermark passes it, and the next level counts whole windows.  State is bounded: distinct counts and
-most frequent routes are mergeable sketches, Gini and entropy come from the histogram of counts, which
-has at most sqrt(2 n) entries for n requests.  The same functions take batches.
+the watermark passes it, and the next level counts whole windows.  What is counted as distinct is a key of
+the state, spread over tasks like any other; most frequent routes are mergeable sketches, Gini and entropy
+come from the histogram of counts, which has at most sqrt(2 n) entries for n requests.  The same functions take batches.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ def _top(sketch: str, k: int) -> Column:
 
 
 def ip_metrics(events: DataFrame, window: str = "1 minute", min_requests: int = 1, paths: int = 10) -> DataFrame:
-    """Window x ip from window x ip x endpoint: the columns of the batch rollup.
+    """Window x ip from window x ip x route, agent and session: the columns of the batch rollup.
 
-    Distinct agents and sessions are merged HLL sketches, sample paths a merged sketch of frequent
-    routes; among routes of the same count a null one comes last.
+    Routes, agents and sessions go down one chain and are counted as keys of the state, so their numbers are
+    exact.  Sample paths are a merged sketch of frequent routes; among routes of the same count a null one comes last.
     """
-    routes = events.groupBy(F.window("event_time", window).alias("window"), "ip", "endpoint").agg(
+    dims = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("key")) for d in ("endpoint", "user_agent", "session_id")])
+    keyed = events.withColumn("_p", F.explode(dims)).withColumns({"dim": F.col("_p.dim"), "key": F.col("_p.key")})
+    counts = keyed.groupBy(F.window("event_time", window).alias("window"), "ip", "dim", "key").agg(
         F.count("*").alias("n"),
         M.total("is_error").alias("errors"),
         M.total("is_not_found").alias("not_found"),
@@ -45,29 +47,35 @@ def ip_metrics(events: DataFrame, window: str = "1 minute", min_requests: int =
         F.min("event_time").alias("first_seen"),
         F.max("event_time").alias("last_seen"),
         *[F.min(c).alias(c) for c in ("country", "asn", "org")],
-        F.hll_sketch_agg("user_agent").alias("agents"),
-        F.hll_sketch_agg("session_id").alias("sessions"),
         F.max("attack_label").alias("attack_label"),
-        F.expr(f"approx_top_k_accumulate(endpoint, {TRACKED})").alias("frequent"),
+        F.expr(f"approx_top_k_accumulate(key, {TRACKED}) filter (where dim = 'endpoint')").alias("frequent"),
     )
-    n = F.col("n").cast("double")
-    rolled = routes.groupBy("window", "ip").agg(
-        F.sum("n").alias("requests"),
-        F.sum("errors").alias("errors"),
-        F.sum("not_found").alias("not_found"),
-        F.sum("auth_fails").alias("auth_fail_count"),
-        F.sum("bytes_sent").alias("bytes_sent"),
-        F.try_divide(F.sum("latency"), F.sum("timed")).alias("avg_response_time"),
+    is_route, n = F.col("dim") == "endpoint", F.col("n").cast("double")
+
+    def of_routes(value: Column | str) -> Column:
+        # each event is in one route, and again in its agent and its session
+        return F.sum(F.when(is_route, F.col(value) if isinstance(value, str) else value))
+
+    def known(dim: str) -> Column:
+        return F.count_if((F.col("dim") == dim) & F.col("key").isNotNull())
+
+    rolled = counts.groupBy("window", "ip").agg(
+        of_routes("n").alias("requests"),
+        of_routes("errors").alias("errors"),
+        of_routes("not_found").alias("not_found"),
+        of_routes("auth_fails").alias("auth_fail_count"),
+        of_routes("bytes_sent").alias("bytes_sent"),
+        F.try_divide(of_routes("latency"), of_routes("timed")).alias("avg_response_time"),
         F.max("max_response_time").alias("max_response_time"),
-        F.count("*").alias("unique_paths"),
-        (F.sum("bots") / F.sum("n")).alias("bot_ratio"),
+        F.count_if(is_route).alias("unique_paths"),
+        (of_routes("bots") / of_routes("n")).alias("bot_ratio"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
         *[F.min(c).alias(c) for c in ("country", "asn", "org")],
-        F.hll_sketch_estimate(F.hll_union_agg("agents")).alias("unique_user_agents"),
-        F.hll_sketch_estimate(F.hll_union_agg("sessions")).alias("unique_sessions"),
+        known("user_agent").alias("unique_user_agents"),
+        known("session_id").alias("unique_sessions"),
         F.max("attack_label").alias("dominant_attack_label"),
-        F.sum(n * F.log2(n)).alias("_n_log_n"),
+        of_routes(n * F.log2(n)).alias("_n_log_n"),
         F.expr(f"approx_top_k_combine(frequent, {TRACKED})").alias("_frequent"),
     )
     requests = F.col("requests").cast("double")
