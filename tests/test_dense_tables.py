@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.operators import evaluation as V
 from tidegauge.operators import metrics as M
 from tidegauge.operators import reports as R
 from tidegauge.operators.enrich import enrich
@@ -98,3 +99,11 @@ def test_a_log_in_many_files_loses_no_events_on_its_way_through_a_stream(spark,
         for k, v in before.items():
             spark.conf.set(k, v)
     assert [r["requests"] for r in got] == [24] * 20
+
+
+def test_a_running_detector_that_found_nothing_is_counted_too(spark):
+    found = spark.createDataFrame([("a",), ("a",), (None,)], "detector string")
+    usage = lambda df, *running: sorted(map(tuple, V.detector_usage(df, running).collect()), key=repr)
+    assert usage(found) == [("a", 2), (None, 1)]
+    assert usage(found, "a", "b") == [("a", 2), ("b", 0), (None, 1)]
+    assert usage(found.limit(0), "rule") == [("rule", 0)]

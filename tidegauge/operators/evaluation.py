@@ -88,5 +88,10 @@ def per_scenario(outcomes: DataFrame, recalls: DataFrame) -> DataFrame:
     return minutes.join(runs, "label", "left").withColumn("recall", F.col("true_positives") / F.greatest(F.col("true_positives") + F.col("false_negatives"), F.lit(1)))
 
 
-def detector_usage(anomalies: DataFrame) -> DataFrame:
-    return anomalies.groupBy("detector").agg(F.count("*").alias("n"))
+def detector_usage(anomalies: DataFrame, running: tuple[str, ...] = ()) -> DataFrame:
+    """Anomalies of each detector that found any, and 0 of each ``running`` one that found none."""
+    found = anomalies.groupBy("detector").agg(F.count("*").alias("n"))
+    if not running:
+        return found
+    idle = anomalies.sparkSession.createDataFrame([(d, 0) for d in running], "detector string, n bigint")
+    return found.unionByName(idle).groupBy("detector").agg(F.sum("n").alias("n"))
