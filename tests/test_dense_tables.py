@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import evaluation as V
+from tidegauge.operators import learning as L
 from tidegauge.operators import metrics as M
 from tidegauge.operators import reports as R
 from tidegauge.operators.enrich import enrich
@@ -107,3 +108,9 @@ def test_a_running_detector_that_found_nothing_is_counted_too(spark):
     assert usage(found) == [("a", 2), (None, 1)]
     assert usage(found, "a", "b") == [("a", 2), ("b", 0), (None, 1)]
     assert usage(found.limit(0), "rule") == [("rule", 0)]
+
+
+def test_few_clean_rows_are_split_alone_and_trained_on_with_all(spark):
+    rows = spark.createDataFrame([(T0 + timedelta(hours=h), None if h < 3 else "error_spike") for h in range(10)], "window_start timestamp, dominant_attack_label string")
+    assert L.split_clean(rows).count() == 3 and L.split_clean(rows.filter("dominant_attack_label is not null")).count() == 0
+    assert L.training_rows(rows).count() == 10 and L.training_rows(rows, 3).count() == 3

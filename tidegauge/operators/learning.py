@@ -45,9 +45,14 @@ def ip_features(rows: DataFrame) -> DataFrame:
     return feature_frame(rows, IP_FEATURES)
 
 
-def split_clean(rows: DataFrame, least: int = MIN_TRAINING_ROWS) -> DataFrame:
-    """Unlabelled rows; all rows if there are too few of them."""
-    clean = rows.filter(F.col("dominant_attack_label").isNull())
+def split_clean(rows: DataFrame) -> DataFrame:
+    """Unlabelled rows, however few."""
+    return rows.filter(F.col("dominant_attack_label").isNull())
+
+
+def training_rows(rows: DataFrame, least: int = MIN_TRAINING_ROWS) -> DataFrame:
+    """Unlabelled rows to train on; all rows if there are too few of them."""
+    clean = split_clean(rows)
     return clean if clean.limit(least).count() >= least else rows
 
 
@@ -86,7 +91,7 @@ def train_forest(rows: DataFrame, features: list[str], contamination: float = 0.
 
     Each tree grows in its own task on its own sample; a row goes to the few trees that drew it.
     """
-    data = split_clean(feature_frame(rows, features)).select(*features)
+    data = training_rows(feature_frame(rows, features)).select(*features)
     n = data.count()
     if n > max_rows:
         data = data.sample(max_rows / n, seed=seed)
